@@ -59,7 +59,7 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checkpointed(mobility.neighbor_edges(_moves(spark, sf_dir)))
 
 
-def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+def _rounded(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
@@ -223,7 +223,7 @@ def failure_trace(spark, sf_dir):
 def failure_rate_rolling(spark, sf_dir):
     rates = quality.failure_rate(_calls(spark, sf_dir), GRID)
     rolled = quality.failure_rate_rolling(rates, events.event_sites(spark, sf_dir), GRID)
-    return _rounded(rolled, "rate3", "rate5", digits=4)
+    return _rounded(rolled, "rate3", "rate5")
 
 
 @query
@@ -295,7 +295,7 @@ def handover_counts(spark, sf_dir):
 @query
 def handover_cdf(spark, sf_dir):
     durations = mobility.handover_durations(_moves(spark, sf_dir))
-    return _rounded(mobility.cdf(durations, "ho_type", "dur"), "fraction", digits=9)
+    return _rounded(mobility.cdf(durations, "ho_type", "dur"), "fraction")
 
 
 @query

@@ -266,13 +266,13 @@ def _field_values() -> str:
     return ", ".join(f"({at}, {text})" for at, text in sorted(values.items()))
 
 
-def _round(columns: list[str], digits: int = 6) -> str:
+def _round(columns: list[str], digits: int = 9) -> str:
     return ", ".join(f"round({c}, {digits}) AS {c}" for c in columns)
 
 
 def _per_station_mean(inner: str, value: str, out: str, counted: str) -> str:
     return f"""
-SELECT g.t, round(coalesce(m.total, 0) / (SELECT count(DISTINCT bs) FROM pcmd {counted}), 6) AS {out}
+SELECT g.t, round(coalesce(m.total, 0) / (SELECT count(DISTINCT bs) FROM pcmd {counted}), 9) AS {out}
 FROM times g LEFT JOIN (SELECT t, CAST(sum({value}) AS DOUBLE) AS total FROM ({inner}) GROUP BY t) m
 ON m.t = g.t"""
 
@@ -295,7 +295,7 @@ SELECT rec_seq, CAST(imsi AS VARCHAR) AS imsi, start_ms, proc_id,
   intra_status, x2_status, s1_status FROM pcmd""",
     "time_range_prune": f"{VIEW} SELECT rec_seq, start_ms, bs, proc_id FROM pcmd WHERE {PRUNED}",
     "bs_dimension": f"""{VIEW}
-SELECT CAST(bs AS BIGINT) AS bs_id, round(lat, 6) AS lat, round(lon, 6) AS lon, descr FROM sites""",
+SELECT CAST(bs AS BIGINT) AS bs_id, round(lat, 9) AS lat, round(lon, 9) AS lon, descr FROM sites""",
     "neighbor_list_read": f"{VIEW}{EDGES} SELECT bs, n FROM edges",
     "bs_from_cell": f"{VIEW} SELECT rec_seq, cur_cell, {_station('bs')} AS bs FROM pcmd",
     "bs_decimal_id": f"{VIEW} SELECT rec_seq, CAST(bs AS BIGINT) AS bs_id FROM pcmd",
@@ -308,25 +308,25 @@ UNION ALL SELECT rec_seq, 1, {_station("(bs + 3)")} FROM pcmd WHERE rec_seq % 4
     "record_field_dump": f"""{VIEW}
 SELECT rec_seq AS line_id, CAST(f.pos AS INTEGER) AS pos, f.value
 FROM pcmd, LATERAL (VALUES {_field_values()}) f(pos, value) WHERE f.value IS NOT NULL""",
-    "bs_distance": f"{VIEW}{LOAD} SELECT bs, round(dist_km, 6) AS dist_km FROM placed",
+    "bs_distance": f"{VIEW}{LOAD} SELECT bs, round(dist_km, 9) AS dist_km FROM placed",
     "bearer_load": f"{VIEW}{LOAD} SELECT bs, t, ue, bearer FROM load",
     "ue_load": f"{VIEW}{LOAD} SELECT bs, t, ue FROM load",
     "bs_group_filter": f"{VIEW} SELECT rec_seq, bs FROM pcmd WHERE bs IN (SELECT bs FROM grp)",
     "load_with_site": f"""{VIEW}{LOAD}
-SELECT l.bs, t, ue, bearer, descr, round(dist_km, 6) AS dist_km
+SELECT l.bs, t, ue, bearer, descr, round(dist_km, 9) AS dist_km
 FROM load l JOIN placed p ON p.bs = l.bs""",
     "dense_load_grid": f"{VIEW}{LOAD} SELECT bs, t, ue, bearer FROM dense",
     "load_trace": f"""{VIEW}{LOAD}
 SELECT bs, CAST(t AS BIGINT) * {MINUTES} AS minutes, ue, bearer FROM dense""",
     "agg_load": VIEW + LOAD + _per_station_mean("SELECT t, ue FROM load", "ue", "mean_ue", ""),
     "bs_volatility": f"""{VIEW}{LOAD}
-SELECT bs, round(stddev_pop(bearer), 6) AS sd FROM dense GROUP BY bs""",
+SELECT bs, round(stddev_pop(bearer), 9) AS sd FROM dense GROUP BY bs""",
     "top_volatile_trace": f"""{VIEW}{LOAD},
 ranked AS (
   SELECT d.bs, p.descr, p.dist_km, stddev_pop(bearer) AS sd
   FROM dense d JOIN placed p ON p.bs = d.bs GROUP BY d.bs, p.descr, p.dist_km
   ORDER BY round(stddev_pop(bearer), 9) DESC, p.descr DESC, d.bs DESC, p.dist_km DESC LIMIT 15)
-SELECT d.bs, r.descr, round(r.dist_km, 6) AS dist_km, round(r.sd, 6) AS sd,
+SELECT d.bs, r.descr, round(r.dist_km, 9) AS dist_km, round(r.sd, 9) AS sd,
        CAST(d.t AS BIGINT) * {MINUTES} AS minutes, d.ue, d.bearer
 FROM dense d JOIN ranked r ON r.bs = d.bs""",
     "wide_trace": f"""{VIEW}{LOAD}
@@ -337,9 +337,9 @@ SELECT CAST(t AS BIGINT) * {MINUTES} AS minutes, """
         for c in ("bearer", "ue")
     )
     + " FROM dense GROUP BY t",
-    "failure_rate": f"{VIEW}{RATES} SELECT bs, t, attempts, failures, round(rate, 6) AS rate FROM rates",
+    "failure_rate": f"{VIEW}{RATES} SELECT bs, t, attempts, failures, round(rate, 9) AS rate FROM rates",
     "failure_trace": f"""{VIEW}{LOAD}{RATES}
-SELECT l.bs, l.t, l.bearer, r.attempts, r.failures, round(r.rate, 6) AS rate
+SELECT l.bs, l.t, l.bearer, r.attempts, r.failures, round(r.rate, 9) AS rate
 FROM load l JOIN rates r ON r.bs = l.bs AND r.t = l.t WHERE l.bs IN (SELECT bs FROM grp)""",
     "failure_rate_rolling": f"""{VIEW}{RATES},
 full_rates AS (
@@ -348,7 +348,7 @@ full_rates AS (
 SELECT bs, t, """
     + ", ".join(
         f"round(CASE WHEN t >= {k} THEN avg(rate) OVER "
-        f"(PARTITION BY bs ORDER BY t ROWS {k - 1} PRECEDING) ELSE 0.0 END, 4) AS rate{k}"
+        f"(PARTITION BY bs ORDER BY t ROWS {k - 1} PRECEDING) ELSE 0.0 END, 9) AS rate{k}"
         for k in (3, 5)
     )
     + " FROM full_rates",
@@ -367,7 +367,7 @@ per_station AS (SELECT bs, t, avg(b) AS b FROM per_device GROUP BY bs, t)"""
         "WHERE ul_init_bler IS NOT NULL OR ul_res_bler IS NOT NULL",
     ),
     "bler_by_bs": f"""{VIEW}{LOAD}
-SELECT l.bs, l.t, l.bearer, round(CASE WHEN b.n > 0 THEN b.total / CAST(b.n AS DOUBLE) ELSE 0.0 END, 6)
+SELECT l.bs, l.t, l.bearer, round(CASE WHEN b.n > 0 THEN b.total / CAST(b.n AS DOUBLE) ELSE 0.0 END, 9)
   AS bler
 FROM load l JOIN (
   SELECT bs, t, sum(coalesce(ul_init_bler, 0) + coalesce(ul_res_bler, 0)) AS total,
@@ -454,7 +454,7 @@ SELECT bs, t, {_round(["load_rate", "net_flow"])} FROM feats""",
 SELECT t, {_round(["load_rate", "net_flow"])} FROM whole""",
     "feature_rolling": f"{VIEW}{_rolled()} SELECT bs, t, {_round(ROLLED_COLUMNS)} FROM rolled",
     "feature_summary": f"{VIEW}{_rolled()} SELECT bs, "
-    + ", ".join(f"round(avg({c}), 6) AS {c}" for c in ROLLED_COLUMNS)
+    + ", ".join(f"round(avg({c}), 9) AS {c}" for c in ROLLED_COLUMNS)
     + " FROM rolled WHERE t BETWEEN 20 AND 60 GROUP BY bs",
     "stream_counts": f"""{VIEW}
 SELECT bs, t, count(*) FILTER (WHERE is_release) AS releases,

@@ -66,17 +66,13 @@ def bit_counts(masks: DataFrame, keys: list[str], columns: list[str]) -> DataFra
     Each bit is its own sum, so rows combine before the shuffle.
     """
     sums = [
-        F.sum(F.shiftright(c, i).bitwiseAND(F.lit(1))).alias(f"{c}_{i}")
-        for c in columns
-        for i in range(RUN)
+        F.expr(f"sum((shiftright({c}, {i}) & 1)) AS {c}_{i}") for c in columns for i in range(RUN)
     ]
     counted = masks.groupBy(*keys, "run").agg(*sums)
-    per_bucket = F.array(
-        *(
-            F.struct(
-                (F.col("run") * RUN + i + 1).alias("t"), *(F.col(f"{c}_{i}").alias(c) for c in columns)
-            )
-            for i in range(RUN)
-        )
+    per_bucket = ", ".join(
+        f"named_struct('t', run * {RUN} + {i + 1}"
+        + "".join(f", '{c}', {c}_{i}" for c in columns)
+        + ")"
+        for i in range(RUN)
     )
-    return counted.select(*keys, F.inline(per_bucket))
+    return counted.select(*keys, F.expr(f"inline(array({per_bucket}))"))

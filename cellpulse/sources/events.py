@@ -6,25 +6,79 @@ of the device's event before. Stations are decimal ids here.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellpulse.functions.timegrid import Grid
 from cellpulse.plans.blocks import lag_by_blocks
 from cellpulse.plans.bounded import checkpointed
+from cellpulse.schema import FIELD_POSITION, FIRST_MEASURED_FIELD
 
 EPOCH = "2024-01-01 00:00:00"
 # First station id and how many stations the view spreads events over.
 FIRST_STATION = 90_000
 STATIONS = 20
+LINE_FIELDS = 255
 # Blocks for the look-back to a device's event before.
 LOOKBACK_MS = 6 * 3_600_000
 
 GRID = Grid(start_ms=0, width_ms=21_600_000, n=120)
 
-
-def _percent(value: Column) -> Column:
-    return F.floor(value).cast("int") % 101
+FALLBACK = "event_type = 'purchase' AND rec_seq % 7 = 0"
+
+IDENTITY = (
+    "event_id AS rec_seq",
+    f"timestampdiff(MILLISECOND, TIMESTAMP_NTZ'{EPOCH}', ts) AS start_ms",
+    "user_id AS imsi",
+    "event_type",
+    "value",
+    f"{FIRST_STATION} + CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % {STATIONS} AS bs",
+)
+
+
+def _cell(bs: str, sector: str) -> str:
+    """SQL for a cell id in the text form of record files."""
+    return f"concat('311:480:', lpad(lower(hex({bs})), 5, '0'), lpad({sector}, 2, '0'))"
+
+
+RECORD = (
+    "rec_seq",
+    "start_ms",
+    "imsi",
+    "event_type",
+    "bs",
+    f"""CASE WHEN event_type = 'signup' THEN 1 WHEN event_type = 'click' THEN 16
+        WHEN event_type = 'view' THEN 45 WHEN {FALLBACK} THEN 36
+        WHEN event_type = 'purchase' THEN 15 WHEN rec_seq % 2 = 0 THEN 11 ELSE 3 END AS proc_id""",
+    """CASE WHEN rec_seq % 11 = 0 THEN NULL WHEN rec_seq % 5 = 0 THEN CAST(2 + rec_seq % 3 AS INT)
+        ELSE 1 END AS cfc""",
+    f"""CASE WHEN {FALLBACK} AND rec_seq % 3 = 0 THEN 99 WHEN {FALLBACK} THEN 100
+        ELSE CAST(rec_seq % 4 AS INT) END AS cfcq""",
+    "CAST(rec_seq % 3 AS INT) AS scfcq",
+    "CASE WHEN rec_seq % 3 <> 0 THEN CAST(floor(value) AS INT) % 101 END AS ul_init_bler",
+    "CASE WHEN rec_seq % 4 <> 0 THEN CAST(floor(value * 3) AS INT) % 101 END AS ul_res_bler",
+    "start_ms + 20 + CAST(floor(value * 10) AS BIGINT) AS stop_ms",
+    "10 + rec_seq % 90 AS proc_duration",
+    "CASE WHEN rec_seq % 13 <> 0 THEN concat('sgw', imsi % 3) END AS sgw",
+    f"{_cell('bs', 'CAST(rec_seq % 3 + 1 AS STRING)')} AS cur_cell",
+    "CASE WHEN rec_seq % 4 = 0 THEN array(bs + 1, bs + 3) ELSE CAST(array() AS array<int>) END"
+    " AS measured",
+)
+
+MOVED = "event_type = 'view' AND prev_bs <> bs"
+HANDOVER = (
+    "CASE WHEN event_type = 'view' THEN prev_bs END AS source_bs",
+    "CASE WHEN event_type = 'view' AND prev_bs IS NOT NULL THEN bs END AS target_bs",
+    "CASE WHEN event_type = 'view' THEN 1 WHEN proc_id = 36 THEN 3 END AS mob_trigger",
+    "CASE WHEN event_type = 'view' AND prev_bs = bs THEN CAST(rec_seq % 2 AS INT) END"
+    " AS intra_status",
+    f"CASE WHEN {MOVED} AND rec_seq % 2 = 0 THEN CAST(rec_seq % 5 = 0 AS INT) END AS x2_status",
+    f"CASE WHEN {MOVED} AND rec_seq % 2 = 1 THEN CAST(rec_seq % 5 = 0 AS INT) END AS s1_status",
+)
+HANDOVER_STARTS = tuple(
+    f"CASE WHEN {kind}_status IS NOT NULL THEN start_ms END AS {kind}_start"
+    for kind in ("intra", "x2", "s1")
+)
 
 
 def event_records(
@@ -49,90 +103,17 @@ def event_stream(spark: SparkSession, sf_dir: str, grid: Grid | None = None) ->
 def records_of(events: DataFrame, grid: Grid | None = None, mobility: bool = False) -> DataFrame:
     """Record view of an events frame, batch or streaming (`mobility` is batch only)."""
     if grid is not None:
-        end = F.lit(EPOCH).cast("timestamp_ntz") + F.expr(f"INTERVAL {grid.end_ms // 1000} SECOND")
-        events = events.where(F.col("ts") < end)
-
-    event_id = F.col("rec_seq")
-    kind = F.col("event_type")
-    fallback = (kind == "purchase") & (event_id % 7 == 0)
-    base = events.select(
-        F.col("event_id").alias("rec_seq"),
-        F.expr(f"timestampdiff(MILLISECOND, TIMESTAMP_NTZ'{EPOCH}', ts)").alias("start_ms"),
-        F.col("user_id").alias("imsi"),
-        "event_type",
-        "value",
-        (
-            F.lit(FIRST_STATION)
-            + F.regexp_extract("props", "([0-9]+)", 1).cast("int") % F.lit(STATIONS)
-        ).alias("bs"),
-    )
-    records = base.withColumns(
-        {
-            "proc_id": F.when(kind == "signup", 1)
-            .when(kind == "click", 16)
-            .when(kind == "view", 45)
-            .when(fallback, 36)
-            .when(kind == "purchase", 15)
-            .when(event_id % 2 == 0, 11)
-            .otherwise(3),
-            "cfc": F.when(event_id % 11 == 0, F.lit(None).cast("int"))
-            .when(event_id % 5 == 0, (2 + event_id % 3).cast("int"))
-            .otherwise(1),
-            "cfcq": F.when(fallback & (event_id % 3 == 0), 99)
-            .when(fallback, 100)
-            .otherwise((event_id % 4).cast("int")),
-            "scfcq": (event_id % 3).cast("int"),
-            "ul_init_bler": F.when(event_id % 3 != 0, _percent(F.col("value"))),
-            "ul_res_bler": F.when(event_id % 4 != 0, _percent(F.col("value") * 3)),
-            "stop_ms": F.col("start_ms") + 20 + F.floor(F.col("value") * 10).cast("bigint"),
-            "proc_duration": 10 + event_id % 90,
-            "sgw": F.when(
-                event_id % 13 != 0, F.concat(F.lit("sgw"), (F.col("imsi") % 3).cast("string"))
-            ),
-            "cur_cell": cell_text(F.col("bs"), event_id % 3 + 1),
-            "measured": F.when(
-                event_id % 4 == 0, F.array(F.col("bs") + 1, F.col("bs") + 3)
-            ).otherwise(F.array().cast("array<int>")),
-        }
-    )
-    return _with_mobility(records) if mobility else records.drop("event_type", "value")
-
-
-def _with_mobility(records: DataFrame) -> DataFrame:
-    event_id = F.col("rec_seq")
-    view = F.col("event_type") == "view"
-    moved = view & (F.col("prev_bs") != F.col("bs"))
-    failed = F.when(event_id % 5 == 0, 1).otherwise(0)
-
+        events = events.where(
+            f"ts < TIMESTAMP_NTZ'{EPOCH}' + INTERVAL '{grid.end_ms // 1000}' SECOND"
+        )
+    records = events.selectExpr(*IDENTITY).selectExpr(*RECORD)
+    if not mobility:
+        return records.drop("event_type")
     linked = lag_by_blocks(
         records, ["imsi"], ["start_ms", "rec_seq"], "bs", "prev_bs", LOOKBACK_MS
     )
-    handovers = linked.withColumns(
-        {
-            "source_bs": F.when(view, F.col("prev_bs")),
-            "target_bs": F.when(view & F.col("prev_bs").isNotNull(), F.col("bs")),
-            "mob_trigger": F.when(view, 1).when(F.col("proc_id") == 36, 3),
-            "intra_status": F.when(
-                view & (F.col("prev_bs") == F.col("bs")), (event_id % 2).cast("int")
-            ),
-            "x2_status": F.when(moved & (event_id % 2 == 0), failed),
-            "s1_status": F.when(moved & (event_id % 2 != 0), failed),
-        }
-    )
-    starts = {
-        f"{kind}_start": F.when(F.col(f"{kind}_status").isNotNull(), F.col("start_ms"))
-        for kind in ("intra", "x2", "s1")
-    }
-    return handovers.withColumns(starts).drop("event_type", "value")
-
-
-def cell_text(bs: Column, sector: Column) -> Column:
-    """Cell id in the text form of record files."""
-    return F.concat(
-        F.lit("311:480:"),
-        F.lpad(F.lower(F.hex(bs)), 5, "0"),
-        F.lpad(sector.cast("string"), 2, "0"),
-    )
+    handovers = linked.selectExpr("*", *HANDOVER).selectExpr("*", *HANDOVER_STARTS)
+    return handovers.drop("event_type")
 
 
 def event_sites(spark: SparkSession, sf_dir: str, grid: Grid | None = GRID) -> DataFrame:
@@ -142,13 +123,12 @@ def event_sites(spark: SparkSession, sf_dir: str, grid: Grid | None = GRID) -> D
     `STATIONS` stations, so the table is small whatever the size of `events`.
     """
     stations = event_records(spark, sf_dir, grid).select("bs").distinct()
-    step = (F.col("bs") - FIRST_STATION) * 0.01
     return checkpointed(
-        stations.select(
+        stations.selectExpr(
             "bs",
-            (F.lit(40.70) + step).alias("lat"),
-            (F.lit(-74.00) + step).alias("lon"),
-            F.concat(F.lit("site"), F.col("bs").cast("string")).alias("descr"),
+            f"40.70D + (bs - {FIRST_STATION}) * 0.01D AS lat",
+            f"-74.00D + (bs - {FIRST_STATION}) * 0.01D AS lon",
+            "concat('site', bs) AS descr",
         )
     )
 
@@ -163,24 +143,16 @@ def event_lines(records: DataFrame) -> DataFrame:
 
     One record in four also carries a measured-cell list from field 251 on.
     """
-    from cellpulse.schema import FIELD_POSITION, FIRST_MEASURED_FIELD
-
-    texts = {
-        name: F.col(name).cast("string")
-        for name in FIELD_POSITION
-        if name in records.columns and name not in ("cur_cell",)
-    }
-    texts["cur_cell"] = F.col("cur_cell")
+    texts = {name: name for name in FIELD_POSITION if name in records.columns}
     for name in ("prev", "source", "target"):
-        station = F.col(f"{name}_bs")
-        texts[f"{name}_cell"] = F.when(station.isNotNull(), cell_text(station, F.lit(1)))
-
-    listed = F.col("rec_seq") % 4 == 0
+        station = f"{name}_bs"
+        texts[f"{name}_cell"] = f"CASE WHEN {station} IS NOT NULL THEN {_cell(station, '1')} END"
     slots = {FIELD_POSITION[name]: text for name, text in texts.items()}
-    slots[FIRST_MEASURED_FIELD - 1] = F.when(listed, F.lit("["))
-    slots[FIRST_MEASURED_FIELD] = F.when(listed, cell_text(F.col("bs") + 1, F.lit(1)))
-    slots[FIRST_MEASURED_FIELD + 1] = F.when(listed, F.lit("-70"))
-    slots[FIRST_MEASURED_FIELD + 2] = F.when(listed, cell_text(F.col("bs") + 3, F.lit(2)))
-    slots[FIRST_MEASURED_FIELD + 3] = F.when(listed, F.lit("]"))
-    fields = [F.coalesce(slots.get(i, F.lit("")), F.lit("")) for i in range(1, 256)]
-    return records.select("rec_seq", F.concat_ws(";", *fields).alias("line"))
+    measured = ("'['", _cell("bs + 1", "1"), "'-70'", _cell("bs + 3", "2"), "']'")
+    for at, text in enumerate(measured, start=FIRST_MEASURED_FIELD - 1):
+        slots[at] = f"CASE WHEN rec_seq % 4 = 0 THEN {text} END"
+    fields = (
+        f"coalesce(CAST({slots[i]} AS STRING), '')" if i in slots else "''"
+        for i in range(1, LINE_FIELDS + 1)
+    )
+    return records.selectExpr("rec_seq", f"concat_ws(';', {', '.join(fields)}) AS line")

@@ -43,16 +43,16 @@ def parse_lines(lines: DataFrame, column: str = "line") -> DataFrame:
     """
     split = lines.withColumn("_fields", F.split(F.col(column), ";", -1))
 
-    def typed(name: str) -> Column:
-        raw = F.get(F.col("_fields"), F.lit(FIELD_POSITION[name] - 1))
+    def typed(name: str) -> str:
+        raw = f"get(_fields, {FIELD_POSITION[name] - 1})"
         if name == "imsi":
-            return raw.alias(name)
+            return f"{raw} AS {name}"
         if FIELD_TYPE[name] == "string":
-            return F.nullif(raw, F.lit("")).alias(name)
-        return F.trim(raw).try_cast(FIELD_TYPE[name]).alias(name)
+            return f"nullif({raw}, '') AS {name}"
+        return f"try_cast(trim({raw}) AS {FIELD_TYPE[name]}) AS {name}"
 
     parsed = split.select(
-        *(typed(name) for name in FIELD_POSITION),
+        *(F.expr(typed(name)) for name in FIELD_POSITION),
         measured_stations(F.col(column), F.col("_fields")).alias("measured"),
     )
     return with_stations(parsed)
