@@ -411,8 +411,11 @@ def ue_timeline_pages(spark, sf_dir):
 
 @query
 def neighbor_flow(spark, sf_dir):
-    ranges = active.active_intervals(_calls(spark, sf_dir), GRID)
-    return flow.neighbor_flow(ranges, _edges(spark, sf_dir))
+    calls = _calls(spark, sf_dir)
+    # One row per station, read by the ranges and by the series.
+    ends = checkpointed(active.series_ends(calls, GRID))
+    ranges = active.active_intervals(calls, GRID, ends=ends)
+    return flow.neighbor_flow(ranges, _edges(spark, sf_dir), ends)
 
 
 @query

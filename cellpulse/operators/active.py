@@ -44,30 +44,35 @@ def last_record(records: DataFrame, grid: Grid, key: str = "bs") -> DataFrame:
     )
 
 
+def series_ends(records: DataFrame, grid: Grid, key: str = "bs") -> DataFrame:
+    """Last bucket with a record per key: `<key>, last_t`."""
+    rows = grid.assign(records.where(F.col(key).isNotNull()))
+    return rows.groupBy(key).agg(F.max("t").alias("last_t"))
+
+
 def active_intervals(
-    records: DataFrame, grid: Grid, key: str = "bs", to_grid_end: bool = False
+    records: DataFrame,
+    grid: Grid,
+    key: str = "bs",
+    ends: DataFrame | None = None,
+    to_grid_end: bool = False,
 ) -> DataFrame:
     """Bucket ranges in which a device is active: `<key>, imsi, t0, t1, last_t`.
 
-    `last_t` is the last bucket of the key's series. A range begins at a bucket
-    with a record and reaches to the one before the next such bucket, to its own
-    bucket when it ends in a release, or to `last_t`. With `to_grid_end` series
-    run to the end of the grid.
+    `last_t` is the last bucket of the key's series, from `ends` where that table
+    is at hand. A range begins at a bucket with a record and reaches to the one
+    before the next such bucket, to its own bucket when it ends in a release, or
+    to `last_t`. With `to_grid_end` series run to the end of the grid.
     """
-    seen = last_record(records, grid, key)
     following = F.lead("t").over(Window.partitionBy(key, "imsi").orderBy("t"))
+    seen = last_record(records, grid, key).withColumn("_next", following)
     if to_grid_end:
-        open_ranges = seen.withColumn("_next", following).withColumn("last_t", F.lit(grid.n))
+        open_ranges = seen.withColumn("last_t", F.lit(grid.n))
     else:
-        latest = (
-            grid.assign(records.where(F.col(key).isNotNull()))
-            .groupBy(key)
-            .agg(F.max("t").alias("last_t"))
-        )
         # One row per key. Adaptive execution sees its real size before the
         # ranges are shuffled and broadcasts it when small; otherwise it is a
         # sort-merge join whose skewed keys are split.
-        open_ranges = seen.withColumn("_next", following).join(latest, key)
+        open_ranges = seen.join(series_ends(records, grid, key) if ends is None else ends, key)
     until = F.when(is_release(F.col("proc_id")), F.col("t")).otherwise(
         F.coalesce(F.col("_next") - 1, F.col("last_t"))
     )

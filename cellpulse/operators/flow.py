@@ -43,20 +43,19 @@ def _meetings(masks: DataFrame, edges: DataFrame) -> DataFrame:
     return met.where((F.col("came") != 0) | (F.col("left") != 0))
 
 
-def neighbor_flow(intervals: DataFrame, edges: DataFrame) -> DataFrame:
+def neighbor_flow(intervals: DataFrame, edges: DataFrame, ends: DataFrame) -> DataFrame:
     """Active devices that came from and went to a neighbour: `bs, t, inflow, outflow, net`.
 
     Summed over the neighbours that have records; every bucket of the station's
-    own series has a row. `intervals` are active ranges with `last_t`.
+    own series has a row. `intervals` are the active ranges and `ends` the last
+    bucket of every station (`series_ends`), best as a computed table.
     """
     counts = bit_counts(
         _meetings(masks_of_ranges(intervals), edges), ["bs"], ["came", "left"]
     )
-    present = intervals.groupBy("bs").agg(F.max("last_t").alias("last_t"))
-    linked = edges.join(present.select(F.col("bs").alias("n")), "n", "left_semi")
-    series = (
-        present.join(linked.select("bs").distinct(), "bs", "left_semi")
-        .select("bs", F.explode(F.sequence(F.lit(1), F.col("last_t"))).alias("t"))
+    with_records = edges.join(ends.select(F.col("bs").alias("n")), "n", "left_semi")
+    series = ends.join(with_records, "bs", "left_semi").select(
+        "bs", F.explode(F.sequence(F.lit(1), F.col("last_t"))).alias("t")
     )
     came, left = (F.coalesce(c, F.lit(0)) for c in ("came", "left"))
     return series.join(counts, ["bs", "t"], "left").select(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cellpulse.plans.blocks import position_by_blocks
 
-TIMELINE_BLOCK_MS = 6 * 3_600_000
+TIMELINE_BLOCK_MS = 600_000
 PAGE_RECORDS = 1_000
 
 

@@ -20,7 +20,7 @@ FIRST_STATION = 90_000
 STATIONS = 20
 LINE_FIELDS = 255
 # Blocks for the look-back to a device's event before.
-LOOKBACK_MS = 6 * 3_600_000
+LOOKBACK_MS = 600_000
 
 GRID = Grid(start_ms=0, width_ms=21_600_000, n=120)
 
