@@ -59,6 +59,14 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checkpointed(mobility.neighbor_edges(_moves(spark, sf_dir)))
 
 
+def _line_files(spark: SparkSession, sf_dir: str) -> str:
+    """Record files written from the event records."""
+    path = scratch_path(spark, "lines")
+    lines = events.event_lines(_moves(spark, sf_dir)).select("line")
+    tables.write_table(lines, path, "text", compression="gzip")
+    return path
+
+
 def _rounded(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
@@ -68,8 +76,7 @@ def _rounded(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
 
 @query
 def pcmd_scan(spark, sf_dir):
-    lines = events.event_lines(_moves(spark, sf_dir))
-    return records.parse_lines(lines).select(
+    return records.read_records(spark, _line_files(spark, sf_dir), pattern="*.gz").select(
         "rec_seq", "imsi", "start_ms", "proc_id", "proc_duration", "cfc", "cfcq", "scfcq",
         "cur_cell", "bs", "prev_bs", "source_bs", "target_bs", "sgw", "stop_ms",
         "ul_init_bler", "ul_res_bler", "mob_trigger", "intra_status", "x2_status", "s1_status",
@@ -127,7 +134,8 @@ def time_bucket(spark, sf_dir):
 
 @query
 def measured_cells(spark, sf_dir):
-    parsed = records.parse_lines(events.event_lines(_moves(spark, sf_dir)))
+    path = _line_files(spark, sf_dir)
+    parsed = records.read_records(spark, path, pattern="*.gz", measured=True)
     return parsed.select("rec_seq", F.posexplode("measured").alias("pos", "station"))
 
 
@@ -339,7 +347,7 @@ def station_split(spark, sf_dir):
 @query
 def any_cell_in_group(spark, sf_dir):
     group = events.event_sites(spark, sf_dir).where(F.col("bs") % 5 == 0).select("bs")
-    return groups.any_cell_in_group(_moves(spark, sf_dir), group, "rec_seq").select("rec_seq")
+    return groups.any_cell_in_group(_moves(spark, sf_dir), group).select("rec_seq")
 
 
 # Active devices

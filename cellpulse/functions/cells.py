@@ -20,15 +20,16 @@ def station_number(station: Column) -> Column:
     return F.when(tail.rlike("^[0-9a-fA-F]{1,15}$"), F.conv(tail, 16, 10).cast("bigint"))
 
 
-def measured_stations(line: Column, fields: Column) -> Column:
+def measured_stations(line: Column) -> Column:
     """Stations in the measured-cell list at the end of a record line.
 
     The list counts only when the line holds a `[`; its entries are the fields
-    from 251 on that hold a `:`.
+    from 251 on that hold a `:`. Read off the text, without splitting the line.
     """
-    tail = F.slice(fields, F.lit(FIRST_MEASURED_FIELD), F.greatest(F.size(fields), F.lit(1)))
-    listed = F.transform(
-        F.filter(tail, lambda f: f.contains(":")),
-        lambda f: F.substring(f, 1, STATION_CODE_LENGTH),
-    )
-    return F.when(line.contains("["), listed).otherwise(F.array().cast("array<string>"))
+    before = F.substring_index(line, ";", FIRST_MEASURED_FIELD - 1)
+    tail = F.substring(line, F.length(before) + 1, F.length(line))
+    # A field that holds a `:`, up to the length of a station code.
+    entry = rf";(?=[^;]*:)([^;]{{1,{STATION_CODE_LENGTH}}})"
+    return F.when(
+        line.contains("["), F.regexp_extract_all(tail, F.lit(entry), F.lit(1))
+    ).otherwise(F.array().cast("array<string>"))

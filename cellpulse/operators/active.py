@@ -8,7 +8,7 @@ counts there.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellpulse.functions.measures import is_release
@@ -20,7 +20,8 @@ from cellpulse.operators.load import mean_over_stations
 PROC_BITS = 20
 
 
-def _packed():
+def packed_record() -> Column:
+    """(start_ms, proc_id) of a record as one number with the same order."""
     proc = F.coalesce(F.col("proc_id"), F.lit(0)).cast("bigint")
     start = F.col("start_ms")
     fits = proc.between(0, (1 << PROC_BITS) - 1) & F.abs(start).between(
@@ -31,17 +32,18 @@ def _packed():
     )
 
 
+def unpacked_record(packed: Column) -> list[Column]:
+    return [
+        F.shiftright(packed, PROC_BITS).alias("start_ms"),
+        packed.bitwiseAND(F.lit((1 << PROC_BITS) - 1)).cast("int").alias("proc_id"),
+    ]
+
+
 def last_record(records: DataFrame, grid: Grid, key: str = "bs") -> DataFrame:
     """Last record of a device per bucket: `<key>, imsi, t, start_ms, proc_id`."""
     rows = grid.assign(records.where(F.col(key).isNotNull()))
-    last = rows.groupBy(key, "imsi", "t").agg(F.max(_packed()).alias("_last"))
-    return last.select(
-        key,
-        "imsi",
-        "t",
-        F.shiftright("_last", PROC_BITS).alias("start_ms"),
-        F.col("_last").bitwiseAND(F.lit((1 << PROC_BITS) - 1)).cast("int").alias("proc_id"),
-    )
+    last = rows.groupBy(key, "imsi", "t").agg(F.max(packed_record()).alias("_last"))
+    return last.select(key, "imsi", "t", *unpacked_record(F.col("_last")))
 
 
 def series_ends(records: DataFrame, grid: Grid, key: str = "bs") -> DataFrame:
@@ -115,8 +117,7 @@ def active_load(intervals: DataFrame, key: str = "bs") -> DataFrame:
 def mean_active_load(records: DataFrame, grid: Grid, to_grid_end: bool = False) -> DataFrame:
     """Mean number of active devices per station for every bucket: `t, mean_ue`."""
     load = active_load(active_intervals(records, grid, to_grid_end=to_grid_end))
-    stations = grid.assign(records.where(F.col("bs").isNotNull())).select("bs")
-    return mean_over_stations(load, "n", "mean_ue", grid, stations)
+    return mean_over_stations(load, "n", "mean_ue", grid)
 
 
 def ue_set_union(left: DataFrame, right: DataFrame) -> DataFrame:

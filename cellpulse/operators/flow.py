@@ -15,7 +15,15 @@ from cellpulse.functions.timegrid import Grid
 from cellpulse.operators.load import placed
 from cellpulse.plans.bounded import broadcast_if_small
 from cellpulse.plans.dense import zero_filled
-from cellpulse.plans.masks import bit_counts, masks_of_buckets, masks_of_ranges, moving_only
+from cellpulse.plans.masks import (
+    bit_counts,
+    bit_sums,
+    masks_of_buckets,
+    masks_of_ranges,
+    moving_only,
+    per_bucket,
+    sums_of_bit_sums,
+)
 
 
 def _meetings(masks: DataFrame, edges: DataFrame) -> DataFrame:
@@ -100,15 +108,16 @@ def presence_flow(
             .withColumn("came_out", F.when(outside, F.col("came")).otherwise(F.lit(0)))
             .withColumn("left_out", F.when(outside, F.col("left")).otherwise(F.lit(0)))
         )
-    came = bit_counts(met, ["bs"], ["came", "came_out"])
-    gone = bit_counts(
-        met.groupBy("bs", "imsi", "run").agg(
-            F.bit_or("left").alias("left"), F.bit_or("left_out").alias("left_out")
-        ),
-        ["bs"],
-        ["left", "left_out"],
+    came, left = ["came", "came_out"], ["left", "left_out"]
+    # One shuffle of the narrow rows brings a device's neighbours together; both
+    # the pair counts and the once-per-device masks are then taken in that stage.
+    by_device = (
+        met.repartition("bs", "imsi", "run")
+        .groupBy("bs", "imsi", "run")
+        .agg(*bit_sums(came), *(F.bit_or(c).alias(c) for c in left))
     )
-    flows = came.join(gone, ["bs", "t"]).where(F.col("t") <= grid.n)
+    counted = by_device.groupBy("bs", "run").agg(*sums_of_bit_sums(came), *bit_sums(left))
+    flows = per_bucket(counted, ["bs"], came + left).where(F.col("t") <= grid.n)
     plain = flows.select("bs", "t", F.col("came").alias("inflow"), F.col("left").alias("outflow"))
     if group is None:
         return plain

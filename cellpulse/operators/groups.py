@@ -9,7 +9,7 @@ from cellpulse.functions.cells import station_number
 from cellpulse.plans.bounded import broadcast_if_small
 
 # Group size up to which the group travels as one array inside the plan.
-ARRAY_GROUP_ROWS = 1_000
+ARRAY_GROUP_ROWS = 64
 
 
 def group_key(group: DataFrame, station: Column) -> tuple[str, Column]:
@@ -40,11 +40,12 @@ def record_stations(records: DataFrame) -> Column:
     return F.array_distinct(F.array_compact(named))
 
 
-def any_cell_in_group(records: DataFrame, group: DataFrame, record_key: str) -> DataFrame:
+def any_cell_in_group(records: DataFrame, group: DataFrame) -> DataFrame:
     """Records that name at least one station of the group in any cell column.
 
-    A small group is compared as an array with no shuffle. A larger one is
-    matched by exploding the stations and joining back on `record_key`.
+    A small group is compared as an array, with no shuffle. For a larger one the
+    distinct station lists are matched and joined back: whether a record stays
+    depends on its list alone.
     """
     name, _ = group_key(group, F.col("bs"))
     members = group.select(F.col(name).alias("_member")).distinct()
@@ -58,9 +59,11 @@ def any_cell_in_group(records: DataFrame, group: DataFrame, record_key: str) ->
         return named.where(F.arrays_overlap("_stations", member_array)).drop("_stations")
 
     hits = (
-        named.select(record_key, F.explode("_stations").alias("_member"))
+        named.select("_stations")
+        .distinct()
+        .select("_stations", F.explode("_stations").alias("_member"))
         .join(broadcast_if_small(members), "_member", "left_semi")
-        .select(record_key)
+        .select("_stations")
         .distinct()
     )
-    return named.drop("_stations").join(hits, record_key, "left_semi")
+    return named.join(hits, "_stations", "left_semi").drop("_stations")

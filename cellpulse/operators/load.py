@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellpulse.functions.geo import distance_km
@@ -71,23 +71,29 @@ def load_trace(load: DataFrame, stations: DataFrame, grid: Grid) -> DataFrame:
     )
 
 
-def mean_over_stations(
-    station_values: DataFrame, value: str, out: str, grid: Grid, stations: DataFrame | None = None
-) -> DataFrame:
+def mean_over_stations(station_values: DataFrame, value: str, out: str, grid: Grid) -> DataFrame:
     """Sum over stations divided by the number of stations, for every bucket: `t, <out>`.
 
-    Stations are those with a row anywhere in the grid, unless given.
+    Stations are those with a row anywhere in the grid. Each is counted in its
+    first bucket, so that sums and number come from one pass over the records.
     """
-    counted = station_values if stations is None else stations
-    number = counted.agg(F.countDistinct("bs")).scalar()
-    sums = station_values.groupBy("t").agg(F.sum(value).cast("double").alias(out))
-    return zero_filled_times(sums, grid, [out]).select("t", (F.col(out) / number).alias(out))
+    series = Window.partitionBy("bs").orderBy("t")
+    first = F.when(F.row_number().over(series) == 1, F.lit(1)).otherwise(F.lit(0))
+    sums = (
+        station_values.select("bs", "t", value, first.alias("_new"))
+        .groupBy("t")
+        .agg(F.sum(value).cast("double").alias(out), F.sum("_new").alias("_new"))
+    )
+    # One row per bucket of the grid from here on.
+    whole = Window.partitionBy(F.lit(0))
+    return zero_filled_times(sums, grid, [out, "_new"]).select(
+        "t", (F.col(out) / F.sum("_new").over(whole)).alias(out)
+    )
 
 
 def agg_load(records: DataFrame, grid: Grid) -> DataFrame:
     """Mean number of devices per station for every bucket: `t, mean_ue`."""
-    stations = placed(records, grid).select("bs")
-    return mean_over_stations(ue_load(records, grid), "ue", "mean_ue", grid, stations)
+    return mean_over_stations(ue_load(records, grid), "ue", "mean_ue", grid)
 
 
 def bs_volatility(dense: DataFrame) -> DataFrame:

@@ -88,7 +88,7 @@ def bler_mean(records: DataFrame, grid: Grid) -> DataFrame:
         (F.sum(bler_sum(*samples)) / (100 * F.sum(bler_count(*samples)))).alias("device_bler")
     )
     per_station = per_device.groupBy("bs", "t").agg(F.avg("device_bler").alias("station_bler"))
-    return mean_over_stations(per_station, "station_bler", "bler", grid, sampled.select("bs"))
+    return mean_over_stations(per_station, "station_bler", "bler", grid)
 
 
 def bler_by_bs(records: DataFrame, grid: Grid, group: DataFrame | None = None) -> DataFrame:

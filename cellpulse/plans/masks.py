@@ -60,19 +60,32 @@ def moving_only(masks: DataFrame) -> DataFrame:
     return seen.where(F.col("_lo") != F.col("_hi")).drop("_lo", "_hi")
 
 
-def bit_counts(masks: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """For every key and bucket, how many rows have its bit set: `<keys>, t, <columns>`.
-
-    Each bit is its own sum, so rows combine before the shuffle.
-    """
-    sums = [
+def bit_sums(columns: list[str]) -> list[Column]:
+    """One sum per bit of each mask column, named `<column>_<bit>`."""
+    return [
         F.expr(f"sum((shiftright({c}, {i}) & 1)) AS {c}_{i}") for c in columns for i in range(RUN)
     ]
-    counted = masks.groupBy(*keys, "run").agg(*sums)
-    per_bucket = ", ".join(
+
+
+def sums_of_bit_sums(columns: list[str]) -> list[Column]:
+    return [F.expr(f"sum({c}_{i}) AS {c}_{i}") for c in columns for i in range(RUN)]
+
+
+def per_bucket(sums: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Rows `<keys>, t, <columns>` from bit sums per run."""
+    buckets = ", ".join(
         f"named_struct('t', run * {RUN} + {i + 1}"
         + "".join(f", '{c}', {c}_{i}" for c in columns)
         + ")"
         for i in range(RUN)
     )
-    return counted.select(*keys, F.expr(f"inline(array({per_bucket}))"))
+    return sums.select(*keys, F.expr(f"inline(array({buckets}))"))
+
+
+def bit_counts(masks: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """For every key and bucket, how many rows have its bit set: `<keys>, t, <columns>`.
+
+    Each bit is its own sum, so rows combine before the shuffle.
+    """
+    counted = masks.groupBy(*keys, "run").agg(*bit_sums(columns))
+    return per_bucket(counted, keys, columns)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from datetime import date, datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamReader
 
 from cellpulse.functions.cells import measured_stations, station_of
-from cellpulse.schema import FIELD_POSITION, FIELD_TYPE
+from cellpulse.schema import FIELD_POSITION, FIELD_TYPE, FIRST_MEASURED_FIELD
 
 RECORD_FILES = "*MMEpcmd*"
 HOUR_MS = 3_600_000
@@ -35,29 +36,50 @@ def read_lines(spark: SparkSession, path: str, pattern: str = RECORD_FILES) -> D
     return text.select(F.col("value").alias("line"), F.col("_metadata.file_name").alias("file_name"))
 
 
-def parse_lines(lines: DataFrame, column: str = "line") -> DataFrame:
-    """Typed record columns from a column of raw lines.
+def _typed(raw: str, name: str) -> str:
+    """SQL for a field from its raw text; empty is null, except that `imsi` stays text.
 
-    Empty fields become null, except `imsi`: records without one count together
-    as one device. Station columns are the 13-character codes of the cells.
+    Records without a device id count together as one device.
     """
-    split = lines.withColumn("_fields", F.split(F.col(column), ";", -1))
+    if name == "imsi":
+        return f"coalesce({raw}, '') AS {name}"
+    if FIELD_TYPE[name] == "string":
+        return f"nullif({raw}, '') AS {name}"
+    return f"try_cast(trim({raw}) AS {FIELD_TYPE[name]}) AS {name}"
 
-    def typed(name: str) -> str:
-        raw = f"get(_fields, {FIELD_POSITION[name] - 1})"
-        if name == "imsi":
-            return f"{raw} AS {name}"
-        if FIELD_TYPE[name] == "string":
-            return f"nullif({raw}, '') AS {name}"
-        return f"try_cast(trim({raw}) AS {FIELD_TYPE[name]}) AS {name}"
 
+def parse_lines(lines: DataFrame, column: str = "line") -> DataFrame:
+    """Typed record columns, station codes and the measured-cell list from raw lines."""
+    split = lines.withColumn("_fields", F.split(F.col(column), ";", -1))
     parsed = split.select(
-        *(F.expr(typed(name)) for name in FIELD_POSITION),
-        measured_stations(F.col(column), F.col("_fields")).alias("measured"),
+        *(F.expr(_typed(f"get(_fields, {at - 1})", name)) for name, at in FIELD_POSITION.items()),
+        measured_stations(F.col(column)).alias("measured"),
     )
     return with_stations(parsed)
 
 
+def delimited(reader: DataFrameReader | DataStreamReader, pattern: str = RECORD_FILES):
+    """A reader set up for the fixed fields of record files, all as text.
+
+    The delimited reader hands over only the fields a query asks for, which a
+    split of the whole line cannot.
+    """
+    schema = ", ".join(f"_{at} string" for at in range(1, FIRST_MEASURED_FIELD))
+    return (
+        reader.format("csv")
+        .schema(schema)
+        .options(sep=";", quote="", escape="", header=False, mode="PERMISSIVE")
+        .option("pathGlobFilter", pattern)
+    )
+
+
+def typed_fields(raw: DataFrame) -> DataFrame:
+    """Typed record columns and station codes from the fields of a delimited reader."""
+    return with_stations(
+        raw.selectExpr(*(_typed(f"_{at}", name) for name, at in FIELD_POSITION.items()))
+    )
+
+
 def with_stations(records: DataFrame) -> DataFrame:
     """Add the station code of each of the four cell columns."""
     return records.withColumns(
@@ -70,6 +92,22 @@ def with_stations(records: DataFrame) -> DataFrame:
     )
 
 
+def _in_time(
+    files: DataFrame, start_ms: int | None, end_ms: int | None, day: date | None, zone: str
+) -> DataFrame:
+    """Rows of the files whose name time lies in the range; other files are not opened."""
+    if start_ms is None and end_ms is None:
+        return files
+    if day is None:
+        raise ValueError("a time range over file names needs the day of the files")
+    at = file_clock_ms(F.col("_metadata.file_name"), day, zone)
+    if start_ms is not None:
+        files = files.where(at >= F.lit(start_ms))
+    if end_ms is not None:
+        files = files.where(at < F.lit(end_ms))
+    return files
+
+
 def read_records(
     spark: SparkSession,
     path: str,
@@ -78,34 +116,34 @@ def read_records(
     day: date | None = None,
     zone: str = "America/New_York",
     pattern: str = RECORD_FILES,
+    measured: bool = False,
 ) -> DataFrame:
-    """Typed records of all files, or of those whose name time lies in `[start_ms, end_ms)`."""
-    lines = read_lines(spark, path, pattern)
-    if start_ms is not None or end_ms is not None:
-        if day is None:
-            raise ValueError("a time range over file names needs the day of the files")
-        at = file_clock_ms(F.col("file_name"), day, zone)
-        if start_ms is not None:
-            lines = lines.where(at >= F.lit(start_ms))
-        if end_ms is not None:
-            lines = lines.where(at < F.lit(end_ms))
-    return parse_lines(lines)
-
-
-def land_records(records: DataFrame, path: str, slot_ms: int = HOUR_MS) -> None:
+    """Typed records of all files, or of those whose name time lies in `[start_ms, end_ms)`.
+
+    `measured` adds the measured-cell list, which needs the whole line.
+    """
+    if measured:
+        text = spark.read.option("pathGlobFilter", pattern).text(path)
+        return parse_lines(_in_time(text, start_ms, end_ms, day, zone), "value")
+    raw = delimited(spark.read, pattern).load(path)
+    return typed_fields(_in_time(raw, start_ms, end_ms, day, zone))
+
+
+def land_records(
+    records: DataFrame, path: str, slot_ms: int = HOUR_MS, spread: bool = False
+) -> None:
     """Write records as parquet partitioned by time slot, so later reads prune by time.
 
-    Range partitioning on the slot and the time inside it spreads a busy slot
-    over several tasks and files.
+    Record files hold one stretch of time each, so tasks write straight into
+    their slots. For rows in no time order, `spread` first range partitions on the
+    slot and the time inside it, which cuts a busy slot into several files.
     """
     slotted = records.withColumn(
         "slot", F.floor(F.col("start_ms") / F.lit(slot_ms)).cast("bigint")
     )
-    (
-        slotted.repartitionByRange("slot", "start_ms", "rec_seq")
-        .write.partitionBy("slot")
-        .parquet(path)
-    )
+    if spread:
+        slotted = slotted.repartitionByRange("slot", "start_ms", "rec_seq")
+    slotted.write.partitionBy("slot").parquet(path)
 
 
 def read_landed(

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellpulse.functions.measures import is_release
 from cellpulse.functions.timegrid import Grid
+from cellpulse.operators.active import packed_record, unpacked_record
 from cellpulse.schema import RELEASE_PROCEDURES
 
 OUTPUT = "bs {bs}, imsi {imsi}, start_ms bigint, proc_id int, active boolean"
@@ -63,3 +65,16 @@ def final_state(changes: DataFrame) -> DataFrame:
         .agg(F.max("start_ms").alias("start_ms"), newest.alias("_newest"))
         .select("bs", "imsi", "start_ms", "_newest.proc_id", "_newest.active")
     )
+
+
+def stream_last_record(records: DataFrame, grid: Grid) -> DataFrame:
+    """The same state as a plain streaming aggregate, for sinks that take updates.
+
+    Runs in update or complete mode with no Python workers: `bs, imsi, start_ms,
+    proc_id, active`.
+    """
+    placed = grid.assign(records.where(F.col("bs").isNotNull()))
+    newest = placed.groupBy("bs", "imsi").agg(F.max(packed_record()).alias("_last"))
+    return newest.select("bs", "imsi", *unpacked_record(F.col("_last"))).withColumn(
+        "active", ~is_release(F.col("proc_id"))
+    )

@@ -7,19 +7,15 @@ from pyspark.sql import functions as F
 
 from cellpulse.functions.measures import count_where, is_attempt, is_failure, is_release
 from cellpulse.functions.timegrid import Grid
-from cellpulse.sources.records import RECORD_FILES, parse_lines
+from cellpulse.sources.records import RECORD_FILES, delimited, typed_fields
 
 
 def stream_records(
     spark: SparkSession, path: str, files_per_trigger: int = 60, pattern: str = RECORD_FILES
 ) -> DataFrame:
     """Typed records from record files as they arrive."""
-    lines = (
-        spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
-        .option("pathGlobFilter", pattern)
-        .text(path)
-    )
-    return parse_lines(lines, "value")
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
+    return typed_fields(delimited(reader, pattern).load(path))
 
 
 def event_time(start_ms: Column) -> Column:

@@ -51,7 +51,7 @@ def folder(tmp_path_factory):
 
 
 def test_scan(spark, folder):
-    rows = {r.rec_seq: r for r in records.read_records(spark, folder).collect()}
+    rows = {r.rec_seq: r for r in records.read_records(spark, folder, measured=True).collect()}
     assert set(rows) == {1, 2, 3, 4}
     assert (rows[1].bs, rows[1].cfc, rows[1].ul_init_bler) == ("311:480:15fdf", None, 7)
     assert (rows[2].bs, rows[2].imsi, rows[2].cfc) == (None, "", 2)
@@ -61,6 +61,18 @@ def test_scan(spark, folder):
     assert rows[3].measured == []
 
 
+def test_both_readers_agree(spark, folder):
+    whole = records.read_records(spark, folder, measured=True).drop("measured")
+    fields = records.read_records(spark, folder).select(whole.columns)
+    assert fields.dtypes == whole.dtypes
+    assert whole.exceptAll(fields).count() == fields.exceptAll(whole).count() == 0
+
+
+def test_reader_takes_only_the_fields_it_needs(spark, folder):
+    plan = records.read_records(spark, folder).select("bs", "imsi")._jdf.queryExecution()
+    assert "ReadSchema: struct<_18:string,_21:string>" in plan.executedPlan().toString()
+
+
 def test_field_count(spark, folder):
     lines = records.read_lines(spark, folder)
     assert lines.select(F.size(F.split("line", ";", -1)).alias("n")).distinct().first().n == 255
@@ -78,12 +90,12 @@ def test_time_range_of_files(spark, folder):
 
 def test_group_by_any_cell_of_a_record(spark, folder):
     group = spark.createDataFrame([(0x15FE0,)], "bs_id bigint")
-    parsed = records.read_records(spark, folder)
-    assert sorted(r.rec_seq for r in groups.any_cell_in_group(parsed, group, "rec_seq").collect()) == [2, 3]
+    parsed = records.read_records(spark, folder, measured=True)
+    assert sorted(r.rec_seq for r in groups.any_cell_in_group(parsed, group).collect()) == [2, 3]
     groups_limit = groups.ARRAY_GROUP_ROWS
     try:
         groups.ARRAY_GROUP_ROWS = 0
-        joined = groups.any_cell_in_group(parsed, group, "rec_seq").collect()
+        joined = groups.any_cell_in_group(parsed, group).collect()
     finally:
         groups.ARRAY_GROUP_ROWS = groups_limit
     assert sorted(r.rec_seq for r in joined) == [2, 3]
@@ -125,9 +137,10 @@ def test_adjacency_round_trip(spark, tmp_path):
     assert all((n, bs) in pairs for bs, n in pairs)
 
 
-def test_landed_records_prune_slots(spark, tmp_path):
+@pytest.mark.parametrize("spread", [False, True])
+def test_landed_records_prune_slots(spark, tmp_path, spread):
     rows = frame(spark, [{"rec_seq": i, "start_ms": i * 1_000, "bs": "s"} for i in range(100)])
-    records.land_records(rows, str(tmp_path / "landed"), slot_ms=10_000)
+    records.land_records(rows, str(tmp_path / "landed"), slot_ms=10_000, spread=spread)
     got = records.read_landed(spark, str(tmp_path / "landed"), 25_000, 41_000, slot_ms=10_000)
     assert sorted(r.rec_seq for r in got.collect()) == list(range(25, 41))
     plan = got._jdf.queryExecution().executedPlan().toString()

@@ -73,3 +73,14 @@ def test_active_state(spark, folder, tmp_path):
     open_ones = seen.join(newest, ["bs", "imsi", "t"]).where("proc_id NOT IN (3, 11)")
     assert rows_of(got) == rows_of(open_ones.select("bs", "imsi"))
     assert got.count() <= whole.where(f"t1 = {GRID.n}").select("bs", "imsi").distinct().count()
+
+
+def test_last_record_as_an_aggregate(spark, folder, tmp_path):
+    stream = active_state.stream_last_record(stream_of(spark, folder), GRID)
+    changes = run(spark, active_state.stream_active_state(stream_of(spark, folder), GRID), tmp_path)
+    query = (
+        stream.writeStream.outputMode("complete").format("memory").queryName("newest")
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    assert rows_of(spark.table("newest")) == rows_of(active_state.final_state(changes))
