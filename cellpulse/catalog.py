@@ -365,12 +365,12 @@ def active_ues(spark, sf_dir):
 
 @query
 def active_load(spark, sf_dir):
-    return active.active_load(active.active_intervals(_calls(spark, sf_dir), GRID))
+    return active.active_load(active.open_ranges(_calls(spark, sf_dir), GRID))
 
 
 @query
 def cell_active_load(spark, sf_dir):
-    ranges = active.active_intervals(_calls(spark, sf_dir), GRID, key="cur_cell")
+    ranges = active.open_ranges(_calls(spark, sf_dir), GRID, key="cur_cell")
     return active.active_load(ranges, key="cur_cell")
 
 

@@ -52,6 +52,19 @@ def series_ends(records: DataFrame, grid: Grid, key: str = "bs") -> DataFrame:
     return rows.groupBy(key).agg(F.max("t").alias("last_t"))
 
 
+def open_ranges(records: DataFrame, grid: Grid, key: str = "bs") -> DataFrame:
+    """Bucket ranges in which a device is active: `<key>, imsi, t0, t1`.
+
+    A range begins at a bucket with a record. It reaches to its own bucket when
+    that ends in a release, else to the one before the next bucket with a record;
+    `t1` is null when there is none.
+    """
+    following = F.lead("t").over(Window.partitionBy(key, "imsi").orderBy("t"))
+    seen = last_record(records, grid, key).withColumn("_next", following)
+    until = F.when(is_release(F.col("proc_id")), F.col("t")).otherwise(F.col("_next") - 1)
+    return seen.select(key, "imsi", F.col("t").alias("t0"), until.alias("t1"))
+
+
 def active_intervals(
     records: DataFrame,
     grid: Grid,
@@ -59,27 +72,20 @@ def active_intervals(
     ends: DataFrame | None = None,
     to_grid_end: bool = False,
 ) -> DataFrame:
-    """Bucket ranges in which a device is active: `<key>, imsi, t0, t1, last_t`.
+    """`open_ranges` with the open ones closed at the last bucket of the key's series.
 
-    `last_t` is the last bucket of the key's series, from `ends` where that table
-    is at hand. A range begins at a bucket with a record and reaches to the one
-    before the next such bucket, to its own bucket when it ends in a release, or
-    to `last_t`. With `to_grid_end` series run to the end of the grid.
+    That bucket comes from `ends` where the table is at hand. With `to_grid_end`
+    series run to the end of the grid.
     """
-    following = F.lead("t").over(Window.partitionBy(key, "imsi").orderBy("t"))
-    seen = last_record(records, grid, key).withColumn("_next", following)
+    ranges = open_ranges(records, grid, key)
     if to_grid_end:
-        open_ranges = seen.withColumn("last_t", F.lit(grid.n))
-    else:
-        # One row per key. Adaptive execution sees its real size before the
-        # ranges are shuffled and broadcasts it when small; otherwise it is a
-        # sort-merge join whose skewed keys are split.
-        open_ranges = seen.join(series_ends(records, grid, key) if ends is None else ends, key)
-    until = F.when(is_release(F.col("proc_id")), F.col("t")).otherwise(
-        F.coalesce(F.col("_next") - 1, F.col("last_t"))
-    )
-    return open_ranges.select(
-        key, "imsi", F.col("t").alias("t0"), until.cast("int").alias("t1"), "last_t"
+        return ranges.withColumn("t1", F.coalesce("t1", F.lit(grid.n)))
+    # One row per key. Adaptive execution sees its real size before the ranges
+    # are shuffled and broadcasts it when small; otherwise it is a sort-merge
+    # join whose skewed keys are split.
+    last = series_ends(records, grid, key) if ends is None else ends
+    return ranges.join(last, key).select(
+        key, "imsi", "t0", F.coalesce("t1", "last_t").alias("t1")
     )
 
 
@@ -88,36 +94,52 @@ def active_ues(intervals: DataFrame, key: str = "bs") -> DataFrame:
     return intervals.select(key, "imsi", F.explode(F.sequence("t0", "t1")).alias("t"))
 
 
-def active_load(intervals: DataFrame, key: str = "bs") -> DataFrame:
+def active_load(ranges: DataFrame, key: str = "bs") -> DataFrame:
     """Number of active devices per bucket of a key's series: `<key>, t, n`.
 
-    Only the ends of the ranges are counted, then summed up along the series; a
-    count holds until the next change. The series starts at bucket 1.
+    Takes open or closed ranges. Only their ends are counted, then summed up along
+    the series; a count holds until the next change. The series starts at bucket 1
+    and ends at the last bucket of any range.
     """
-    change = F.array(
-        F.struct(F.lit(1).alias("t"), F.lit(0).alias("d")),
-        F.struct(F.col("t0").alias("t"), F.lit(1).alias("d")),
-        F.struct((F.col("t1") + 1).alias("t"), F.lit(-1).alias("d")),
+    change = F.array_compact(
+        F.array(
+            F.struct(F.lit(1).alias("t"), F.lit(0).alias("d")),
+            F.struct(F.col("t0").alias("t"), F.lit(1).alias("d")),
+            F.when(
+                F.col("t1").isNotNull(),
+                F.struct((F.col("t1") + 1).alias("t"), F.lit(-1).alias("d")),
+            ),
+        )
     )
     changes = (
-        intervals.select(key, "last_t", F.inline(change))
+        ranges.select(key, F.coalesce("t1", "t0").alias("_last"), F.inline(change))
         .groupBy(key, "t")
-        .agg(F.sum("d").alias("d"), F.max("last_t").alias("last_t"))
+        .agg(F.sum("d").alias("d"), F.max("_last").alias("_last"))
     )
-    along = Window.partitionBy(key).orderBy("t")
-    levels = changes.where(F.col("t") <= F.col("last_t")).select(
+    # At most one row per bucket and key from here on.
+    series = Window.partitionBy(key)
+    along = series.orderBy("t")
+    levels = changes.select(
         key,
         "t",
-        F.coalesce(F.lead("t").over(along) - 1, F.col("last_t")).alias("_until"),
+        F.max("_last").over(series).alias("_end"),
+        F.lead("t").over(along).alias("_next"),
         F.sum("d").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("n"),
     )
-    return levels.select(key, F.explode(F.sequence("t", "_until")).alias("t"), "n")
+    until = F.least(F.coalesce(F.col("_next") - 1, F.col("_end")), F.col("_end"))
+    return levels.where(F.col("t") <= F.col("_end")).select(
+        key, F.explode(F.sequence("t", until)).alias("t"), "n"
+    )
 
 
 def mean_active_load(records: DataFrame, grid: Grid, to_grid_end: bool = False) -> DataFrame:
     """Mean number of active devices per station for every bucket: `t, mean_ue`."""
-    load = active_load(active_intervals(records, grid, to_grid_end=to_grid_end))
-    return mean_over_stations(load, "n", "mean_ue", grid)
+    ranges = (
+        active_intervals(records, grid, to_grid_end=True)
+        if to_grid_end
+        else open_ranges(records, grid)
+    )
+    return mean_over_stations(active_load(ranges), "n", "mean_ue", grid)
 
 
 def ue_set_union(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -55,7 +55,7 @@ def neighbor_flow(intervals: DataFrame, edges: DataFrame, ends: DataFrame) -> Da
     """Active devices that came from and went to a neighbour: `bs, t, inflow, outflow, net`.
 
     Summed over the neighbours that have records; every bucket of the station's
-    own series has a row. `intervals` are the active ranges and `ends` the last
+    own series has a row. `intervals` are closed active ranges and `ends` the last
     bucket of every station (`series_ends`), best as a computed table.
     """
     counts = bit_counts(

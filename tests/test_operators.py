@@ -66,8 +66,9 @@ def test_active_counts_on_skewed_rows(recs, rows):
         for t, devices in series.items()
         if t > 0
     }
-    ranges = active.active_intervals(recs, GRID, ends=active.series_ends(recs, GRID))
-    assert table(active.active_load(ranges), ["bs", "t"], ["n"]) == expected
+    closed = active.active_intervals(recs, GRID, ends=active.series_ends(recs, GRID))
+    for ranges in (closed, active.open_ranges(recs, GRID)):
+        assert table(active.active_load(ranges), ["bs", "t"], ["n"]) == expected
 
 
 @pytest.mark.parametrize(
@@ -98,7 +99,7 @@ def test_release_then_new_record_in_one_bucket(spark):
 def test_series_to_grid_end(spark):
     df = frame(spark, [call("u", "s", 2, 16)])
     ranges = active.active_intervals(df, GRID, to_grid_end=True)
-    assert [tuple(r) for r in ranges.collect()] == [("s", "u", 2, GRID.n, GRID.n)]
+    assert [tuple(r) for r in ranges.collect()] == [("s", "u", 2, GRID.n)]
 
 
 def test_last_record_of_early_and_missing_values(spark):
