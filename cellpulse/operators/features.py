@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from cellpulse.functions.timegrid import Grid
 from cellpulse.operators.flow import dense_presence_flow, presence_flow
-from cellpulse.operators.groups import in_group
+from cellpulse.operators.groups import edges_of_group, in_group, relevant_stations
 from cellpulse.operators.load import bearer_load
 from cellpulse.operators.mobility import handover_fanout, handover_load
 from cellpulse.operators.quality import rolling_mean
 from cellpulse.plans.dense import zero_filled
-from cellpulse.sources.sites import edges_of_group, relevant_stations
 
 FEATURES = ("load_rate", "net_flow")
 SAMPLES = (3, 5, 10)

@@ -1,13 +1,14 @@
 """Window functions over keys that may hold a large share of all rows.
 
 A plain window sends every row of a key to one task. Here each key is cut into
-blocks of an ordered number (time, duration): the window runs inside a block,
-and one row per block carries the result over from the blocks before it.
+blocks of an ordered number (time, duration). One extra row per block carries
+the result of the blocks before it; it sorts first in its block, so the window
+inside the block starts from the right value.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -16,26 +17,38 @@ def block_of(value: Column, width: int) -> Column:
     return F.floor(value / F.lit(width)).cast("bigint")
 
 
+def _in_blocks(
+    blocked: DataFrame, carried: DataFrame, keys: list[str], order: list[str]
+) -> tuple[DataFrame, WindowSpec]:
+    """Rows together with the carried row of each block, and the window inside blocks."""
+    rows = blocked.withColumn("_row", F.lit(1)).unionByName(
+        carried.withColumn("_row", F.lit(0)), allowMissingColumns=True
+    )
+    return rows, Window.partitionBy(*keys, "_block").orderBy("_row", *order)
+
+
+def _rows_only(df: DataFrame, *helpers: str) -> DataFrame:
+    return df.where(F.col("_row") == 1).drop("_row", "_block", *helpers)
+
+
+def _before(keys: list[str]) -> WindowSpec:
+    """All blocks of a key before this one."""
+    return Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+
+
 def lag_by_blocks(
     df: DataFrame, keys: list[str], order: list[str], value: str, out: str, width: int
 ) -> DataFrame:
     """`lag(value)` per key in the given order; the first order column sets the block."""
     blocked = df.withColumn("_block", block_of(F.col(order[0]), width))
-    inside = Window.partitionBy(*keys, "_block").orderBy(*order)
     across = Window.partitionBy(*keys).orderBy("_block")
-
     carried = (
         blocked.groupBy(*keys, "_block")
         .agg(F.max_by(value, F.struct(*order)).alias("_tail"))
-        .select(*keys, "_block", F.lag("_tail").over(across).alias("_carried"))
-    )
-    return (
-        blocked.withColumn("_first", F.row_number().over(inside) == 1)
-        .withColumn("_lag", F.lag(value).over(inside))
-        .join(carried, [*keys, "_block"], "left")
-        .withColumn(out, F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_lag")))
-        .drop("_block", "_first", "_lag", "_carried")
+        .select(*keys, "_block", F.lag("_tail").over(across).alias(value))
     )
+    rows, inside = _in_blocks(blocked, carried, keys, order)
+    return _rows_only(rows.withColumn(out, F.lag(value).over(inside)))
 
 
 def position_by_blocks(
@@ -43,20 +56,14 @@ def position_by_blocks(
 ) -> DataFrame:
     """`row_number()` per key in the given order; the first order column sets the block."""
     blocked = df.withColumn("_block", block_of(F.col(order[0]), width))
-    inside = Window.partitionBy(*keys, "_block").orderBy(*order)
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-
-    offsets = (
+    carried = (
         blocked.groupBy(*keys, "_block")
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(*keys, "_block", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
-    )
-    return (
-        blocked.withColumn("_position", F.row_number().over(inside))
-        .join(offsets, [*keys, "_block"])
-        .withColumn(out, F.col("_position") + F.col("_offset"))
-        .drop("_block", "_position", "_offset")
+        .select(*keys, "_block", F.coalesce(F.sum("_rows").over(_before(keys)), F.lit(0)).alias("_n"))
     )
+    rows, inside = _in_blocks(blocked.withColumn("_n", F.lit(1)), carried, keys, order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    return _rows_only(rows.withColumn(out, F.sum("_n").over(upto)), "_n")
 
 
 def running_sum_by_blocks(
@@ -66,26 +73,21 @@ def running_sum_by_blocks(
 
     `order` holds each number once per key.
     """
+    total = f"{out}_total"
     blocked = df.withColumn("_block", block_of(F.col(order), width))
-    inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    per_key = Window.partitionBy(*keys)
-    before = per_key.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-
-    offsets = (
+    carried = (
         blocked.groupBy(*keys, "_block")
         .agg(F.sum(value).alias("_sum"))
         .select(
             *keys,
             "_block",
-            F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"),
-            F.sum("_sum").over(per_key).alias(f"{out}_total"),
+            F.coalesce(F.sum("_sum").over(_before(keys)), F.lit(0)).alias(value),
+            F.sum("_sum").over(Window.partitionBy(*keys)).alias(total),
         )
     )
-    return (
-        blocked.withColumn("_part", F.sum(value).over(inside))
-        .join(offsets, [*keys, "_block"])
-        .withColumn(out, F.col("_part") + F.col("_offset"))
-        .drop("_block", "_part", "_offset")
+    rows, inside = _in_blocks(blocked, carried, keys, [order])
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    summed = rows.withColumn(out, F.sum(value).over(upto)).withColumn(
+        total, F.first_value(total).over(upto)
     )
+    return _rows_only(summed)

@@ -35,18 +35,6 @@ def read_neighbors(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def edges_of_group(edges: DataFrame, group: DataFrame) -> DataFrame:
-    """Edges whose station is in the group."""
-    from cellpulse.operators.groups import in_group
-
-    return in_group(edges, group)
-
-
-def relevant_stations(edges: DataFrame) -> DataFrame:
-    """Stations of a group's edges and all their neighbours: `bs`."""
-    return edges.select(F.explode(F.array("bs", "n")).alias("bs")).distinct()
-
-
 def number_stations(stations: DataFrame) -> DataFrame:
     """Add the decimal id `bs_id` to station codes."""
     return stations.withColumn("bs_id", station_number(F.col("bs")))

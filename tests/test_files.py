@@ -117,9 +117,9 @@ def test_side_files(spark, tmp_path):
         ("311:480:15fdf", "311:480:15fe1"),
         ("311:480:15fe9", "311:480:15fe0"),
     ]
-    own = sites.edges_of_group(edges, group)
+    own = groups.edges_of_group(edges, group)
     assert {r.bs for r in own.collect()} == {"311:480:15fdf"}
-    assert {r.bs for r in sites.relevant_stations(own).collect()} == {
+    assert {r.bs for r in groups.relevant_stations(own).collect()} == {
         "311:480:15fdf", "311:480:15fe0", "311:480:15fe1",
     }
     numbered = sites.number_stations(own.select("bs").distinct()).first()

@@ -433,6 +433,16 @@ def test_blocked_windows_equal_plain_ones(recs, rows, width):
     assert {r.rec_seq: r.pos for r in placed.collect()} == order
 
 
+def test_blocked_windows_keep_rows_without_a_key(spark):
+    df = frame(spark, [{"rec_seq": i, "start_ms": i * 1_000, "bs": f"s{i}"} for i in range(6)])
+    placed = timeline.ue_timeline(df, ["cur_cell", "imsi"], block_ms=2_000)
+    assert {r.rec_seq: r.pos for r in placed.collect()} == {i: i + 1 for i in range(6)}
+    lagged = blocks.lag_by_blocks(df, ["imsi"], ["start_ms", "rec_seq"], "bs", "before", 2_000)
+    assert {r.rec_seq: r.before for r in lagged.collect()} == {
+        i: f"s{i - 1}" if i else None for i in range(6)
+    }
+
+
 def test_pages_hold_the_whole_timeline(recs, rows):
     placed = timeline.ue_timeline(recs.select("imsi", "start_ms", "rec_seq"), ["imsi"])
     pages = timeline.ue_timeline_pages(placed, ["imsi"], page_records=50).collect()
