@@ -12,8 +12,10 @@ from cellpulse.operators.groups import in_group
 from cellpulse.plans.bounded import broadcast_if_small, checkpointed
 from cellpulse.plans.dense import zero_filled, zero_filled_times
 
-# Fixed value: point the station distances are measured from.
+# Points (latitude, longitude) the station distances are measured from.
 ORIGIN = (40.70200, -74.06500)
+ORIGIN_EAST = (40.756, -73.846)
+ORIGIN_NORTH = (40.829, -73.926)
 
 
 def placed(records: DataFrame, grid: Grid, group: DataFrame | None = None) -> DataFrame:

@@ -283,6 +283,9 @@ STATUSES_FINE = """CASE WHEN source_bs IS NULL OR target_bs IS NULL THEN TRUE
   ELSE coalesce(x2_status, 0) = 0 AND coalesce(s1_status, 0) = 0 END"""
 MOBILITY = f"mob_trigger IS NOT NULL AND {NOT_FALLBACK_FAILED} AND {STATUSES_FINE}"
 
+# A stream holds back the buckets that end after its newest record.
+CLOSED = f"CAST(t AS BIGINT) * {WIDTH_MS} <= (SELECT max(start_ms) - 1 FROM pcmd)"
+
 PRUNED = f"start_ms >= {5 * DAY_MS + 3_600_000} AND start_ms < {9 * DAY_MS + 7_200_000}"
 
 ORACLE: dict[str, str] = {
@@ -459,9 +462,10 @@ SELECT t, {_round(["load_rate", "net_flow"])} FROM whole""",
     "stream_counts": f"""{VIEW}
 SELECT bs, t, count(*) FILTER (WHERE is_release) AS releases,
        count(*) FILTER (WHERE is_attempt) AS attempts,
-       count(*) FILTER (WHERE is_attempt AND cfc > 1) AS failures FROM pcmd GROUP BY bs, t""",
-    "stream_ue_load": f"{VIEW}{LOAD} SELECT bs, t, ue FROM load",
-    "stream_bearer_load": f"{VIEW}{LOAD} SELECT bs, t, ue, bearer FROM load",
+       count(*) FILTER (WHERE is_attempt AND cfc > 1) AS failures
+FROM pcmd WHERE {CLOSED} GROUP BY bs, t""",
+    "stream_ue_load": f"{VIEW}{LOAD} SELECT bs, t, ue FROM load WHERE {CLOSED}",
+    "stream_bearer_load": f"{VIEW}{LOAD} SELECT bs, t, ue, bearer FROM load WHERE {CLOSED}",
     "stream_active_state": f"""{VIEW}
 SELECT bs, imsi, start_ms, proc_id, NOT is_release AS active FROM (
   SELECT *, row_number() OVER (PARTITION BY bs, imsi ORDER BY start_ms DESC, proc_id DESC) AS rn

@@ -18,31 +18,44 @@ def stream_records(
     return typed_fields(delimited(reader, pattern).load(path))
 
 
-def event_time(start_ms: Column) -> Column:
-    return F.timestamp_millis(start_ms)
+def _bucketed(records: DataFrame, grid: Grid, delay: str) -> DataFrame:
+    """Records of the grid with their bucket as a window, watermarked by record time.
+
+    Spark windows are [lo, hi); a shift by the one millisecond records are counted
+    in turns them into the grid's (lo, hi]. Rows before the grid go to its first bucket.
+    """
+    start_ms = F.greatest(F.col("start_ms"), F.lit(grid.start_ms + 1))
+    width = f"{grid.width_ms} milliseconds"
+    offset = f"{grid.start_ms % grid.width_ms} milliseconds"
+    return (
+        records.where(F.col("bs").isNotNull() & grid.inside(F.col("start_ms")))
+        .withColumn("at", F.timestamp_millis(start_ms - 1))
+        .withWatermark("at", delay)
+        .withColumn("span", F.window("at", width, width, offset))
+    )
 
 
-def _bucketed(records: DataFrame, grid: Grid, delay: str) -> DataFrame:
-    """Bucketed records with `hi`, the end of the bucket, as watermarked event time."""
-    placed = grid.assign(records.where(F.col("bs").isNotNull()))
-    return placed.withColumn("hi", event_time(grid.upper_ms(F.col("t")))).withWatermark("hi", delay)
+def _bucket_of_span(grid: Grid) -> Column:
+    past = F.unix_millis(F.col("span.end")) - F.lit(grid.start_ms)
+    return F.call_function("div", past, F.lit(grid.width_ms)).cast("int").alias("t")
 
 
 def stream_counts(records: DataFrame, grid: Grid, delay: str = "10 minutes") -> DataFrame:
     """Releases, attempts and failures per station and bucket: `bs, t, releases, attempts, failures`.
 
-    A bucket is emitted once the watermark has passed its end; later rows are dropped.
+    A bucket is emitted once the newest record is `delay` past its end; rows that
+    come later are dropped.
     """
     attempt = is_attempt(F.col("proc_id"))
     return (
         _bucketed(records, grid, delay)
-        .groupBy("hi", "bs", "t")
+        .groupBy("span", "bs")
         .agg(
             count_where(is_release(F.col("proc_id"))).alias("releases"),
             count_where(attempt).alias("attempts"),
             count_where(attempt & is_failure(F.col("cfc"))).alias("failures"),
         )
-        .select("bs", "t", "releases", "attempts", "failures")
+        .select("bs", _bucket_of_span(grid), "releases", "attempts", "failures")
     )
 
 
@@ -53,27 +66,30 @@ def stream_bearer_load(records: DataFrame, grid: Grid, delay: str = "10 minutes"
     """
     per_device = (
         _bucketed(records, grid, delay)
-        .groupBy("hi", "bs", "t", "imsi")
+        .groupBy("span", "bs", "imsi")
         .agg(count_where(is_release(F.col("proc_id"))).alias("releases"))
     )
     return (
-        per_device.groupBy("hi", "bs", "t")
+        per_device.groupBy("span", "bs")
         .agg(
             F.count(F.lit(1)).alias("ue"),
             (F.count(F.lit(1)) + F.sum("releases")).alias("bearer"),
         )
-        .select("bs", "t", "ue", "bearer")
+        .select("bs", _bucket_of_span(grid), "ue", "bearer")
     )
 
 
 def stream_ue_load(records: DataFrame, grid: Grid, delay: str = "10 minutes") -> DataFrame:
-    """Distinct devices per station and bucket: `bs, t, ue`."""
-    devices = _bucketed(records, grid, delay).select("hi", "bs", "t", "imsi")
+    """Distinct devices per station and bucket: `bs, t, ue`.
+
+    A device is remembered until its bucket closes.
+    """
+    devices = _bucketed(records, grid, delay).select("span", "bs", "imsi")
     return (
-        devices.dropDuplicatesWithinWatermark(["bs", "imsi", "hi"])
-        .groupBy("hi", "bs", "t")
+        devices.dropDuplicates(["span", "bs", "imsi"])
+        .groupBy("span", "bs")
         .agg(F.count(F.lit(1)).alias("ue"))
-        .select("bs", "t", "ue")
+        .select("bs", _bucket_of_span(grid), "ue")
     )
 
 

@@ -1,6 +1,7 @@
 """Streams over several micro-batches give the batch results."""
 
 import gzip
+import os
 
 import pytest
 from rows import skewed_rows
@@ -40,6 +41,13 @@ def rows_of(df):
     return sorted(tuple(r[c] for c in sorted(df.columns)) for r in df.collect())
 
 
+def closed(spark, folder, df):
+    """The buckets a stream has emitted: those that end before its newest record."""
+    inside = records.read_records(spark, folder).where(f"start_ms < {GRID.end_ms}")
+    newest = inside.agg({"start_ms": "max"}).first()[0]
+    return df.where(f"t * {GRID.width_ms} <= {newest - 1}")
+
+
 def run(spark, stream, tmp_path):
     return counts.run_to_table(stream, str(tmp_path / "out"), str(tmp_path / "state"))
 
@@ -48,19 +56,38 @@ def test_counts(spark, folder, tmp_path):
     batch = records.read_records(spark, folder)
     expected = quality.failure_rate(batch, GRID).select("bs", "t", "attempts", "failures")
     got = run(spark, counts.stream_counts(stream_of(spark, folder), GRID, "0 seconds"), tmp_path)
-    assert rows_of(got.drop("releases")) == rows_of(expected)
+    assert rows_of(got.drop("releases")) == rows_of(closed(spark, folder, expected))
 
 
 def test_distinct_devices(spark, folder, tmp_path):
     expected = load.ue_load(records.read_records(spark, folder), GRID)
     got = run(spark, counts.stream_ue_load(stream_of(spark, folder), GRID, "0 seconds"), tmp_path)
-    assert rows_of(got) == rows_of(expected)
+    assert rows_of(got) == rows_of(closed(spark, folder, expected))
 
 
 def test_bearer_load(spark, folder, tmp_path):
     expected = load.bearer_load(records.read_records(spark, folder), GRID)
     got = run(spark, counts.stream_bearer_load(stream_of(spark, folder), GRID, "0 seconds"), tmp_path)
-    assert rows_of(got) == rows_of(expected)
+    assert rows_of(got) == rows_of(closed(spark, folder, expected))
+
+
+@pytest.mark.parametrize("delay, kept", [("90 seconds", 3), ("0 seconds", 2)])
+def test_late_rows(spark, tmp_path, delay, kept):
+    """A row of bucket 1 after rows of bucket 2 counts only within the delay."""
+    folder = tmp_path / "late"
+    folder.mkdir()
+    for number, times in enumerate([[10_000, 60_000], [70_000], [71_000], [50_000], [500_000]]):
+        name = folder / f"a.0{number}-00.MMEpcmd.-0400.gz"
+        with gzip.open(name, "wt") as f:
+            for at in times:
+                values = [""] * 255
+                values[6], values[7], values[17], values[20] = "16", str(at), f"u{at}", "311:480:0000101"
+                f.write(";".join(values) + "\n")
+        os.utime(name, (number, number))
+    stream = counts.stream_records(spark, str(folder), files_per_trigger=1)
+    got = run(spark, counts.stream_bearer_load(stream, GRID, delay), tmp_path)
+    # 60,000 ms is the last instant of bucket 1.
+    assert {r.t: r.ue for r in got.collect()}[1] == kept
 
 
 def test_active_state(spark, folder, tmp_path):
