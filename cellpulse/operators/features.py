@@ -9,33 +9,44 @@ from cellpulse.functions.timegrid import Grid
 from cellpulse.operators.flow import dense_presence_flow, presence_flow
 from cellpulse.operators.groups import edges_of_group, in_group, relevant_stations
 from cellpulse.operators.load import bearer_load
-from cellpulse.operators.mobility import handover_fanout, handover_load
+from cellpulse.operators.mobility import handover_devices
 from cellpulse.operators.quality import rolling_mean
+from cellpulse.plans.bounded import checkpointed
 from cellpulse.plans.dense import zero_filled
 
 FEATURES = ("load_rate", "net_flow")
 SAMPLES = (3, 5, 10)
 
 
-def ue_arrivals(records: DataFrame, grid: Grid) -> DataFrame:
-    """Devices in a bucket that were not in the station's bucket before: `bs, t, arrivals`.
+def _with_arrivals(devices: DataFrame, sums: list[str]) -> DataFrame:
+    """Devices, arrivals and the given sums per station and bucket, from rows `bs, t, imsi`.
 
-    The bucket before is the last one with any record of the station; the first
-    bucket has no arrivals. Devices are first counted by the bucket they were
-    last seen in, so only small counts meet the station's own sequence.
+    Devices are first counted by the bucket they were last seen in, so only small
+    counts meet the station's own sequence of buckets.
     """
-    seen = grid.assign(records.where(F.col("bs").isNotNull())).select("bs", "imsi", "t").distinct()
     before = F.lag("t").over(Window.partitionBy("bs", "imsi").orderBy("t"))
     by_last = (
-        seen.withColumn("last_seen", before)
+        devices.withColumn("last_seen", before)
         .groupBy("bs", "t", "last_seen")
-        .agg(F.count(F.lit(1)).alias("cnt"))
+        .agg(F.count(F.lit(1)).alias("ue"), *(F.sum(c).alias(c) for c in sums))
     )
     along = Window.partitionBy("bs").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
     at = by_last.withColumn("prev_t", F.max("t").over(along))
     is_new = F.col("last_seen").isNull() | (F.col("last_seen") < F.col("prev_t"))
-    new = F.when(F.col("prev_t").isNotNull() & is_new, F.col("cnt")).otherwise(F.lit(0))
-    return at.groupBy("bs", "t").agg(F.sum(new).alias("arrivals"))
+    new = F.when(F.col("prev_t").isNotNull() & is_new, F.col("ue")).otherwise(F.lit(0))
+    return at.groupBy("bs", "t").agg(
+        F.sum("ue").alias("ue"), F.sum(new).alias("arrivals"), *(F.sum(c).alias(c) for c in sums)
+    )
+
+
+def ue_arrivals(records: DataFrame, grid: Grid) -> DataFrame:
+    """Devices in a bucket that were not in the station's bucket before: `bs, t, arrivals`.
+
+    The bucket before is the last one with any record of the station; the first
+    bucket has no arrivals.
+    """
+    devices = grid.assign(records.where(F.col("bs").isNotNull())).select("bs", "imsi", "t")
+    return _with_arrivals(devices.distinct(), []).select("bs", "t", "arrivals")
 
 
 def handover_training_rows(records: DataFrame, grid: Grid, group: DataFrame) -> DataFrame:
@@ -43,10 +54,12 @@ def handover_training_rows(records: DataFrame, grid: Grid, group: DataFrame) ->
 
     Arrivals count the devices of the same fanned-out records as the load.
     """
-    fanned = handover_fanout(grid.assign(records), group).select(
-        F.col("station").alias("bs"), "imsi", "start_ms"
+    rows = _with_arrivals(
+        handover_devices(records, grid, group), ["releases", "in_ho", "out_ho"]
+    )
+    return rows.select(
+        "bs", "t", (F.col("ue") + F.col("releases")).alias("bearer"), "in_ho", "out_ho", "arrivals"
     )
-    return handover_load(records, grid, group).join(ue_arrivals(fanned, grid), ["bs", "t"])
 
 
 def bs_features(
@@ -59,7 +72,8 @@ def bs_features(
     """
     own_edges = edges_of_group(edges, group)
     relevant = in_group(records, relevant_stations(own_edges))
-    load = bearer_load(relevant, grid, group)
+    # Read for the stations and for their loads.
+    load = checkpointed(bearer_load(relevant, grid, group))
     stations = load.select("bs").distinct()
     flow = presence_flow(relevant, grid, own_edges, group)
 

@@ -117,15 +117,19 @@ def handover_fanout(records: DataFrame, group: DataFrame) -> DataFrame:
     return in_group(records.withColumn("station", F.explode(concerned)), group, "station")
 
 
-def handover_load(records: DataFrame, grid: Grid, group: DataFrame) -> DataFrame:
-    """Bearer load, arriving and leaving handovers: `bs, t, bearer, in_ho, out_ho`."""
+def handover_devices(records: DataFrame, grid: Grid, group: DataFrame) -> DataFrame:
+    """Fanned-out records per device: `bs, t, imsi, releases, in_ho, out_ho`."""
     fanned = handover_fanout(grid.assign(records), group)
-    per_device = fanned.groupBy("station", "t", "imsi").agg(
+    return fanned.groupBy(F.col("station").alias("bs"), "t", "imsi").agg(
         count_where(is_release(F.col("proc_id"))).alias("releases"),
         count_where(_both_ends() & (F.col("target_bs") == F.col("station"))).alias("in_ho"),
         count_where(_both_ends() & (F.col("source_bs") == F.col("station"))).alias("out_ho"),
     )
-    return per_device.groupBy(F.col("station").alias("bs"), "t").agg(
+
+
+def handover_load(records: DataFrame, grid: Grid, group: DataFrame) -> DataFrame:
+    """Bearer load, arriving and leaving handovers: `bs, t, bearer, in_ho, out_ho`."""
+    return handover_devices(records, grid, group).groupBy("bs", "t").agg(
         (F.count(F.lit(1)) + F.sum("releases")).alias("bearer"),
         F.sum("in_ho").alias("in_ho"),
         F.sum("out_ho").alias("out_ho"),
