@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,20 +13,17 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder.
+    """The folder for intermediate tables, which the driver and all executors see.
 
-    Taken from `spark.checkpoint.dir` or from the context. A temporary folder is
-    made only for a local master, where driver and executors share one disk.
+    Taken from `spark.checkpoint.dir` or from the context; where neither is set, a
+    folder of the session's warehouse.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
         "spark.checkpoint.dir"
     )
-    known = configured or context.getCheckpointDir()
-    if known is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        known = tempfile.mkdtemp(prefix="cellpulse-checkpoint-")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    known = configured or context.getCheckpointDir() or f"{warehouse}/_intermediate"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(known)
     return known
