@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -118,7 +119,7 @@ def running_before(
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_chars: int) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about `max_chars` bytes of a text column, or one row."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(batch.schema.get_field_index(column)))
+        sizes = pc.binary_length(batch.column(batch.schema.get_field_index(column)))
         begin, held = 0, 0
         for at, size in enumerate(sizes.to_pylist()):
             if at > begin and held + (size or 0) > max_chars:
