@@ -19,10 +19,10 @@ other by text; an empty table gives no rows; other columns are not carried over.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellpulse.llm.common import count_at_most, let
+from cellpulse.llm.common import count_at_most
 
 PIECE_CHARS = 200
 BASE_LEVEL = 3
@@ -32,243 +32,136 @@ WINDOW_BITS = BITS // TABLES
 RETRIES = 8
 PEEL_ROUNDS = 40
 BLOCKS_PER_PARTITION = 4
-_LOW = (1 << BITS) - 1
+_LOW = f"{(1 << BITS) - 1}L"
+_ZERO = "named_struct('n', 0, 'k', 0L, 'c', 0L)"
+_NONE = "CAST(array() AS array<bigint>)"
 
+# The functions below return SQL: an expression of this depth is parsed in one step.
 
-def digests(text: Column) -> Column:
-    """Distinct 63-bit digests of the paragraphs of a text."""
-    pieces = F.regexp_extract_all(
-        F.coalesce(text, F.lit("")), F.lit(rf"[^\n]{{1,{PIECE_CHARS}}}\n?|\n"), F.lit(0)
-    )
-    return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p).bitwiseAND(F.lit(_LOW))))
 
-
-def _turned(value: Column, by: Column) -> Column:
-    """A 63-bit number with its leading `by` bits moved to the end."""
-    up = F.call_function("shiftleft", value, by).bitwiseAND(F.lit(_LOW))
-    return up.bitwiseOR(F.call_function("shiftrightunsigned", value, F.lit(BITS) - by))
+def let(name: str, value: str, body: str) -> str:
+    """`body` with `name` bound to `value`, which is computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def _zero() -> Column:
-    return F.struct(
-        F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c")
-    )
+def digests(text: str) -> str:
+    """Distinct 63-bit digests of the paragraphs of a text."""
+    pieces = rf"regexp_extract_all(coalesce({text}, ''), r'[^\n]{{1,{PIECE_CHARS}}}\n?|\n', 0)"
+    return f"array_distinct(transform({pieces}, p -> xxhash64(p) & {_LOW}))"
 
 
-def _xor(values: Column, of) -> Column:
-    return F.aggregate(values, F.lit(0).cast("long"), lambda a, v: a.bitwiseXOR(of(v)))
+def _turned(value: str, by: str) -> str:
+    """A 63-bit number with its leading `by` bits moved to the end."""
+    return f"((shiftleft({value}, {by}) & {_LOW}) | shiftrightunsigned({value}, {BITS} - {by}))"
 
 
-def _table(keys: Column, level: Column, number: int) -> Column:
+def _table(keys: str, level: str, number: int) -> str:
     """Cells of one table; keys and checks are those of the turned digests."""
-
-    def filled(ordered: Column, at: Column, firsts: Column) -> Column:
-        """Numbers and contents of the cells that hold something: runs of the sorted keys."""
-
-        def content(first: Column, n: Column) -> Column:
-            behind = F.coalesce(F.get(firsts, n + 1), F.size(ordered))
-            return let(
-                F.slice(ordered, first + 1, behind - first),
-                lambda run: F.struct(
-                    F.size(run).alias("n"),
-                    _xor(run, lambda v: v).alias("k"),
-                    _xor(run, lambda v: F.xxhash64(v)).alias("c"),
-                ),
-            )
-
-        return F.struct(
-            F.transform(firsts, lambda first: F.get(at, first)).alias("number"),
-            F.transform(firsts, content).alias("content"),
-        )
-
-    def cells(x: Column) -> Column:
-        ordered, at = x["ordered"], x["at"]
-        firsts = F.filter(
-            F.sequence(F.lit(0), F.size(ordered) - 1),
-            lambda i: (i == 0) | (F.get(at, i) != F.get(at, i - 1)),
-        )
-        return let(
-            let(firsts, lambda f: filled(ordered, at, f)),
-            lambda y: F.transform(
-                F.sequence(F.lit(0).cast("long"), x["cells"] - 1),
-                lambda c: F.coalesce(
-                    F.get(y["content"], F.array_position(y["number"], c).cast("int") - 1), _zero()
-                ),
-            ),
-        )
-
-    turned = F.sort_array(F.transform(keys, lambda d: _turned(d, F.lit(number * WINDOW_BITS))))
-    return let(
-        turned,
-        lambda t: let(
-            F.struct(
-                t.alias("ordered"),
-                F.transform(
-                    t, lambda v: F.call_function("shiftrightunsigned", v, F.lit(BITS) - level)
-                ).alias("at"),
-                F.call_function("shiftleft", F.lit(1).cast("long"), level).alias("cells"),
-            ),
-            cells,
-        ),
+    turned = f"sort_array(transform({keys}, d -> {_turned('d', str(number * WINDOW_BITS))}))"
+    sorted_ = (
+        "named_struct('keys', t,"
+        f" 'at', transform(t, v -> shiftrightunsigned(v, {BITS} - {level})),"
+        f" 'cells', shiftleft(1L, {level}))"
     )
-
-
-def sketch(keys: Column, level: Column) -> Column:
-    """All cells of the sketch of an array of digests, table after table."""
-    return let(
-        F.struct(keys.alias("keys"), level.alias("level")),
-        lambda x: F.when(
-            F.size(x["keys"]) == 0,
-            F.array_repeat(_zero(), TABLES * F.call_function("shiftleft", F.lit(1), x["level"])),
-        ).otherwise(F.concat(*(_table(x["keys"], x["level"], j) for j in range(TABLES)))),
+    # Cells that hold something are runs of the sorted keys; these are their first places.
+    firsts = "filter(sequence(0, size(x.keys) - 1), i -> i = 0 OR get(x.at, i) <> get(x.at, i - 1))"
+    run = "slice(x.keys, i + 1, coalesce(get(f, j + 1), size(x.keys)) - i)"
+    content = let(
+        "r",
+        run,
+        "named_struct('n', size(r), 'k', aggregate(r, 0L, (a, v) -> a ^ v),"
+        " 'c', aggregate(r, 0L, (a, v) -> a ^ xxhash64(v)))",
     )
+    held = let(
+        "f",
+        firsts,
+        f"named_struct('number', transform(f, i -> get(x.at, i)), 'content', transform(f, (i, j) -> {content}))",
+    )
+    dense = (
+        "transform(sequence(0L, x.cells - 1),"
+        f" c -> coalesce(get(y.content, int(array_position(y.number, c)) - 1), {_ZERO}))"
+    )
+    return let("t", turned, let("x", sorted_, let("y", held, dense)))
 
 
-def _combined(cells: Column, less: Column, more: Column) -> Column:
-    """Cells less those of one sketch and plus those of another."""
-
-    def cell(x: Column, at: Column) -> Column:
-        y, z = F.get(less, at), F.get(more, at)
-        return F.struct(
-            (x["n"] - y["n"] + z["n"]).alias("n"),
-            x["k"].bitwiseXOR(y["k"]).bitwiseXOR(z["k"]).alias("k"),
-            x["c"].bitwiseXOR(y["c"]).bitwiseXOR(z["c"]).alias("c"),
-        )
+def sketch(keys: str, level: str) -> str:
+    """All cells of the sketch of an array of digests, table after table; both are names."""
+    tables = ", ".join(_table(keys, level, j) for j in range(TABLES))
+    empty = f"array_repeat({_ZERO}, {TABLES} * shiftleft(1, {level}))"
+    return f"CASE WHEN size({keys}) = 0 THEN {empty} ELSE concat({tables}) END"
 
-    return F.transform(cells, cell)
 
+def _given_up(count: int) -> str:
+    """Digests of the cells of `s` that hold one digest of the side with this count."""
+    back = f"(({BITS} - shiftright(i, level) * {WINDOW_BITS}) % {BITS})"
+    pure = f"CASE WHEN c.n = {count} AND xxhash64(c.k) = c.c THEN {_turned('c.k', back)} END"
+    return f"array_distinct(array_compact(transform(s.cells, (c, i) -> {pure})))"
 
-def _subtracted(a: Column, b: Column) -> Column:
-    return F.zip_with(
-        a,
-        b,
-        lambda x, y: F.struct(
-            (x["n"] - y["n"]).alias("n"),
-            x["k"].bitwiseXOR(y["k"]).alias("k"),
-            x["c"].bitwiseXOR(y["c"]).alias("c"),
-        ),
-    )
 
+def peeled(cells: str) -> str:
+    """Struct of the digests only on the first side, only on the second, and if all came out.
 
-def _given_up(cells: Column, level: Column, count: int) -> Column:
-    """Digests of the cells that hold one digest of the side with this count."""
-
-    def pure(x: Column, at: Column) -> Column:
-        table = F.call_function("shiftright", at, level)
-        back = (F.lit(BITS) - table * WINDOW_BITS) % BITS
-        alone = (x["n"] == count) & (F.xxhash64(x["k"]) == x["c"])
-        return F.when(alone, _turned(x["k"], back))
-
-    return F.array_distinct(F.array_compact(F.transform(cells, pure)))
-
-
-def peeled(cells: Column, level: Column) -> Column:
-    """Struct of the digests only on the first side, only on the second, and if all came out."""
-    none = F.array().cast("array<bigint>")
-
-    def round_(s: Column, _: Column) -> Column:
-        found = F.struct(
-            _given_up(s["cells"], level, 1).alias("plus"), _given_up(s["cells"], level, -1).alias("minus")
-        )
-        return F.when(s["still"], s).otherwise(
-            let(
-                found,
-                lambda f: F.when(
-                    (F.size(f["plus"]) == 0) & (F.size(f["minus"]) == 0),
-                    F.struct(
-                        s["cells"].alias("cells"), s["plus"].alias("plus"), s["minus"].alias("minus"),
-                        F.lit(True).alias("still"),
-                    ),
-                ).otherwise(
-                    F.struct(
-                        let(
-                            F.struct(
-                                sketch(f["plus"], level).alias("plus"),
-                                sketch(f["minus"], level).alias("minus"),
-                            ),
-                            lambda y: _combined(s["cells"], y["plus"], y["minus"]),
-                        ).alias("cells"),
-                        F.concat(s["plus"], f["plus"]).alias("plus"),
-                        F.concat(s["minus"], f["minus"]).alias("minus"),
-                        F.lit(False).alias("still"),
-                    )
-                ),
-            )
-        )
-
-    begin = F.struct(
-        cells.alias("cells"), none.alias("plus"), none.alias("minus"), F.lit(False).alias("still")
+    `level` is a name in scope. A round takes out all that single-digest cells give up.
+    """
+    lessened = (
+        "transform(s.cells, (c, i) -> CASE WHEN get(q.less, i).n = 0 AND get(q.more, i).n = 0 THEN c"
+        " ELSE named_struct('n', c.n - get(q.less, i).n + get(q.more, i).n,"
+        " 'k', c.k ^ get(q.less, i).k ^ get(q.more, i).k,"
+        " 'c', c.c ^ get(q.less, i).c ^ get(q.more, i).c) END)"
+    )
+    out = f"named_struct('less', {sketch('g.plus', 'level')}, 'more', {sketch('g.minus', 'level')})"
+    going_on = (
+        f"named_struct('cells', {let('q', out, lessened)}, 'plus', concat(s.plus, g.plus),"
+        " 'minus', concat(s.minus, g.minus), 'still', false)"
+    )
+    found = f"named_struct('plus', {_given_up(1)}, 'minus', {_given_up(-1)})"
+    stopped = "named_struct('cells', s.cells, 'plus', s.plus, 'minus', s.minus, 'still', true)"
+    taken = f"CASE WHEN size(g.plus) + size(g.minus) = 0 THEN {stopped} ELSE {going_on} END"
+    begin = f"named_struct('cells', {cells}, 'plus', {_NONE}, 'minus', {_NONE}, 'still', false)"
+    return (
+        f"aggregate(sequence(1, {PEEL_ROUNDS}), {begin},"
+        f" (s, n) -> CASE WHEN s.still THEN s ELSE {let('g', found, taken)} END,"
+        " s -> named_struct('plus', s.plus, 'minus', s.minus,"
+        " 'whole', forall(s.cells, c -> c.n = 0 AND c.k = 0 AND c.c = 0)))"
     )
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(PEEL_ROUNDS)),
-        begin,
-        round_,
-        lambda s: F.struct(
-            s["plus"].alias("plus"), s["minus"].alias("minus"),
-            F.forall(s["cells"], lambda x: (x["n"] == 0) & (x["k"] == 0) & (x["c"] == 0)).alias("whole"),
-        ),
-    )
 
 
-def difference(a: Column, b: Column) -> Column:
-    """Struct `plus, minus, whole` of the digests in which two sets differ.
+def difference() -> str:
+    """Struct `plus, minus, whole` of the digests in which the sets `w.a` and `w.b` differ.
 
     Tried with small sketches first, four times as large after each failure. The first
     size already holds the difference of the sets' sizes.
     """
-    none = F.array().cast("array<bigint>")
-    nothing = F.struct(none.alias("plus"), none.alias("minus"), F.lit(False).alias("whole"))
-
-    def tried(x: Column) -> Column:
-        apart = F.abs(F.size(x["a"]) - F.size(x["b"]))
-        base = F.greatest(F.lit(BASE_LEVEL), F.length(F.bin(apart)))
-
-        def attempt(s: Column, retry: Column) -> Column:
-            return F.when(s["whole"], s).otherwise(
-                let(
-                    F.least(base + 2 * retry, F.lit(WINDOW_BITS - 1)),
-                    lambda level: peeled(
-                        _subtracted(sketch(x["a"], level), sketch(x["b"], level)), level
-                    ),
-                )
-            )
-
-        return F.aggregate(F.sequence(F.lit(0), F.lit(RETRIES - 1)), nothing, attempt)
-
-    return let(F.struct(a.alias("a"), b.alias("b")), tried)
+    base = f"greatest({BASE_LEVEL}, length(bin(abs(size(w.a) - size(w.b)))))"
+    level = f"least({base} + 2 * retry, {WINDOW_BITS - 1})"
+    subtracted = (
+        f"zip_with({sketch('w.a', 'level')}, {sketch('w.b', 'level')}, (c, e) ->"
+        " named_struct('n', c.n - e.n, 'k', c.k ^ e.k, 'c', c.c ^ e.c))"
+    )
+    attempt = let("level", level, peeled(subtracted))
+    nothing = f"named_struct('plus', {_NONE}, 'minus', {_NONE}, 'whole', false)"
+    return (
+        f"aggregate(sequence(0, {RETRIES - 1}), {nothing},"
+        f" (o, retry) -> CASE WHEN o.whole THEN o ELSE {attempt} END)"
+    )
 
 
-def likeness(a: Column, b: Column) -> Column:
+def likeness(a: str, b: str) -> str:
     """Shared digests over all digests of two sets, from their sketches' difference."""
-
-    def share(x: Column) -> Column:
-        d = x["d"]
-        union = F.size(x["a"]) + F.size(d["minus"])
-        shared = F.size(x["a"]) - F.size(d["plus"])
-        exact = F.size(F.array_intersect(x["a"], x["b"])) / F.greatest(
-            F.size(F.array_union(x["a"], x["b"])), F.lit(1)
-        )
-        # A difference beyond the largest sketch is counted outright.
-        found = F.when(d["whole"], shared / F.greatest(union, F.lit(1))).otherwise(exact)
-        return F.when((F.size(x["a"]) == 0) & (F.size(x["b"]) == 0), F.lit(1.0)).otherwise(found)
-
-    return let(
-        F.struct(a.alias("a"), b.alias("b")),
-        lambda x: let(
-            F.struct(x["a"].alias("a"), x["b"].alias("b"), difference(x["a"], x["b"]).alias("d")), share
-        ),
+    # A difference beyond the largest sketch is counted outright.
+    share = (
+        "CASE WHEN size(w.a) + size(w.b) = 0 THEN 1D"
+        " WHEN z.whole THEN (size(w.a) - size(z.plus)) / double(size(w.a) + size(z.minus))"
+        " ELSE size(array_intersect(w.a, w.b)) / double(size(array_union(w.a, w.b))) END"
     )
+    return let("w", f"named_struct('a', {a}, 'b', {b})", let("z", difference(), share))
 
 
-def fingerprint(keys: Column) -> Column:
+def fingerprint(keys: str) -> str:
     """The number of digests and the cells of the base sketch as text, empty cells as `-`."""
-    cell = F.transform(
-        sketch(keys, F.lit(BASE_LEVEL)),
-        lambda x: F.when(x["n"] == 0, F.lit("-")).otherwise(
-            F.concat_ws(":", x["n"].cast("string"), F.hex(x["k"]), F.hex(x["c"]))
-        ),
-    )
-    return F.concat(F.size(keys).cast("string"), F.lit(";"), F.array_join(cell, ","))
+    cell = "CASE WHEN c.n = 0 THEN '-' ELSE concat_ws(':', c.n, hex(c.k), hex(c.c)) END"
+    cells = f"transform({sketch('m', str(BASE_LEVEL))}, c -> {cell})"
+    return let("m", keys, f"concat(size(m), ';', array_join({cells}, ','))")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -321,14 +214,12 @@ def version_prints(docs: DataFrame) -> DataFrame:
     chars = F.length("text")
     half = F.floor(chars / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), chars - half), F.substring("next_text", F.lit(1), half))
-    versions = with_next(docs).select(
-        "doc_id", chars.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"),
-        digests(F.col("text")).alias("a"), digests(edited).alias("b"),
-        digests(F.col("next_text")).alias("c"),
+    versions = with_next(docs).withColumn("edited", edited).selectExpr(
+        "doc_id", "bigint(length(text)) AS n_chars", "sha2(edited, 256) AS edited_sha256",
+        f"{digests('text')} AS a", f"{digests('edited')} AS b", f"{digests('next_text')} AS c",
     )
-    return versions.select(
+    return versions.selectExpr(
         "doc_id", "n_chars", "edited_sha256",
-        fingerprint(F.col("a")).alias("fingerprint"), fingerprint(F.col("b")).alias("edited_fingerprint"),
-        likeness(F.col("a"), F.col("b")).alias("near_edited"),
-        likeness(F.col("a"), F.col("c")).alias("near_next"),
+        f"{fingerprint('a')} AS fingerprint", f"{fingerprint('b')} AS edited_fingerprint",
+        f"{likeness('a', 'b')} AS near_edited", f"{likeness('a', 'c')} AS near_next",
     )
