@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellpulse.llm import chat, fingerprint, langid, mixing, quality, rules, sharding, urls
+from cellpulse.llm import chat, fingerprint, langid, mixing, packing, quality, rules, sharding, urls
 from cellpulse.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,11 @@ def op8_quality_rules(spark, sf_dir):
     return rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op9_packing(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents")).drop("row_id")
+
+
 @query
 def op10_mixing(spark, sf_dir):
     taken = mixing.mix_words(table(spark, sf_dir, "documents"))
