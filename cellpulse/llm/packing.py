@@ -45,8 +45,6 @@ class WordCache(dict):
         self.tokenizer = tokenizer
 
     def learn(self, words: list[str]) -> None:
-        if len(self) > CACHED_WORDS:
-            self.clear()
         encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         for word, ids in zip(words, encoded, strict=True):
             self[word] = np.array(ids.ids, "<u4").tobytes()
@@ -68,6 +66,8 @@ def separate_words(text: str) -> list[str] | None:
 
 def encoded(texts: list[str | None], tokenizer, cache: WordCache) -> list[bytes]:
     """Ids of each text, little-endian unsigned 32 bits."""
+    if len(cache) > CACHED_WORDS:
+        cache.clear()
     parts = [separate_words(t) if t else [] for t in texts]
     unknown = {p for words in parts if words for p in words if p not in cache}
     if unknown:

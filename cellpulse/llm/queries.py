@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellpulse.llm import chat, fingerprint, langid, mixing, packing, quality, rules, sharding, urls
+from cellpulse.llm import chat, fingerprint, langid, minhash, mixing, packing, quality, rules, sharding, urls
 from cellpulse.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_minhash_dedup(spark, sf_dir):
+    return minhash.classes(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_quality_classifier(spark, sf_dir):
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
