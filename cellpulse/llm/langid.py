@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellpulse.llm.common import held_out, slices
 
@@ -199,13 +200,9 @@ def infer(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray,
     return out, scores, proportions
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """`doc_id, held_out, lang_pred, score, languages` of each row of `docs` (`doc_id, text, lang`).
-
-    `languages` lists the selected set as (lang, proportion), largest first.
-    """
-    model = learned(docs)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def _judged(docs: DataFrame, model: Model, carried: list[str]) -> DataFrame:
+    """`row` (a struct of the carried columns), `lang_pred, score, languages` of each row of `docs`."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in carried)).alias("row"), "text")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES):
@@ -219,17 +216,30 @@ def identified(docs: DataFrame) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), pa.array(names), pa.array(scores),
+                    batch.column("row"), pa.array(names, pa.string()), pa.array(scores),
                     pa.array(sets, pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))),
                 ],
-                ["doc_id", "lang_pred", "score", "languages"],
+                ["row", "lang_pred", "score", "languages"],
             )
 
-    found = docs.select("doc_id", "text").mapInArrow(
-        judge,
-        f"doc_id {kind}, lang_pred string, score double,"
-        " languages array<struct<lang:string,share:double>>",
-    )
+    found = T.ArrayType(T.StructType().add("lang", T.StringType()).add("share", T.DoubleType()))
+    out = T.StructType().add("row", rows.schema["row"].dataType).add("lang_pred", T.StringType())
+    return rows.mapInArrow(judge, out.add("score", T.DoubleType()).add("languages", found))
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """`doc_id, held_out, lang_pred, score, languages` of each row of `docs` (`doc_id, text, lang`).
+
+    `languages` lists the selected set as (lang, proportion), largest first.
+    """
+    found = _judged(docs, learned(docs), ["doc_id"])
     return found.select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "languages"
+        "row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score", "languages"
     )
+
+
+def with_known_language(docs: DataFrame, least_share: float) -> DataFrame:
+    """The rows of `docs` whose main language was recognised and has at least this proportion."""
+    found = _judged(docs, learned(docs), docs.columns)
+    main = F.get("languages", F.lit(0))["share"]
+    return found.where((F.col("lang_pred") != UNKNOWN) & (main >= least_share)).select("row.*")

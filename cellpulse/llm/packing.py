@@ -19,9 +19,12 @@ of their own; an empty table gives no rows; other columns are not carried over.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,23 +34,42 @@ from cellpulse.llm.common import hash_bin, landed, order_bins, running_before, s
 WINDOW = 1024
 END_ID = 0
 SLICE_BYTES = 2_000_000
-# Words whose ids a task keeps at hand; it starts anew beyond that.
-CACHED_WORDS = 200_000
+# Words whose ids a worker keeps at hand; it starts anew beyond that.
+CACHED_WORDS = 500_000
 # Columns of the least squares problem: combinations over the most frequent lengths.
 TRIPLES = 600
-NNLS_ROUNDS = 400
+SWEEPS, TOLERANCE = 200, 1e-4
 
 
-class WordCache(dict):
-    """Ids of separately encoded words as bytes; missing ones are encoded in one call."""
+class WordEncoder:
+    """A tokenizer, and the ids of words it has met as bytes."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {}
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in encoded]
+
+    def words(self, words: list[str]) -> list[bytes]:
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
+        new = [w for w in words if w not in self.known]
+        self.known.update(zip(new, self.whole(new), strict=True))
+        return [self.known[w] for w in words]
 
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
 
-    def learn(self, words: list[str]) -> None:
-        encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        for word, ids in zip(words, encoded, strict=True):
-            self[word] = np.array(ids.ids, "<u4").tobytes()
+@lru_cache(maxsize=1)
+def encoder(path: str | None) -> WordEncoder:
+    """One encoder per worker process and file, kept from task to task."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    return WordEncoder(path)
 
 
 def separate_words(text: str) -> list[str] | None:
@@ -64,19 +86,22 @@ def separate_words(text: str) -> list[str] | None:
     return [parts[0]] + [p if p[0] == "\n" else f" {p}" for p in parts[1:]]
 
 
-def encoded(texts: list[str | None], tokenizer, cache: WordCache) -> list[bytes]:
+def encoded(texts: list[str | None], by: WordEncoder) -> list[bytes]:
     """Ids of each text, little-endian unsigned 32 bits."""
-    if len(cache) > CACHED_WORDS:
-        cache.clear()
     parts = [separate_words(t) if t else [] for t in texts]
-    unknown = {p for words in parts if words for p in words if p not in cache}
-    if unknown:
-        cache.learn(list(unknown))
-    whole = [i for i, words in enumerate(parts) if words is None]
-    direct = tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)
-    out = [b"" if words is None else b"".join([cache[p] for p in words]) for words in parts]
-    for i, ids in zip(whole, direct, strict=True):
-        out[i] = np.array(ids.ids, "<u4").tobytes()
+    codes, words = pd.factorize(np.array([p for x in parts if x for p in x], object))
+    ids = by.words(list(words))
+    table = np.frombuffer(b"".join(ids), "<u4")
+    sizes = np.array([len(x) // 4 for x in ids], np.int64)
+    # Each word's ids are copied from the table to the word's places.
+    begins, lengths = (np.cumsum(sizes) - sizes)[codes], sizes[codes]
+    ends = np.cumsum(lengths)
+    flat = table[np.repeat(begins - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+    bounds = np.append(0, ends)[np.cumsum([0, *(len(x or ()) for x in parts)])]
+    out = [flat[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+    odd = [i for i, x in enumerate(parts) if x is None]
+    for i, whole in zip(odd, by.whole([texts[i] for i in odd]), strict=True):
+        out[i] = whole
     return out
 
 
@@ -89,19 +114,11 @@ def tokenized(docs: DataFrame, tokenizer_path: str | None, window: int) -> DataF
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        if tokenizer_path is None:
-            import public_tokenizers
-
-            tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-        else:
-            tokenizer = Tokenizer.from_file(tokenizer_path)
-        cache = WordCache(tokenizer)
+        by = encoder(tokenizer_path)
         end, width = np.array([END_ID], "<u4").tobytes(), 4 * window
         for batch in slices(batches, "text", SLICE_BYTES):
             sizes, crcs, rests, rest_crcs = [], [], [], []
-            for ids in encoded(batch.column("text").to_pylist(), tokenizer, cache):
+            for ids in encoded(batch.column("text").to_pylist(), by):
                 ids += end
                 whole = len(ids) // width * width
                 sizes.append(len(ids) // 4)
@@ -143,37 +160,23 @@ def combinations(histogram: dict[int, int], window: int) -> list[tuple[int, ...]
     return pairs + ranked[:TRIPLES]
 
 
-def least_squares(columns: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Non-negative least squares by the active-set method."""
-    m = columns.shape[1]
-    x, free = np.zeros(m), np.zeros(m, bool)
-    gram, target = columns.T @ columns, columns.T @ wanted
-    tolerance = 1e-9 * max(1.0, float(np.abs(target).max(initial=0.0)))
-    for _ in range(NNLS_ROUNDS):
-        gradient = target - gram @ x
-        gradient[free] = -np.inf
-        enter = int(gradient.argmax()) if m else 0
-        if not m or gradient[enter] <= tolerance:
+def least_squares(
+    columns: np.ndarray, wanted: np.ndarray, sweeps: int = SWEEPS, tolerance: float = TOLERANCE
+) -> np.ndarray:
+    """Non-negative least squares by coordinate descent on the normal equations."""
+    gram = columns.T @ columns
+    x, slope = np.zeros(columns.shape[1]), -(columns.T @ wanted)
+    for _ in range(sweeps):
+        moved = 0.0
+        for j in range(len(x)):
+            new = max(0.0, x[j] - slope[j] / gram[j, j])
+            if new != x[j]:
+                step = new - x[j]
+                slope += step * gram[:, j]
+                x[j] = new
+                moved = max(moved, abs(step))
+        if moved <= tolerance * max(1.0, x.max(initial=0.0)):
             break
-        # Let in every column nearly as good as the best: they are solved for together.
-        free |= gradient >= 0.5 * gradient[enter]
-        while True:
-            at = np.flatnonzero(free)
-            solved = np.linalg.lstsq(gram[np.ix_(at, at)], target[at], rcond=None)[0]
-            if not len(at) or solved.min() > 0:
-                break
-            falling = solved <= 0
-            old = x[at]
-            steps = np.where(falling, old / np.maximum(old - solved, 1e-300), 1.0)
-            step = steps[falling].min()
-            x[at] = old + step * (solved - old)
-            leaving = at[falling & (x[at] <= 1e-12)]
-            if not len(leaving):
-                leaving = at[[int(np.where(falling, steps, 2.0).argmin())]]
-            free[leaving] = False
-            x[leaving] = 0.0
-        x[:] = 0.0
-        x[at] = solved
     return x
 
 

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from cellpulse.llm.common import held_out, landed, slices
 
 SLICE_BYTES = 4_000_000
+# Scores from here on are good.
+GOOD = 0.5
 # Weights of the pooled covariance and of its diagonal in each class covariance.
 TO_POOLED, TO_DIAGONAL = 0.2, 0.1
 FLOOR = 1e-3
@@ -164,10 +166,15 @@ def fitted(sums: dict[int, tuple[int, np.ndarray, np.ndarray]]) -> Discriminant:
     return Discriminant(counts[1] / total, tuple(classes))
 
 
+def learned(stats: DataFrame, labels: DataFrame) -> Discriminant:
+    """The model fitted on all labelled rows of `stats` (`doc_id, stats`) that are not held out."""
+    return fitted(class_sums(stats, labels))
+
+
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`doc_id, held_out, score, predicted` of each row of `docs` (`doc_id, text`)."""
     stats = landed(with_statistics(docs), "quality-statistics")
-    model = fitted(class_sums(stats, labels))
+    model = learned(stats, labels)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,5 +188,20 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     out = stats.mapInArrow(score, f"doc_id {kind}, score double")
     return out.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
-        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        (F.col("score") >= GOOD).cast("int").alias("predicted"),
     )
+
+
+def good_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `docs` that are predicted good.
+
+    The statistics are computed again while filtering, which spares a shuffle of the texts.
+    """
+    model = learned(landed(with_statistics(docs), "quality-statistics"), labels)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", SLICE_BYTES):
+            stats = np.array([statistics(text) for text in batch.column("text").to_pylist()])
+            yield batch.filter(pa.array(model.scores(stats) >= GOOD))
+
+    return docs.mapInArrow(keep, docs.schema)
