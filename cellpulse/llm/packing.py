@@ -19,12 +19,10 @@ of their own; an empty table gives no rows; other columns are not carried over.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,32 +32,90 @@ from cellpulse.llm.common import hash_bin, landed, order_bins, running_before, s
 WINDOW = 1024
 END_ID = 0
 SLICE_BYTES = 2_000_000
+# Words encoded as one text.
+CHUNK = 256
 # Words whose ids a worker keeps at hand; it starts anew beyond that.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 1_000_000
 # Columns of the least squares problem: combinations over the most frequent lengths.
 TRIPLES = 600
 SWEEPS, TOLERANCE = 200, 1e-4
 
 
 class WordEncoder:
-    """A tokenizer, and the ids of words it has met as bytes."""
+    """A tokenizer, and the ids of the words it has met, by a 64-bit hash of their bytes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in encoded]
-
-    def words(self, words: list[str]) -> list[bytes]:
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        self.known.update(zip(new, self.whole(new), strict=True))
-        return [self.known[w] for w in words]
+        (self.line_break,) = self.whole(["\n"])[0]
+        # A fixed seed, so that every worker hashes alike.
+        rng = np.random.default_rng(20240101)
+        self.values = rng.integers(0, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        self.base = np.uint64(0x9E3779B97F4A7C15)
+        self.inverse = np.uint64(pow(int(self.base), -1, 1 << 64))
+        self.powers = self.inverses = np.empty(0, np.uint64)
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers: dict[int, int] = {}
+        self.ids = [np.empty(0, np.uint32)]
+        self.sizes = [np.empty(0, np.int64)]
+
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def apart(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each word, one after the other, and how many each has.
+
+        Words are encoded many to a text, each behind a line break; a word that begins with
+        a line break of its own shows two.
+        """
+        texts = ["\n" + "\n".join(words[i : i + CHUNK]) for i in range(0, len(words), CHUNK)]
+        ids = np.array([x for found in self.whole(texts) for x in found], np.uint32)
+        breaks = np.flatnonzero(ids == self.line_break)
+        own = np.array([w[0] == "\n" for w in words], np.int64)
+        at = breaks[np.arange(len(words)) + np.cumsum(own) - own]
+        sizes = np.diff(np.append(at, len(ids))) - 1
+        return np.delete(ids, at), sizes
+
+    def hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hash of each run of bytes: a polynomial of random byte values, from prefix sums."""
+        if len(self.powers) < len(data):
+            n = 2 * len(data)
+            self.powers = np.multiply.accumulate(np.full(n, self.base))
+            self.inverses = np.multiply.accumulate(np.full(n, self.inverse))
+        sums = np.cumsum(self.values[data] * self.powers[: len(data)])
+        before = np.where(starts > 0, sums[starts - 1], np.uint64(0))
+        return (sums[ends - 1] - before) * self.inverses[starts]
+
+    def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all the words one after the other, and how many each word has."""
+        if len(self.numbers) > CACHED_WORDS:
+            self.forget()
+        unique, first, codes = np.unique(
+            self.hashes(data, starts, ends), return_index=True, return_inverse=True
+        )
+        keys = unique.tolist()
+        found = [self.numbers.get(k, -1) for k in keys]
+        new = [i for i, n in enumerate(found) if n < 0]
+        if new:
+            spans = zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)
+            text = data.tobytes()
+            ids, sizes = self.apart([text[i:j].decode() for i, j in spans])
+            for n, i in enumerate(new, len(self.numbers)):
+                self.numbers[keys[i]] = found[i] = n
+            self.sizes.append(sizes)
+            self.ids.append(ids)
+        if len(self.sizes) > 1:
+            self.sizes, self.ids = [np.concatenate(self.sizes)], [np.concatenate(self.ids)]
+        sizes, table = self.sizes[0], self.ids[0]
+        at = np.array(found, np.int64)[codes]
+        # Each word's ids are copied from the table to the word's places.
+        begins, lengths = (np.cumsum(sizes) - sizes)[at], sizes[at]
+        ends_ = np.cumsum(lengths)
+        total = int(ends_[-1]) if len(ends_) else 0
+        return table[np.repeat(begins - (ends_ - lengths), lengths) + np.arange(total)], lengths
 
 
 @lru_cache(maxsize=1)
@@ -72,36 +128,60 @@ def encoder(path: str | None) -> WordEncoder:
     return WordEncoder(path)
 
 
-def separate_words(text: str) -> list[str] | None:
-    """Parts of a text that encode independently of each other, or None.
+def _other_space(data: np.ndarray) -> np.ndarray:
+    """Places of control characters but line breaks, and of white space beyond ASCII (UTF-8)."""
+    found = [np.flatnonzero((data < 32) & (data != 10))]
+    lead = np.flatnonzero((data == 0xC2) | (data == 0xE1) | (data == 0xE2) | (data == 0xE3))
+    if len(lead):
+        padded = np.append(data, np.zeros(2, np.uint8)).astype(np.int64)
+        code = (padded[lead] << 16) | (padded[lead + 1] << 8) | padded[lead + 2]
+        two = code >> 8
+        spaces = np.isin(two, (0xC285, 0xC2A0)) | np.isin(
+            code, (0xE19A80, 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080)
+        )
+        found.append(lead[spaces | ((code >= 0xE28080) & (code <= 0xE2808A))])
+    return np.concatenate(found)
+
+
+def encoded(column: pa.Array, by: WordEncoder) -> list[np.ndarray]:
+    """Ids of each text.
 
     A byte-level tokenizer joins one space to the word after it, and a line break between
-    words stands alone. So a text in which every run of white space is one space or one
-    line break is cut before each of them; any other text is encoded whole.
+    words stands alone. So texts in which every run of white space is one space or one
+    line break are cut before each of them, and equal words are encoded once; other texts,
+    and those that may hold a special token, are encoded whole.
     """
-    spaced = text.replace("\n", " \n")
-    parts = spaced.split(" ")
-    if "" in parts or "\n" in parts or len(parts) != len(text.split()) or "<|" in text:
-        return None
-    return [parts[0]] + [p if p[0] == "\n" else f" {p}" for p in parts[1:]]
-
-
-def encoded(texts: list[str | None], by: WordEncoder) -> list[bytes]:
-    """Ids of each text, little-endian unsigned 32 bits."""
-    parts = [separate_words(t) if t else [] for t in texts]
-    codes, words = pd.factorize(np.array([p for x in parts if x for p in x], object))
-    ids = by.words(list(words))
-    table = np.frombuffer(b"".join(ids), "<u4")
-    sizes = np.array([len(x) // 4 for x in ids], np.int64)
-    # Each word's ids are copied from the table to the word's places.
-    begins, lengths = (np.cumsum(sizes) - sizes)[codes], sizes[codes]
-    ends = np.cumsum(lengths)
-    flat = table[np.repeat(begins - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
-    bounds = np.append(0, ends)[np.cumsum([0, *(len(x or ()) for x in parts)])]
-    out = [flat[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
-    odd = [i for i, x in enumerate(parts) if x is None]
-    for i, whole in zip(odd, by.whole([texts[i] for i in odd]), strict=True):
-        out[i] = whole
+    texts = column.fill_null("").cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(data or b"", np.uint8)[bounds[0] : bounds[-1]]
+    bounds = bounds - bounds[0]
+    gap = np.append((data == 32) | (data == 10), True)
+    begins, ends = bounds[:-1], bounds[1:]
+    some = ends > begins
+    # What makes a text odd: two gaps together, a gap at either end, other white space, `<|`.
+    places = [
+        np.flatnonzero(gap[:-1] & np.append(gap[1:-1], False)),
+        begins[some][gap[begins[some]]],
+        (ends - 1)[some][gap[(ends - 1)[some]]],
+        _other_space(data),
+        np.flatnonzero((data[:-1] == 60) & (data[1:] == 124)),
+    ]
+    odd = np.zeros(len(texts), bool)
+    odd[np.searchsorted(ends, np.concatenate(places), side="right")] = True
+    opening = gap[:-1].copy()
+    opening[begins[some]] = True
+    starts = np.flatnonzero(opening)
+    owner = np.searchsorted(ends, starts, side="right")
+    stops = np.append(starts[1:], len(data))
+    plain = ~odd[owner]
+    flat, lengths = by.words(data, starts[plain], stops[plain])
+    per_text = np.bincount(owner[plain], lengths, minlength=len(texts)).astype(np.int64)
+    at = np.append(0, np.cumsum(per_text))
+    out = [flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+    numbers = np.flatnonzero(odd).tolist()
+    for i, ids in zip(numbers, by.whole([texts[i].as_py() for i in numbers]), strict=True):
+        out[i] = np.array(ids, np.uint32)
     return out
 
 
@@ -118,8 +198,8 @@ def tokenized(docs: DataFrame, tokenizer_path: str | None, window: int) -> DataF
         end, width = np.array([END_ID], "<u4").tobytes(), 4 * window
         for batch in slices(batches, "text", SLICE_BYTES):
             sizes, crcs, rests, rest_crcs = [], [], [], []
-            for ids in encoded(batch.column("text").to_pylist(), by):
-                ids += end
+            for found in encoded(batch.column("text"), by):
+                ids = found.astype("<u4").tobytes() + end
                 whole = len(ids) // width * width
                 sizes.append(len(ids) // 4)
                 crcs.append([zlib.crc32(ids[i : i + width]) for i in range(0, whole, width)])

@@ -4,6 +4,7 @@ import zlib
 
 import cases
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cellpulse.llm import mixing, packing, sharding
@@ -103,15 +104,17 @@ def encode(texts):
 
 ODD = [
     "", "a  b", " a", "a ", "a\nb", "a\n\nb", "a \nb", "a\n b", "x<|endoftext|>y", "tab\tx", "a\xa0b c",
-    "\n", " ", "don't stop 's 12 34ab", "é　ü", "a\n", "日本 語\nx", "a\r\nb", "a\t \tb", "I'm\nI'll 've",
+    "\n", " ", "don't stop 's 12 34ab", "é　ü", "a\n", "日本 語\nx", "a\r\nb", "a\t \tb", "I'm\nI'll 've", "“q” a\u2003b", "a\u3000 b", "é à", "\x1c a", "x <| y", "日 本\n語",
 ]
 
 
 def test_words_encoded_apart_give_the_ids_of_the_whole_text():
     by = packing.encoder(None)
-    ids = packing.encoded([*ODD, None], by)
-    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == encode([*ODD, ""])
-    assert packing.encoded([], by) == []
+    ids = packing.encoded(pa.array([*ODD, None]), by)
+    assert [x.tolist() for x in ids] == encode([*ODD, ""])
+    assert [x.tolist() for x in packing.encoded(pa.array([None, *ODD])[3:], by)] == encode(ODD[2:])
+    assert packing.encoded(pa.array([], pa.string()), by) == []
+    assert [x.tolist() for x in packing.encoded(pa.array([None, ""], pa.string()), by)] == [[], []]
 
 
 @pytest.mark.parametrize("extra", [False, True])
