@@ -35,7 +35,7 @@ SLICE_BYTES = 2_000_000
 # Words encoded as one text.
 CHUNK = 256
 # Words whose ids a worker keeps at hand; it starts anew beyond that.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 400_000
 # Columns of the least squares problem: combinations over the most frequent lengths.
 TRIPLES = 600
 SWEEPS, TOLERANCE = 200, 1e-4
@@ -82,7 +82,7 @@ class WordEncoder:
     def hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hash of each run of bytes: a polynomial of random byte values, from prefix sums."""
         if len(self.powers) < len(data):
-            n = 2 * len(data)
+            n = 5 * len(data) // 4
             self.powers = np.multiply.accumulate(np.full(n, self.base))
             self.inverses = np.multiply.accumulate(np.full(n, self.inverse))
         sums = np.cumsum(self.values[data] * self.powers[: len(data)])
