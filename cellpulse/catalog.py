@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellpulse.functions.cells import station_number, station_of
+from cellpulse.functions.measures import fixed
 from cellpulse.operators import (
     active,
     failures,
@@ -30,7 +31,6 @@ DAY_MS = 86_400_000
 PRUNE_FROM_MS = 5 * DAY_MS + 3_600_000
 PRUNE_TO_MS = 9 * DAY_MS + 7_200_000
 TOP_STATIONS = 15
-WIDE_STATIONS = [90_000, 90_001, 90_002]
 WINDOW_FROM, WINDOW_TO = 20, 60
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,11 +43,16 @@ def query(fn: Query) -> Query:
 
 
 def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the grid, cut at the scan, for queries over its buckets."""
     return events.event_records(spark, sf_dir, GRID)
 
 
-def _moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.event_records(spark, sf_dir, GRID, mobility=True)
+def _all_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.event_records(spark, sf_dir)
+
+
+def _moves(spark: SparkSession, sf_dir: str, grid=None) -> DataFrame:
+    return events.event_records(spark, sf_dir, grid, mobility=True)
 
 
 def _group(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,14 +119,14 @@ def neighbor_list_read(spark, sf_dir):
 
 @query
 def bs_from_cell(spark, sf_dir):
-    return _calls(spark, sf_dir).select(
+    return _all_calls(spark, sf_dir).select(
         "rec_seq", "cur_cell", station_of(F.col("cur_cell")).alias("bs")
     )
 
 
 @query
 def bs_decimal_id(spark, sf_dir):
-    return _calls(spark, sf_dir).select(
+    return _all_calls(spark, sf_dir).select(
         "rec_seq", station_number(station_of(F.col("cur_cell"))).alias("bs_id")
     )
 
@@ -141,8 +146,7 @@ def measured_cells(spark, sf_dir):
 
 @query
 def record_field_dump(spark, sf_dir):
-    dump = timeline.field_dump(events.event_lines(_moves(spark, sf_dir)), "rec_seq")
-    return dump.where(F.col("value") != "")
+    return timeline.field_dump(events.event_lines(_moves(spark, sf_dir)), "rec_seq")
 
 
 @query
@@ -151,6 +155,15 @@ def bs_distance(spark, sf_dir):
     return _rounded(placed.select("bs", "dist_km"), "dist_km")
 
 
+@query
+def bs_distance_origins(spark, sf_dir):
+    """Distances of every station from the two other origins."""
+    place = events.event_sites(spark, sf_dir)
+    east = load.site_distances(place, load.ORIGIN_EAST).withColumnRenamed("dist_km", "east_km")
+    both = load.site_distances(east, load.ORIGIN_NORTH).withColumnRenamed("dist_km", "north_km")
+    return _rounded(both.select("bs", "east_km", "north_km"), "east_km", "north_km")
+
+
 # Load
 
 
@@ -166,7 +179,7 @@ def ue_load(spark, sf_dir):
 
 @query
 def bs_group_filter(spark, sf_dir):
-    return groups.in_group(_calls(spark, sf_dir), _group(spark, sf_dir)).select("rec_seq", "bs")
+    return groups.in_group(_all_calls(spark, sf_dir), _group(spark, sf_dir)).select("rec_seq", "bs")
 
 
 @query
@@ -210,7 +223,10 @@ def top_volatile_trace(spark, sf_dir):
 
 @query
 def wide_trace(spark, sf_dir):
-    return tables.wide_trace(load_trace(spark, sf_dir), WIDE_STATIONS)
+    trace = checkpointed(top_volatile_trace(spark, sf_dir).select("bs", "sd", "minutes", "ue", "bearer"))
+    # At most TOP_STATIONS rows.
+    ranked = trace.select("bs", "sd").distinct().orderBy(F.desc("sd"), "bs").collect()
+    return tables.wide_trace(trace, [r.bs for r in ranked])
 
 
 # Quality and failures
@@ -246,17 +262,25 @@ def bler_by_bs(spark, sf_dir):
 
 @query
 def failed_records(spark, sf_dir):
-    return failures.failed_records(_calls(spark, sf_dir)).select("rec_seq", "bs", "cfc")
+    return failures.failed_records(_all_calls(spark, sf_dir)).select("rec_seq", "bs", "cfc")
+
+
+@query
+def failed_record_lines(spark, sf_dir):
+    """Failed records with every field of their line, numbered."""
+    failed = failures.failed_records(_moves(spark, sf_dir))
+    lines = events.event_lines(failed)
+    return lines.select("rec_seq", timeline.field_text(F.col("line")).alias("fields"))
 
 
 @query
 def proc_counts(spark, sf_dir):
-    return failures.proc_counts(_calls(spark, sf_dir), _group(spark, sf_dir))
+    return failures.proc_counts(_all_calls(spark, sf_dir), _group(spark, sf_dir))
 
 
 @query
 def failure_causes(spark, sf_dir):
-    return failures.failure_causes(_calls(spark, sf_dir), _group(spark, sf_dir))
+    return failures.failure_causes(_all_calls(spark, sf_dir), _group(spark, sf_dir))
 
 
 # Inventory and mobility
@@ -269,12 +293,12 @@ def distinct_bs(spark, sf_dir):
 
 @query
 def bs_gateways(spark, sf_dir):
-    return inventory.bs_gateways(_calls(spark, sf_dir))
+    return inventory.bs_gateways(_all_calls(spark, sf_dir))
 
 
 @query
 def bs_gateway_sets(spark, sf_dir):
-    sets = inventory.bs_gateway_sets(inventory.bs_gateways(_calls(spark, sf_dir)))
+    sets = inventory.bs_gateway_sets(inventory.bs_gateways(_all_calls(spark, sf_dir)))
     return sets.select("bs", F.array_join("sgws", " ").alias("sgws"))
 
 
@@ -321,7 +345,7 @@ def handover_fanout(spark, sf_dir):
 
 @query
 def handover_load(spark, sf_dir):
-    return mobility.handover_load(_moves(spark, sf_dir), GRID, _group(spark, sf_dir))
+    return mobility.handover_load(_moves(spark, sf_dir, GRID), GRID, _group(spark, sf_dir))
 
 
 @query
@@ -339,7 +363,7 @@ def neighbor_sets(spark, sf_dir):
 @query
 def station_split(spark, sf_dir):
     path = scratch_path(spark, "stations")
-    own = groups.in_group(_calls(spark, sf_dir), _group(spark, sf_dir))
+    own = groups.in_group(_all_calls(spark, sf_dir), _group(spark, sf_dir))
     tables.write_by_station(own.select("bs", "rec_seq", "start_ms", "proc_id"), path)
     return spark.read.parquet(path).select("bs", "rec_seq", "start_ms", "proc_id")
 
@@ -395,7 +419,7 @@ def ue_set_ops(spark, sf_dir):
 
 @query
 def ue_timeline(spark, sf_dir):
-    placed = timeline.ue_timeline(_calls(spark, sf_dir), ["imsi"])
+    placed = timeline.ue_timeline(_all_calls(spark, sf_dir), ["imsi"])
     return placed.select("imsi", "pos", "rec_seq", "start_ms", "proc_id")
 
 
@@ -408,7 +432,7 @@ def handover_timeline(spark, sf_dir):
 
 @query
 def ue_timeline_pages(spark, sf_dir):
-    rows = _calls(spark, sf_dir).select("imsi", "start_ms", "rec_seq", "proc_id")
+    rows = _all_calls(spark, sf_dir).select("imsi", "start_ms", "rec_seq", "proc_id")
     pages = timeline.ue_timeline_pages(timeline.ue_timeline(rows, ["imsi"]), ["imsi"], 25)
     ids = F.transform("recs", lambda r: r["rec_seq"].cast("string"))
     return pages.select("imsi", "page", F.array_join(ids, " ").alias("rec_seqs"))
@@ -447,7 +471,7 @@ def ue_arrivals(spark, sf_dir):
 
 @query
 def handover_training_rows(spark, sf_dir):
-    return features.handover_training_rows(_moves(spark, sf_dir), GRID, _group(spark, sf_dir))
+    return features.handover_training_rows(_moves(spark, sf_dir, GRID), GRID, _group(spark, sf_dir))
 
 
 def _features(spark, sf_dir):
@@ -489,34 +513,60 @@ def feature_summary(spark, sf_dir):
     return _rounded(summary, *_feature_columns(summary))
 
 
-# Streams, run to the end of the table
+@query
+def feature_export(spark, sf_dir):
+    """Feature vectors of the stations as text with four decimals."""
+    vectors = features.feature_vectors(feature_summary(spark, sf_dir))
+    texts = F.transform("features", lambda v: fixed(v, 4))
+    return vectors.select("bs", F.array_join(texts, " ").alias("features"))
 
 
-def _stream_result(spark, stream, label):
-    return counts.run_to_table(
-        stream, scratch_path(spark, label), scratch_path(spark, f"{label}-state")
+# Streams, run to the end of the table. Files may come in any order, so the delay is the grid.
+
+
+def _stream_result(spark, sf_dir, operator, label):
+    return counts.run_to_end(
+        events.event_stream(spark, sf_dir),
+        operator,
+        GRID,
+        GRID.n * GRID.width_ms,
+        *(scratch_path(spark, f"{label}-{part}") for part in ("table", "state", "end")),
     )
 
 
 @query
 def stream_counts(spark, sf_dir):
-    stream = counts.stream_counts(events.event_stream(spark, sf_dir, GRID), GRID, "0 seconds")
-    return _stream_result(spark, stream, "stream-counts")
+    return _stream_result(spark, sf_dir, counts.stream_counts, "stream-counts")
 
 
 @query
 def stream_ue_load(spark, sf_dir):
-    stream = counts.stream_ue_load(events.event_stream(spark, sf_dir, GRID), GRID, "0 seconds")
-    return _stream_result(spark, stream, "stream-ue")
+    return _stream_result(spark, sf_dir, counts.stream_ue_load, "stream-ue")
 
 
 @query
 def stream_bearer_load(spark, sf_dir):
-    stream = counts.stream_bearer_load(events.event_stream(spark, sf_dir, GRID), GRID, "0 seconds")
-    return _stream_result(spark, stream, "stream-bearer")
+    return _stream_result(spark, sf_dir, counts.stream_bearer_load, "stream-bearer")
+
+
+@query
+def stream_last_record(spark, sf_dir):
+    return _stream_result(spark, sf_dir, active_state.stream_last_record, "stream-last")
 
 
 @query
 def stream_active_state(spark, sf_dir):
-    stream = active_state.stream_active_state(events.event_stream(spark, sf_dir, GRID), GRID)
-    return active_state.final_state(_stream_result(spark, stream, "stream-active"))
+    """The devices of the last records that are still active, and those that are not."""
+    return stream_last_record(spark, sf_dir)
+
+
+@query
+def stream_record_files(spark, sf_dir):
+    """Ingest of record files as a stream."""
+    path = _line_files(spark, sf_dir)
+    stream = counts.stream_records(spark, path, pattern="*.gz").select(
+        "rec_seq", "imsi", "start_ms", "proc_id", "cfc", "bs", "source_bs", "target_bs"
+    )
+    return counts.run_to_table(
+        stream, scratch_path(spark, "ingest-table"), scratch_path(spark, "ingest-state")
+    )

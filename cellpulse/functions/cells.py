@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from cellpulse.schema import FIRST_MEASURED_FIELD, STATION_CODE_LENGTH
 
+# Up to 7fffffffffffffff, with any number of leading zeros.
+_BIGINT_HEX = "^0*[0-7]?[0-9a-fA-F]{1,15}$"
+
 
 def station_of(cell: Column) -> Column:
     """Station code of a cell id: its first 13 characters, null when empty."""
@@ -14,10 +17,18 @@ def station_of(cell: Column) -> Column:
 
 
 def station_number(station: Column) -> Column:
-    """Decimal station id: the last `:` part read as hexadecimal, null when it is not hexadecimal."""
+    """Decimal station id: the last `:` part read as hexadecimal.
+
+    Every id that fits a bigint is read; see `unreadable_station` for the others.
+    """
     tail = F.substring_index(station, ":", -1)
     # conv() gives 0 for text that is not a number, so test the text first.
-    return F.when(tail.rlike("^[0-9a-fA-F]{1,15}$"), F.conv(tail, 16, 10).cast("bigint"))
+    return F.when(tail.rlike(_BIGINT_HEX), F.conv(tail, 16, 10).cast("bigint"))
+
+
+def unreadable_station(station: Column) -> Column:
+    """Whether a station has a code whose number is null: not hexadecimal, or beyond a bigint."""
+    return station.isNotNull() & station_number(station).isNull()
 
 
 def measured_stations(line: Column) -> Column:

@@ -15,35 +15,61 @@ from cellpulse.functions.measures import is_release
 from cellpulse.functions.timegrid import Grid
 from cellpulse.operators.load import mean_over_stations
 
-# The last record of a bucket is the greatest (start_ms, proc_id). Both go into
-# one 64-bit number, so that finding it is a plain hash aggregate over a long.
+# The last record of a bucket is the greatest (start_ms, proc_id). Where both fit they go
+# into one 64-bit number, else into a wide decimal of the same order, so that finding
+# it is always a plain hash aggregate.
 PROC_BITS = 20
+WIDE_START, WIDE_PROC = 1 << 63, 1 << 32
 
 
-def packed_record() -> Column:
-    """(start_ms, proc_id) of a record as one number with the same order."""
-    proc = F.coalesce(F.col("proc_id"), F.lit(0)).cast("bigint")
-    start = F.col("start_ms")
-    fits = proc.between(0, (1 << PROC_BITS) - 1) & F.abs(start).between(
-        0, (1 << (62 - PROC_BITS)) - 1
-    )
-    return F.when(fits, F.shiftleft(start, PROC_BITS) + proc).otherwise(
-        F.raise_error(F.lit("proc_id or start_ms outside the packed range")).cast("bigint")
+def _decimal(number: int, digits: int) -> Column:
+    return F.lit(str(number)).cast(f"decimal({digits},0)")
+
+
+def greatest_record() -> list[Column]:
+    """Aggregates that together hold the greatest (start_ms, proc_id); a missing id sorts first."""
+    proc, start = F.col("proc_id").cast("bigint"), F.col("start_ms")
+    fits = F.coalesce(
+        proc.between(0, (1 << PROC_BITS) - 1)
+        & start.between(-(1 << (62 - PROC_BITS)), (1 << (62 - PROC_BITS)) - 1),
+        F.lit(False),
     )
+    # The id shifted to be positive; 0 stands for none.
+    code = F.coalesce(proc + WIDE_PROC // 2 + 1, F.lit(0)).cast("decimal(20,0)")
+    wide = (start.cast("decimal(20,0)") + _decimal(WIDE_START, 20)) * _decimal(
+        2 * WIDE_PROC, 11
+    ) + code
+    return [
+        F.max(F.when(fits, F.shiftleft(start, PROC_BITS) + proc)).alias("_packed"),
+        F.max(F.when(~fits, wide.cast("decimal(38,0)"))).alias("_wide"),
+    ]
 
 
-def unpacked_record(packed: Column) -> list[Column]:
+def record_found() -> list[Column]:
+    """`start_ms, proc_id` from the aggregates of `greatest_record`."""
+    packed, wide = F.col("_packed"), F.col("_wide")
+    code = wide % _decimal(2 * WIDE_PROC, 11)
+    wide_start = (
+        ((wide - code) / _decimal(2 * WIDE_PROC, 11)).cast("decimal(20,0)")
+        - _decimal(WIDE_START, 20)
+    ).cast("bigint")
+    wide_proc = (F.nullif(code.cast("bigint"), F.lit(0).cast("bigint")) - WIDE_PROC // 2 - 1).cast("int")
+    start = F.shiftright(packed, PROC_BITS)
+    proc = packed.bitwiseAND(F.lit((1 << PROC_BITS) - 1)).cast("int")
+    # Both kinds may occur in one group; the later record wins, then the greater id.
+    later = (wide_start > start) | ((wide_start == start) & (F.coalesce(wide_proc, F.lit(-1)) > proc))
+    is_wide = wide.isNotNull() & (packed.isNull() | later)
     return [
-        F.shiftright(packed, PROC_BITS).alias("start_ms"),
-        packed.bitwiseAND(F.lit((1 << PROC_BITS) - 1)).cast("int").alias("proc_id"),
+        F.when(is_wide, wide_start).otherwise(start).alias("start_ms"),
+        F.when(is_wide, wide_proc).otherwise(proc).alias("proc_id"),
     ]
 
 
 def last_record(records: DataFrame, grid: Grid, key: str = "bs") -> DataFrame:
     """Last record of a device per bucket: `<key>, imsi, t, start_ms, proc_id`."""
     rows = grid.assign(records.where(F.col(key).isNotNull()))
-    last = rows.groupBy(key, "imsi", "t").agg(F.max(packed_record()).alias("_last"))
-    return last.select(key, "imsi", "t", *unpacked_record(F.col("_last")))
+    last = rows.groupBy(key, "imsi", "t").agg(*greatest_record())
+    return last.select(key, "imsi", "t", *record_found())
 
 
 def series_ends(records: DataFrame, grid: Grid, key: str = "bs") -> DataFrame:

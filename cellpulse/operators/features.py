@@ -30,8 +30,10 @@ def _with_arrivals(devices: DataFrame, sums: list[str]) -> DataFrame:
         .groupBy("bs", "t", "last_seen")
         .agg(F.count(F.lit(1)).alias("ue"), *(F.sum(c).alias(c) for c in sums))
     )
-    along = Window.partitionBy("bs").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
-    at = by_last.withColumn("prev_t", F.max("t").over(along))
+    # One row per station and bucket meets the station's window, whatever the number of counts.
+    steps = by_last.select("bs", "t").distinct()
+    along = Window.partitionBy("bs").orderBy("t")
+    at = by_last.join(steps.withColumn("prev_t", F.lag("t").over(along)), ["bs", "t"])
     is_new = F.col("last_seen").isNull() | (F.col("last_seen") < F.col("prev_t"))
     new = F.when(F.col("prev_t").isNotNull() & is_new, F.col("ue")).otherwise(F.lit(0))
     return at.groupBy("bs", "t").agg(

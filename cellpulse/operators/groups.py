@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from cellpulse.functions.cells import station_number
 from cellpulse.plans.bounded import broadcast_if_small
 
-# Group size up to which the group travels as one array inside the plan.
-ARRAY_GROUP_ROWS = 64
-
 
 def group_key(group: DataFrame, station: Column) -> tuple[str, Column]:
     """Column of the group to match on and the station expression that matches it.
@@ -43,37 +40,37 @@ def relevant_stations(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("bs", "n")).alias("bs")).distinct()
 
 
-def record_stations(records: DataFrame) -> Column:
-    """All stations a record names: current, source, target and measured."""
-    fixed = F.array("bs", "source_bs", "target_bs")
-    named = F.concat(fixed, "measured") if "measured" in records.columns else fixed
-    return F.array_distinct(F.array_compact(named))
+FIXED_STATIONS = ("bs", "source_bs", "target_bs")
 
 
-def any_cell_in_group(records: DataFrame, group: DataFrame) -> DataFrame:
+def any_cell_in_group(records: DataFrame, group: DataFrame, record_id: str = "rec_seq") -> DataFrame:
     """Records that name at least one station of the group in any cell column.
 
-    A small group is compared as an array, with no shuffle. For a larger one the
-    distinct station lists are matched and joined back: whether a record stays
-    depends on its list alone.
+    The current, source and target station are looked up with joins that need no
+    shuffle while the group is small enough to broadcast. Only records without a
+    hit there and with measured cells are fanned out to those and brought back
+    together by `record_id`, which tells records apart.
     """
     name, _ = group_key(group, F.col("bs"))
-    members = group.select(F.col(name).alias("_member")).distinct()
-    stations = record_stations(records)
-    if name == "bs_id":
-        stations = F.array_compact(F.transform(stations, station_number))
-    named = records.withColumn("_stations", stations)
-
-    if members.limit(ARRAY_GROUP_ROWS + 1).count() <= ARRAY_GROUP_ROWS:
-        member_array = members.agg(F.collect_list("_member")).scalar()
-        return named.where(F.arrays_overlap("_stations", member_array)).drop("_stations")
-
-    hits = (
-        named.select("_stations")
-        .distinct()
-        .select("_stations", F.explode("_stations").alias("_member"))
-        .join(broadcast_if_small(members), "_member", "left_semi")
-        .select("_stations")
-        .distinct()
+    members = broadcast_if_small(group.select(F.col(name).alias("_member")).distinct())
+    flagged = records
+    for i, column in enumerate(FIXED_STATIONS):
+        _, value = group_key(group, F.col(column))
+        side = members.select(F.col("_member").alias(f"_member{i}"))
+        flagged = flagged.withColumn(f"_station{i}", value).join(
+            side, F.col(f"_station{i}") == F.col(f"_member{i}"), "left"
+        )
+    helpers = [f"_{kind}{i}" for kind in ("station", "member") for i in range(len(FIXED_STATIONS))]
+    hit = F.coalesce(*(F.col(f"_member{i}") for i in range(len(FIXED_STATIONS)))).isNotNull()
+    direct = flagged.where(hit).drop(*helpers)
+    if "measured" not in records.columns:
+        return direct
+    measured = F.col("measured") if name == "bs" else F.transform("measured", station_number)
+    fanned = flagged.where(~hit & (F.size("measured") > 0)).drop(*helpers)
+    found = (
+        fanned.withColumn("_station", F.explode(F.array_distinct(measured)))
+        .join(members, F.col("_station") == F.col("_member"), "left_semi")
+        .drop("_station")
+        .dropDuplicates([record_id])
     )
-    return named.join(hits, "_stations", "left_semi").drop("_stations")
+    return direct.unionByName(found)

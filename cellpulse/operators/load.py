@@ -113,7 +113,7 @@ def top_volatile_trace(load: DataFrame, sites: DataFrame, grid: Grid, k: int = 3
     ranked = checkpointed(
         bs_volatility(dense_load(load, sites, grid))
         .join(broadcast_if_small(places), "bs")
-        .orderBy(F.desc(F.round("sd", 9)), F.desc("descr"), F.desc("bs"), F.desc("dist_km"))
+        .orderBy(F.desc("sd"), F.desc("descr"), F.desc("bs"), F.desc("dist_km"))
         .limit(k)
     )
     # `ranked` holds at most k rows.

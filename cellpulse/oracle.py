@@ -43,7 +43,7 @@ coded AS (
     CASE WHEN rec_seq % 13 <> 0 THEN 'sgw' || CAST(imsi % 3 AS VARCHAR) END AS sgw,
     printf('311:480:%05x', bs) || '0' || CAST(rec_seq % 3 + 1 AS VARCHAR) AS cur_cell
   FROM linked),
-pcmd AS (
+rec AS (
   SELECT *,
     CASE WHEN event_type = 'view' THEN prev_bs END AS source_bs,
     CASE WHEN event_type = 'view' AND prev_bs IS NOT NULL THEN bs END AS target_bs,
@@ -56,12 +56,13 @@ pcmd AS (
          THEN CASE WHEN rec_seq % 5 = 0 THEN 1 ELSE 0 END END AS s1_status,
     proc_id IN (3, 11) AS is_release, proc_id IN (1, 15, 16) AS is_attempt,
     CAST(greatest(1, (start_ms + {WIDTH_MS - 1}) // {WIDTH_MS}) AS INTEGER) AS t
-  FROM coded WHERE start_ms < {WIDTH_MS * BUCKETS}),
+  FROM coded),
+pcmd AS (SELECT * FROM rec WHERE start_ms < {WIDTH_MS * BUCKETS}),
 sites AS (
   SELECT bs, CAST(40.70 AS DOUBLE) + (bs - 90000) * CAST(0.01 AS DOUBLE) AS lat,
          CAST(-74.00 AS DOUBLE) + (bs - 90000) * CAST(0.01 AS DOUBLE) AS lon,
          'site' || CAST(bs AS VARCHAR) AS descr
-  FROM (SELECT DISTINCT bs FROM pcmd)),
+  FROM (SELECT DISTINCT bs FROM rec)),
 times AS (SELECT CAST(t AS INTEGER) AS t FROM range(1, {BUCKETS + 1}) r(t)),
 grp AS (SELECT bs FROM sites WHERE bs % 2 = 0)
 """
@@ -81,6 +82,13 @@ placed AS (
   FROM sites)
 """
 
+RANKED = """,
+ranked AS (
+  SELECT d.bs, p.descr, p.dist_km, stddev_pop(bearer) AS sd
+  FROM dense d JOIN placed p ON p.bs = d.bs GROUP BY d.bs, p.descr, p.dist_km
+  ORDER BY sd DESC, p.descr DESC, d.bs DESC, p.dist_km DESC LIMIT 15)
+"""
+
 RATES = """,
 rates AS (
   SELECT bs, t, attempts, failures,
@@ -92,7 +100,7 @@ rates AS (
 
 HANDOVERS = """,
 usable AS (
-  SELECT * FROM pcmd WHERE mob_trigger IS NOT NULL
+  SELECT * FROM rec WHERE mob_trigger IS NOT NULL
     AND NOT (mob_trigger = 3 AND proc_id = 36 AND cfcq <> 100)),
 durations AS (
   SELECT 'csfb' AS ho_type, proc_duration AS dur FROM usable WHERE mob_trigger = 3 AND proc_id = 36
@@ -113,15 +121,15 @@ cdf AS (
 
 EDGES = """,
 edges AS (
-  SELECT source_bs AS bs, target_bs AS n FROM pcmd WHERE source_bs <> target_bs
-  UNION SELECT target_bs, source_bs FROM pcmd WHERE source_bs <> target_bs)
+  SELECT source_bs AS bs, target_bs AS n FROM rec WHERE source_bs <> target_bs
+  UNION SELECT target_bs, source_bs FROM rec WHERE source_bs <> target_bs)
 """
 
 FANOUT = """,
 fanned AS (
-  SELECT p.*, s.station FROM pcmd p, LATERAL (VALUES (p.source_bs), (p.target_bs)) s(station)
+  SELECT p.*, s.station FROM rec p, LATERAL (VALUES (p.source_bs), (p.target_bs)) s(station)
   WHERE p.source_bs <> p.target_bs
-  UNION ALL SELECT p.*, p.bs FROM pcmd p WHERE p.source_bs IS NULL OR p.target_bs IS NULL),
+  UNION ALL SELECT p.*, p.bs FROM rec p WHERE p.source_bs IS NULL OR p.target_bs IS NULL),
 local AS (SELECT * FROM fanned WHERE station IN (SELECT bs FROM grp))
 """
 
@@ -192,7 +200,8 @@ feats AS (
   SELECT p.bs, p.t, d.bearer / {MINUTES}.0::DOUBLE AS load_rate,
          (p.inflow - p.outflow) / {MINUTES}.0::DOUBLE AS net_flow,
          (p.in_outside - p.out_outside) / {MINUTES}.0::DOUBLE AS outside_flow
-  FROM presence p JOIN dense d ON d.bs = p.bs AND d.t = p.t WHERE p.bs IN (SELECT bs FROM grp)),
+  FROM presence p JOIN dense d ON d.bs = p.bs AND d.t = p.t
+  WHERE p.bs IN (SELECT bs FROM grp) AND p.bs IN (SELECT bs FROM pcmd)),
 whole AS (
   SELECT t, sum(load_rate) AS load_rate, sum(outside_flow) AS net_flow FROM feats GROUP BY t)
 """
@@ -228,13 +237,13 @@ arrived AS (
   FROM people p JOIN steps s ON s.bs = p.bs AND s.t = p.t GROUP BY s.bs, s.t)
 """
 
-HANDOVER_LOAD = FANOUT + """,
+HANDOVER_LOAD = FANOUT + f""",
 ho_load AS (
   SELECT station AS bs, t,
          CAST(count(DISTINCT imsi) + count(*) FILTER (WHERE is_release) AS BIGINT) AS bearer,
          count(*) FILTER (WHERE target_bs = station AND source_bs IS NOT NULL) AS in_ho,
          count(*) FILTER (WHERE source_bs = station AND target_bs IS NOT NULL) AS out_ho
-  FROM local GROUP BY station, t)
+  FROM local WHERE start_ms < {WIDTH_MS * BUCKETS} GROUP BY station, t)
 """
 
 STATION = "printf('311:480:%05x', {0})"
@@ -244,8 +253,15 @@ def _station(column: str, sector: str = "") -> str:
     return f"CASE WHEN {column} IS NOT NULL THEN printf('311:480:%05x', {column}) || '{sector}' END"
 
 
-def _field_values() -> str:
-    """(position, text) of every filled field of a record line."""
+def _distance(lat: float, lon: float) -> str:
+    return (
+        f"2 * 6371.0 * asin(sqrt(pow(sin((radians({lat}) - radians(lat)) / 2), 2)"
+        f" + cos(radians(lat)) * cos(radians({lat})) * pow(sin((radians({lon}) - radians(lon)) / 2), 2)))"
+    )
+
+
+def _field_at(position: str) -> str:
+    """Text of the field at a position of a record line, null where it is empty."""
     fields = {
         name: f"CAST({name} AS VARCHAR)"
         for name in (
@@ -263,7 +279,8 @@ def _field_values() -> str:
     measured = ("'['", _station("(bs + 1)", "01"), "'-70'", _station("(bs + 3)", "02"), "']'")
     for at, text in enumerate(measured, start=250):
         values[at] = f"CASE WHEN rec_seq % 4 = 0 THEN {text} END"
-    return ", ".join(f"({at}, {text})" for at, text in sorted(values.items()))
+    cases = " ".join(f"WHEN {at} THEN {text}" for at, text in sorted(values.items()))
+    return f"CASE {position} {cases} END"
 
 
 def _round(columns: list[str], digits: int = 9) -> str:
@@ -283,11 +300,13 @@ STATUSES_FINE = """CASE WHEN source_bs IS NULL OR target_bs IS NULL THEN TRUE
   ELSE coalesce(x2_status, 0) = 0 AND coalesce(s1_status, 0) = 0 END"""
 MOBILITY = f"mob_trigger IS NOT NULL AND {NOT_FALLBACK_FAILED} AND {STATUSES_FINE}"
 
-# A stream holds back the buckets that end after its newest record.
-CLOSED = f"CAST(t AS BIGINT) * {WIDTH_MS} <= (SELECT max(start_ms) - 1 FROM pcmd)"
-
 PRUNED = f"start_ms >= {5 * DAY_MS + 3_600_000} AND start_ms < {9 * DAY_MS + 7_200_000}"
 
+LAST = f"""{VIEW}
+SELECT bs, imsi, start_ms, proc_id, NOT is_release AS active FROM (
+  SELECT *, row_number() OVER (PARTITION BY bs, imsi ORDER BY start_ms DESC, proc_id DESC) AS rn
+  FROM pcmd) WHERE rn = 1"""
+
 ORACLE: dict[str, str] = {
     "pcmd_scan": f"""{VIEW}
 SELECT rec_seq, CAST(imsi AS VARCHAR) AS imsi, start_ms, proc_id,
@@ -295,26 +314,33 @@ SELECT rec_seq, CAST(imsi AS VARCHAR) AS imsi, start_ms, proc_id,
   CAST(scfcq AS VARCHAR) AS scfcq, cur_cell, {_station("bs")} AS bs,
   {_station("prev_bs")} AS prev_bs, {_station("source_bs")} AS source_bs,
   {_station("target_bs")} AS target_bs, sgw, stop_ms, ul_init_bler, ul_res_bler, mob_trigger,
-  intra_status, x2_status, s1_status FROM pcmd""",
+  intra_status, x2_status, s1_status FROM rec""",
     "time_range_prune": f"{VIEW} SELECT rec_seq, start_ms, bs, proc_id FROM pcmd WHERE {PRUNED}",
     "bs_dimension": f"""{VIEW}
 SELECT CAST(bs AS BIGINT) AS bs_id, round(lat, 9) AS lat, round(lon, 9) AS lon, descr FROM sites""",
     "neighbor_list_read": f"{VIEW}{EDGES} SELECT bs, n FROM edges",
-    "bs_from_cell": f"{VIEW} SELECT rec_seq, cur_cell, {_station('bs')} AS bs FROM pcmd",
-    "bs_decimal_id": f"{VIEW} SELECT rec_seq, CAST(bs AS BIGINT) AS bs_id FROM pcmd",
+    "bs_from_cell": f"{VIEW} SELECT rec_seq, cur_cell, {_station('bs')} AS bs FROM rec",
+    "bs_decimal_id": f"{VIEW} SELECT rec_seq, CAST(bs AS BIGINT) AS bs_id FROM rec",
     "time_bucket": f"""{VIEW}
 SELECT rec_seq, t, CAST(t AS BIGINT) * {WIDTH_MS} AS upper_ms FROM pcmd""",
     "measured_cells": f"""{VIEW}
-SELECT rec_seq, CAST(0 AS INTEGER) AS pos, {_station("(bs + 1)")} AS station FROM pcmd
+SELECT rec_seq, CAST(0 AS INTEGER) AS pos, {_station("(bs + 1)")} AS station FROM rec
 WHERE rec_seq % 4 = 0
-UNION ALL SELECT rec_seq, 1, {_station("(bs + 3)")} FROM pcmd WHERE rec_seq % 4 = 0""",
+UNION ALL SELECT rec_seq, 1, {_station("(bs + 3)")} FROM rec WHERE rec_seq % 4 = 0""",
     "record_field_dump": f"""{VIEW}
-SELECT rec_seq AS line_id, CAST(f.pos AS INTEGER) AS pos, f.value
-FROM pcmd, LATERAL (VALUES {_field_values()}) f(pos, value) WHERE f.value IS NOT NULL""",
+SELECT rec_seq AS line_id, CAST(r.pos AS INTEGER) AS pos, coalesce({_field_at("r.pos")}, '') AS value
+FROM rec, range(1, 256) r(pos)""",
+    "failed_record_lines": f"""{VIEW}
+SELECT rec_seq, string_agg(r.pos || ': ' || coalesce({_field_at("r.pos")}, '') || ' ', '' ORDER BY r.pos)
+  AS fields
+FROM rec, range(1, 256) r(pos) WHERE cfc > 1 GROUP BY rec_seq""",
+    "bs_distance_origins": f"""{VIEW}
+SELECT bs, round({_distance(40.756, -73.846)}, 9) AS east_km,
+       round({_distance(40.829, -73.926)}, 9) AS north_km FROM sites""",
     "bs_distance": f"{VIEW}{LOAD} SELECT bs, round(dist_km, 9) AS dist_km FROM placed",
     "bearer_load": f"{VIEW}{LOAD} SELECT bs, t, ue, bearer FROM load",
     "ue_load": f"{VIEW}{LOAD} SELECT bs, t, ue FROM load",
-    "bs_group_filter": f"{VIEW} SELECT rec_seq, bs FROM pcmd WHERE bs IN (SELECT bs FROM grp)",
+    "bs_group_filter": f"{VIEW} SELECT rec_seq, bs FROM rec WHERE bs IN (SELECT bs FROM grp)",
     "load_with_site": f"""{VIEW}{LOAD}
 SELECT l.bs, t, ue, bearer, descr, round(dist_km, 9) AS dist_km
 FROM load l JOIN placed p ON p.bs = l.bs""",
@@ -324,22 +350,15 @@ SELECT bs, CAST(t AS BIGINT) * {MINUTES} AS minutes, ue, bearer FROM dense""",
     "agg_load": VIEW + LOAD + _per_station_mean("SELECT t, ue FROM load", "ue", "mean_ue", ""),
     "bs_volatility": f"""{VIEW}{LOAD}
 SELECT bs, round(stddev_pop(bearer), 9) AS sd FROM dense GROUP BY bs""",
-    "top_volatile_trace": f"""{VIEW}{LOAD},
-ranked AS (
-  SELECT d.bs, p.descr, p.dist_km, stddev_pop(bearer) AS sd
-  FROM dense d JOIN placed p ON p.bs = d.bs GROUP BY d.bs, p.descr, p.dist_km
-  ORDER BY round(stddev_pop(bearer), 9) DESC, p.descr DESC, d.bs DESC, p.dist_km DESC LIMIT 15)
+    "top_volatile_trace": f"""{VIEW}{LOAD}{RANKED}
 SELECT d.bs, r.descr, round(r.dist_km, 9) AS dist_km, round(r.sd, 9) AS sd,
        CAST(d.t AS BIGINT) * {MINUTES} AS minutes, d.ue, d.bearer
 FROM dense d JOIN ranked r ON r.bs = d.bs""",
-    "wide_trace": f"""{VIEW}{LOAD}
-SELECT CAST(t AS BIGINT) * {MINUTES} AS minutes, """
-    + ", ".join(
-        f'max({c}) FILTER (WHERE bs = {b}) AS "{b}_{c}"'
-        for b in (90000, 90001, 90002)
-        for c in ("bearer", "ue")
-    )
-    + " FROM dense GROUP BY t",
+    "wide_trace": f"""{VIEW}{LOAD}{RANKED},
+chosen AS (
+  SELECT bs, CAST(t AS BIGINT) * {MINUTES} AS minutes, bearer, ue FROM dense
+  WHERE bs IN (SELECT bs FROM ranked))
+PIVOT chosen ON bs USING max(bearer) AS bearer, max(ue) AS ue GROUP BY minutes""",
     "failure_rate": f"{VIEW}{RATES} SELECT bs, t, attempts, failures, round(rate, 9) AS rate FROM rates",
     "failure_trace": f"""{VIEW}{LOAD}{RATES}
 SELECT l.bs, l.t, l.bearer, r.attempts, r.failures, round(r.rate, 9) AS rate
@@ -376,25 +395,25 @@ FROM load l JOIN (
   SELECT bs, t, sum(coalesce(ul_init_bler, 0) + coalesce(ul_res_bler, 0)) AS total,
          count(ul_init_bler) + count(ul_res_bler) AS n FROM pcmd GROUP BY bs, t) b
 ON b.bs = l.bs AND b.t = l.t""",
-    "failed_records": f"{VIEW} SELECT rec_seq, bs, cfc FROM pcmd WHERE cfc > 1",
+    "failed_records": f"{VIEW} SELECT rec_seq, bs, cfc FROM rec WHERE cfc > 1",
     "proc_counts": f"""{VIEW}
-SELECT proc_id, count(*) AS cnt FROM pcmd
+SELECT proc_id, count(*) AS cnt FROM rec
 WHERE cfc IS NOT NULL AND bs IN (SELECT bs FROM grp) GROUP BY proc_id""",
     "failure_causes": f"""{VIEW}
 SELECT CAST(proc_id AS VARCHAR) || '-' || CAST(cfcq AS VARCHAR) || '-' || CAST(scfcq AS VARCHAR)
-  AS cause, count(*) AS cnt FROM pcmd
+  AS cause, count(*) AS cnt FROM rec
 WHERE cfc > 1 AND bs IN (SELECT bs FROM grp) GROUP BY 1""",
     "distinct_bs": f"""{VIEW}
-SELECT bs FROM pcmd UNION SELECT prev_bs FROM pcmd WHERE prev_bs IS NOT NULL
-UNION SELECT source_bs FROM pcmd WHERE source_bs IS NOT NULL
-UNION SELECT target_bs FROM pcmd WHERE target_bs IS NOT NULL""",
-    "bs_gateways": f"{VIEW} SELECT DISTINCT bs, sgw FROM pcmd WHERE sgw IS NOT NULL",
+SELECT bs FROM rec UNION SELECT prev_bs FROM rec WHERE prev_bs IS NOT NULL
+UNION SELECT source_bs FROM rec WHERE source_bs IS NOT NULL
+UNION SELECT target_bs FROM rec WHERE target_bs IS NOT NULL""",
+    "bs_gateways": f"{VIEW} SELECT DISTINCT bs, sgw FROM rec WHERE sgw IS NOT NULL",
     "bs_gateway_sets": f"""{VIEW}
-SELECT bs, string_agg(DISTINCT sgw, ' ' ORDER BY sgw) AS sgws FROM pcmd
+SELECT bs, string_agg(DISTINCT sgw, ' ' ORDER BY sgw) AS sgws FROM rec
 WHERE sgw IS NOT NULL GROUP BY bs""",
-    "mobility_records": f"{VIEW} SELECT rec_seq, mob_trigger FROM pcmd WHERE {MOBILITY}",
+    "mobility_records": f"{VIEW} SELECT rec_seq, mob_trigger FROM rec WHERE {MOBILITY}",
     "between_stations": f"""{VIEW}
-SELECT rec_seq, source_bs, target_bs FROM pcmd WHERE source_bs <> target_bs""",
+SELECT rec_seq, source_bs, target_bs FROM rec WHERE source_bs <> target_bs""",
     "handover_durations": f"{VIEW}{HANDOVERS} SELECT ho_type, dur FROM durations",
     "handover_counts": f"{VIEW}{HANDOVERS} SELECT ho_type, count(*) AS cnt FROM durations GROUP BY 1",
     "handover_cdf": f"{VIEW}{CDF} SELECT ho_type, dur, fraction FROM cdf",
@@ -402,14 +421,14 @@ SELECT rec_seq, source_bs, target_bs FROM pcmd WHERE source_bs <> target_bs""",
     "handover_fanout": f"{VIEW}{FANOUT} SELECT rec_seq, station FROM local",
     "handover_load": f"{VIEW}{HANDOVER_LOAD} SELECT bs, t, bearer, in_ho, out_ho FROM ho_load",
     "neighbor_counts": f"""{VIEW}
-SELECT source_bs AS bs, target_bs AS n, count(*) AS cnt FROM pcmd
+SELECT source_bs AS bs, target_bs AS n, count(*) AS cnt FROM rec
 WHERE source_bs <> target_bs GROUP BY 1, 2""",
     "neighbor_sets": f"""{VIEW}{EDGES}
 SELECT bs, string_agg(CAST(n AS VARCHAR), ' ' ORDER BY n) AS neighbors FROM edges GROUP BY bs""",
     "station_split": f"""{VIEW}
-SELECT bs, rec_seq, start_ms, proc_id FROM pcmd WHERE bs IN (SELECT bs FROM grp)""",
+SELECT bs, rec_seq, start_ms, proc_id FROM rec WHERE bs IN (SELECT bs FROM grp)""",
     "any_cell_in_group": f"""{VIEW}
-SELECT rec_seq FROM pcmd WHERE bs % 5 = 0 OR source_bs % 5 = 0 OR target_bs % 5 = 0
+SELECT rec_seq FROM rec WHERE bs % 5 = 0 OR source_bs % 5 = 0 OR target_bs % 5 = 0
   OR (rec_seq % 4 = 0 AND (((bs + 1) % 5 = 0 AND bs + 1 IN (SELECT bs FROM sites))
                         OR ((bs + 3) % 5 = 0 AND bs + 3 IN (SELECT bs FROM sites))))""",
     "last_record": f"""{VIEW}{_active("bs")}
@@ -428,16 +447,16 @@ UNION ALL SELECT bs, imsi, 'except' FROM (SELECT * FROM early EXCEPT SELECT * FR
 UNION ALL SELECT bs, imsi, 'intersect' FROM (SELECT * FROM early INTERSECT SELECT * FROM late)""",
     "ue_timeline": f"""{VIEW}
 SELECT imsi, row_number() OVER (PARTITION BY imsi ORDER BY start_ms, rec_seq) AS pos, rec_seq,
-       start_ms, proc_id FROM pcmd""",
+       start_ms, proc_id FROM rec""",
     "handover_timeline": f"""{VIEW}
 SELECT cur_cell, imsi,
        row_number() OVER (PARTITION BY cur_cell, imsi ORDER BY start_ms, rec_seq) AS pos, rec_seq
-FROM pcmd WHERE {MOBILITY}""",
+FROM rec WHERE {MOBILITY}""",
     "ue_timeline_pages": f"""{VIEW}
 SELECT imsi, CAST((pos - 1) // 25 AS BIGINT) AS page,
        string_agg(CAST(rec_seq AS VARCHAR), ' ' ORDER BY pos) AS rec_seqs
 FROM (SELECT imsi, rec_seq,
-             row_number() OVER (PARTITION BY imsi ORDER BY start_ms, rec_seq) AS pos FROM pcmd)
+             row_number() OVER (PARTITION BY imsi ORDER BY start_ms, rec_seq) AS pos FROM rec)
 GROUP BY 1, 2""",
     "neighbor_flow": f"{VIEW}{FLOW} SELECT bs, t, inflow, outflow, net FROM flow",
     "top_sink_series": f"""{VIEW}{FLOW}
@@ -448,7 +467,8 @@ SELECT bs, t, inflow, outflow, in_outside, out_outside FROM presence""",
     "ue_arrivals": f"""{VIEW},
 people AS (SELECT DISTINCT bs, imsi, t FROM pcmd){ARRIVALS} SELECT bs, t, arrivals FROM arrived""",
     "handover_training_rows": f"""{VIEW}{HANDOVER_LOAD},
-people AS (SELECT DISTINCT station AS bs, imsi, t FROM local){ARRIVALS}
+people AS (SELECT DISTINCT station AS bs, imsi, t FROM local
+  WHERE start_ms < {WIDTH_MS * BUCKETS}){ARRIVALS}
 SELECT h.bs, h.t, bearer, in_ho, out_ho, arrivals
 FROM ho_load h JOIN arrived a ON a.bs = h.bs AND a.t = h.t""",
     "bs_features": f"""{VIEW}{FEATURES}
@@ -463,11 +483,17 @@ SELECT t, {_round(["load_rate", "net_flow"])} FROM whole""",
 SELECT bs, t, count(*) FILTER (WHERE is_release) AS releases,
        count(*) FILTER (WHERE is_attempt) AS attempts,
        count(*) FILTER (WHERE is_attempt AND cfc > 1) AS failures
-FROM pcmd WHERE {CLOSED} GROUP BY bs, t""",
-    "stream_ue_load": f"{VIEW}{LOAD} SELECT bs, t, ue FROM load WHERE {CLOSED}",
-    "stream_bearer_load": f"{VIEW}{LOAD} SELECT bs, t, ue, bearer FROM load WHERE {CLOSED}",
-    "stream_active_state": f"""{VIEW}
-SELECT bs, imsi, start_ms, proc_id, NOT is_release AS active FROM (
-  SELECT *, row_number() OVER (PARTITION BY bs, imsi ORDER BY start_ms DESC, proc_id DESC) AS rn
-  FROM pcmd) WHERE rn = 1""",
+FROM pcmd GROUP BY bs, t""",
+    "stream_ue_load": f"{VIEW}{LOAD} SELECT bs, t, ue FROM load",
+    "stream_bearer_load": f"{VIEW}{LOAD} SELECT bs, t, ue, bearer FROM load",
+    "stream_last_record": LAST,
+    "stream_active_state": LAST,
+    "stream_record_files": f"""{VIEW}
+SELECT rec_seq, CAST(imsi AS VARCHAR) AS imsi, start_ms, proc_id, cfc, {_station("bs")} AS bs,
+  {_station("source_bs")} AS source_bs, {_station("target_bs")} AS target_bs FROM rec""",
+    "feature_export": f"""{VIEW}{_rolled()},
+means AS (SELECT bs, """ + ", ".join(f"round(avg({c}), 9) AS {c}" for c in ROLLED_COLUMNS) + """
+  FROM rolled WHERE t BETWEEN 20 AND 60 GROUP BY bs)
+SELECT bs, """ + " || ' ' || ".join(f"printf('%.4f', {c})" for c in ROLLED_COLUMNS) + """ AS features
+FROM means""",
 }

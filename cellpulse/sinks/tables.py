@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from cellpulse.operators.mobility import neighbor_sets
 
-PIVOT_STATIONS = 100
-
-
 def write_table(df: DataFrame, path: str, file_format: str = "parquet", **options) -> None:
     """Write a result as parquet, or as csv or json with the given options."""
     df.write.options(**options).format(file_format).save(path)
@@ -34,12 +31,11 @@ def write_adjacency(edges: DataFrame, path: str) -> None:
 
 
 def wide_trace(trace: DataFrame, stations: list, columns: tuple[str, ...] = ("bearer", "ue")):
-    """One row per time with columns `<bs>_<column>`, for a short list of stations.
+    """One row per time with columns `<bs>_<column>` for each of the stations, in their order.
 
-    Meant for the few stations of a top-k report; the long form has no limit.
+    Each station adds columns, so this suits a top-k report; the long form is the
+    same table by rows.
     """
-    if len(stations) > PIVOT_STATIONS:
-        raise ValueError(f"a wide trace takes at most {PIVOT_STATIONS} stations; use the long form")
     return trace.groupBy("minutes").pivot("bs", stations).agg(
         *(F.max(c).alias(c) for c in columns)
     )

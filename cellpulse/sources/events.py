@@ -22,6 +22,8 @@ LINE_FIELDS = 255
 # Blocks for the look-back to a device's event before.
 LOOKBACK_MS = 600_000
 
+FILES_PER_BATCH = 8
+
 GRID = Grid(start_ms=0, width_ms=21_600_000, n=120)
 
 FALLBACK = "event_type = 'purchase' AND rec_seq % 7 = 0"
@@ -94,10 +96,9 @@ def event_records(
 def event_stream(spark: SparkSession, sf_dir: str, grid: Grid | None = None) -> DataFrame:
     """The same records as a stream."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    )
-    return records_of(events, grid)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH)
+    # As a pattern the table may be one file or a folder of files.
+    return records_of(reader.parquet(f"{sf_dir}/[e]vents.parquet"), grid)
 
 
 def records_of(events: DataFrame, grid: Grid | None = None, mobility: bool = False) -> DataFrame:
@@ -116,7 +117,7 @@ def records_of(events: DataFrame, grid: Grid | None = None, mobility: bool = Fal
     return handovers.drop("event_type")
 
 
-def event_sites(spark: SparkSession, sf_dir: str, grid: Grid | None = GRID) -> DataFrame:
+def event_sites(spark: SparkSession, sf_dir: str, grid: Grid | None = None) -> DataFrame:
     """Station dimension of the event records: `bs, lat, lon, descr`.
 
     Computed once into the shared folder; the view maps events to at most

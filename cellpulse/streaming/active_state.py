@@ -7,74 +7,25 @@ from pyspark.sql import functions as F
 
 from cellpulse.functions.measures import is_release
 from cellpulse.functions.timegrid import Grid
-from cellpulse.operators.active import packed_record, unpacked_record
-from cellpulse.schema import RELEASE_PROCEDURES
+from cellpulse.operators.active import greatest_record, record_found
+from cellpulse.streaming.counts import watermarked
 
-OUTPUT = "bs {bs}, imsi {imsi}, start_ms bigint, proc_id int, active boolean"
-STATE = "start_ms bigint, proc_id int"
 
+def stream_last_record(records: DataFrame, grid: Grid, delay: str = "10 minutes") -> DataFrame:
+    """Whether a device is active at a station after its last record: `bs, imsi, start_ms, proc_id, active`.
 
-def stream_active_state(records: DataFrame, grid: Grid) -> DataFrame:
-    """Whether a device is active at a station after its last record so far.
-
-    A change log: one row per (station, device) seen in a micro-batch,
-    `bs, imsi, start_ms, proc_id, active`. The state is only the last record by
-    (start_ms, proc_id), so the order in which files arrive does not matter.
+    The state is only the greatest (start_ms, proc_id) per station and device, so the order
+    in which files arrive does not matter. In update mode every change comes out; in
+    append mode each row comes out once, when the watermark passes the grid's end, and the
+    state ends with it.
     """
-    rows = grid.assign(records.where(F.col("bs").isNotNull())).select(
-        "bs", "imsi", "start_ms", F.coalesce("proc_id", F.lit(0)).alias("proc_id")
-    )
-    types = dict(rows.dtypes)
-    releases = tuple(RELEASE_PROCEDURES)
-
-    def latest(key, batches, state):
-        import pandas as pd
-
-        best = state.get if state.exists else None
-        for batch in batches:
-            start = batch["start_ms"].max()
-            proc = batch.loc[batch["start_ms"] == start, "proc_id"].max()
-            candidate = (int(start), int(proc))
-            if best is None or candidate > tuple(best):
-                best = candidate
-        state.update(tuple(best))
-        yield pd.DataFrame(
-            {
-                "bs": [key[0]],
-                "imsi": [key[1]],
-                "start_ms": [best[0]],
-                "proc_id": [best[1]],
-                "active": [best[1] not in releases],
-            }
-        )
-
-    return rows.groupBy("bs", "imsi").applyInPandasWithState(
-        latest,
-        outputStructType=OUTPUT.format(bs=types["bs"], imsi=types["imsi"]),
-        stateStructType=STATE,
-        outputMode="append",
-        timeoutConf="NoTimeout",
-    )
-
-
-def final_state(changes: DataFrame) -> DataFrame:
-    """The newest row per station and device of a change log."""
-    newest = F.max_by(F.struct("proc_id", "active"), F.struct("start_ms", "proc_id"))
-    return (
-        changes.groupBy("bs", "imsi")
-        .agg(F.max("start_ms").alias("start_ms"), newest.alias("_newest"))
-        .select("bs", "imsi", "start_ms", "_newest.proc_id", "_newest.active")
+    whole = f"{grid.n * grid.width_ms} milliseconds"
+    offset = f"{grid.start_ms % (grid.n * grid.width_ms)} milliseconds"
+    newest = (
+        watermarked(records, grid, delay)
+        .groupBy(F.window("at", whole, whole, offset).alias("span"), "bs", "imsi")
+        .agg(*greatest_record())
     )
-
-
-def stream_last_record(records: DataFrame, grid: Grid) -> DataFrame:
-    """The same state as a plain streaming aggregate, for sinks that take updates.
-
-    Runs in update or complete mode with no Python workers: `bs, imsi, start_ms,
-    proc_id, active`.
-    """
-    placed = grid.assign(records.where(F.col("bs").isNotNull()))
-    newest = placed.groupBy("bs", "imsi").agg(F.max(packed_record()).alias("_last"))
-    return newest.select("bs", "imsi", *unpacked_record(F.col("_last"))).withColumn(
-        "active", ~is_release(F.col("proc_id"))
+    return newest.select("bs", "imsi", *record_found()).withColumn(
+        "active", ~F.coalesce(is_release(F.col("proc_id")), F.lit(False))
     )

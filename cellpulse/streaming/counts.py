@@ -24,15 +24,37 @@ def _bucketed(records: DataFrame, grid: Grid, delay: str) -> DataFrame:
     Spark windows are [lo, hi); a shift by the one millisecond records are counted
     in turns them into the grid's (lo, hi]. Rows before the grid go to its first bucket.
     """
-    start_ms = F.greatest(F.col("start_ms"), F.lit(grid.start_ms + 1))
     width = f"{grid.width_ms} milliseconds"
     offset = f"{grid.start_ms % grid.width_ms} milliseconds"
-    return (
-        records.where(F.col("bs").isNotNull() & grid.inside(F.col("start_ms")))
-        .withColumn("at", F.timestamp_millis(start_ms - 1))
-        .withWatermark("at", delay)
-        .withColumn("span", F.window("at", width, width, offset))
+    return watermarked(records, grid, delay).withColumn("span", F.window("at", width, width, offset))
+
+
+def watermarked(records: DataFrame, grid: Grid, delay: str) -> DataFrame:
+    """Records of the grid with the instant before their start as event time `at`.
+
+    The filter on the grid stands above the watermark and names the event time, so rows past
+    the grid still move the watermark and close its last bucket.
+    """
+    start_ms = F.greatest(F.col("start_ms"), F.lit(grid.start_ms + 1))
+    timed = records.where(F.col("bs").isNotNull()).withColumn("at", F.timestamp_millis(start_ms - 1))
+    return timed.withWatermark("at", delay).where(F.unix_millis("at") < F.lit(grid.end_ms - 1))
+
+
+def with_end_rows(records: DataFrame, end_path: str) -> DataFrame:
+    """A stream of records together with the rows that `write_end_row` puts in a folder."""
+    spark = records.sparkSession
+    spark.createDataFrame([], records.schema).write.mode("ignore").parquet(end_path)
+    ends = spark.readStream.schema(records.schema).parquet(end_path)
+    return records.unionByName(ends)
+
+
+def write_end_row(spark: SparkSession, schema, end_path: str, after_ms: int) -> None:
+    """A row that starts at `after_ms`: once it is read, the buckets before it are closed."""
+    values = {"bs": F.lit("0"), "start_ms": F.lit(after_ms)}
+    row = spark.range(1).select(
+        *(values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema)
     )
+    row.write.mode("append").parquet(end_path)
 
 
 def _bucket_of_span(grid: Grid) -> Column:
@@ -106,3 +128,18 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     query.awaitTermination()
     spark = stream.sparkSession
     return spark.read.schema(stream.schema).parquet(path)
+
+
+def run_to_end(
+    records: DataFrame, operator, grid: Grid, delay_ms: int, path: str, checkpoint: str, end_path: str
+) -> DataFrame:
+    """Run `operator(records, grid, delay)` over a finished stream so that every bucket comes out.
+
+    The first run reads the records; the second continues on the same state and reads one
+    row past the grid, which closes the buckets that the delay still holds open.
+    """
+    stream = operator(with_end_rows(records, end_path), grid, f"{delay_ms} milliseconds")
+    run_to_table(stream, path, checkpoint)
+    after = grid.end_ms + delay_ms + 2 * grid.n * grid.width_ms
+    write_end_row(records.sparkSession, records.schema, end_path, after)
+    return run_to_table(stream, path, checkpoint)

@@ -110,10 +110,16 @@ def test_last_record_of_early_and_missing_values(spark):
     assert got == {("u",): (1, -7, 16), ("v",): (1, 5, 0)}
 
 
-def test_last_record_refuses_values_it_cannot_pack(spark):
-    df = frame(spark, [call("u", "s", 1, 1 << 21)])
-    with pytest.raises(Exception, match="packed range"):
-        active.last_record(df, GRID).collect()
+@pytest.mark.parametrize("start", [1, -(1 << 62), -1])
+def test_last_record_of_any_procedure_and_start(spark, start):
+    procs = [-1, 2_000_000, None, 5, -(1 << 31), (1 << 31) - 1]
+    rows = [call(f"u{i}", "s", start, p) for i, p in enumerate(procs)]
+    rows += [call("both", "s", start, p) for p in procs] + [call("less", "s", start, p) for p in (None, -1)]
+    rows += [call("later", "s", start, 1 << 30), call("later", "s", start + 1, None)]
+    got = {r.imsi: (r.start_ms, r.proc_id) for r in active.last_record(frame(spark, rows), GRID).collect()}
+    want = {f"u{i}": (start, p) for i, p in enumerate(procs)}
+    want |= {"both": (start, (1 << 31) - 1), "less": (start, -1), "later": (start + 1, None)}
+    assert got == want
 
 
 def test_mean_active_load(recs, rows):

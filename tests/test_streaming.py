@@ -7,9 +7,9 @@ import pytest
 from rows import skewed_rows
 
 from cellpulse.functions.timegrid import Grid
-from cellpulse.operators import active, load, quality
+from cellpulse.operators import load, quality
 from cellpulse.schema import FIELD_POSITION
-from cellpulse.sources import records
+from cellpulse.sources import events, records
 from cellpulse.streaming import active_state, counts
 
 GRID = Grid(start_ms=0, width_ms=60_000, n=30)
@@ -43,8 +43,8 @@ def rows_of(df):
 
 def closed(spark, folder, df):
     """The buckets a stream has emitted: those that end before its newest record."""
-    inside = records.read_records(spark, folder).where(f"start_ms < {GRID.end_ms}")
-    newest = inside.agg({"start_ms": "max"}).first()[0]
+    named = records.read_records(spark, folder).where("bs IS NOT NULL")
+    newest = named.agg({"start_ms": "max"}).first()[0]
     return df.where(f"t * {GRID.width_ms} <= {newest - 1}")
 
 
@@ -90,24 +90,49 @@ def test_late_rows(spark, tmp_path, delay, kept):
     assert {r.t: r.ue for r in got.collect()}[1] == kept
 
 
-def test_active_state(spark, folder, tmp_path):
-    changes = run(spark, active_state.stream_active_state(stream_of(spark, folder), GRID), tmp_path)
-    got = active_state.final_state(changes).where("active").select("bs", "imsi")
-    whole = active.active_intervals(records.read_records(spark, folder), GRID, to_grid_end=True)
-    # Still active after the grid: the range is open and its last record is no release.
-    seen = active.last_record(records.read_records(spark, folder), GRID)
-    newest = seen.groupBy("bs", "imsi").agg({"t": "max"}).withColumnRenamed("max(t)", "t")
-    open_ones = seen.join(newest, ["bs", "imsi", "t"]).where("proc_id NOT IN (3, 11)")
-    assert rows_of(got) == rows_of(open_ones.select("bs", "imsi"))
-    assert got.count() <= whole.where(f"t1 = {GRID.n}").select("bs", "imsi").distinct().count()
+def newest_of(spark, folder):
+    inside = records.read_records(spark, folder).where(f"start_ms < {GRID.end_ms} AND bs IS NOT NULL")
+    best = {}
+    for r in inside.collect():
+        best[r.bs, r.imsi] = max(best.get((r.bs, r.imsi), (-1, -1)), (r.start_ms, r.proc_id))
+    return sorted((p not in (3, 11), b, i, p, s) for (b, i), (s, p) in best.items())
 
 
-def test_last_record_as_an_aggregate(spark, folder, tmp_path):
-    stream = active_state.stream_last_record(stream_of(spark, folder), GRID)
-    changes = run(spark, active_state.stream_active_state(stream_of(spark, folder), GRID), tmp_path)
+def test_last_records_come_out_at_the_end_of_the_grid(spark, folder, tmp_path):
+    got = to_end(spark, folder, active_state.stream_last_record, tmp_path)
+    assert rows_of(got) == newest_of(spark, folder)
+
+
+def test_last_records_in_update_mode(spark, folder):
+    stream = active_state.stream_last_record(stream_of(spark, folder), GRID, "30 minutes")
     query = (
         stream.writeStream.outputMode("complete").format("memory").queryName("newest")
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    assert rows_of(spark.table("newest")) == rows_of(active_state.final_state(changes))
+    assert rows_of(spark.table("newest")) == newest_of(spark, folder)
+
+
+def to_end(spark, folder, operator, tmp_path):
+    paths = [str(tmp_path / part) for part in ("out", "state", "end")]
+    return counts.run_to_end(stream_of(spark, folder), operator, GRID, 30 * 60_000, *paths)
+
+
+@pytest.mark.parametrize("name", ["ue", "bearer"])
+def test_every_bucket_comes_out_of_a_finished_stream(spark, folder, tmp_path, name):
+    batch = records.read_records(spark, folder)
+    operator, expected = {
+        "ue": (counts.stream_ue_load, load.ue_load(batch, GRID)),
+        "bearer": (counts.stream_bearer_load, load.bearer_load(batch, GRID)),
+    }[name]
+    assert rows_of(to_end(spark, folder, operator, tmp_path)) == rows_of(expected)
+
+
+def test_streams_read_a_table_of_several_files(spark, tmp_path):
+    table = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    table.repartition(5).write.parquet(str(tmp_path / "events.parquet"))
+    read = counts.run_to_table(
+        events.event_stream(spark, str(tmp_path)).select("rec_seq"),
+        str(tmp_path / "out"), str(tmp_path / "state"),
+    )
+    assert read.count() == table.count()
