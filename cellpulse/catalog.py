@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,9 @@ from cellpulse.sources.events import GRID
 from cellpulse.streaming import active_state, counts
 
 DAY_MS = 86_400_000
+HOUR_MS = 3_600_000
+# Fixed value: the day record files are named for.
+FILE_DAY = date(2024, 1, 1)
 PRUNE_FROM_MS = 5 * DAY_MS + 3_600_000
 PRUNE_TO_MS = 9 * DAY_MS + 7_200_000
 TOP_STATIONS = 15
@@ -88,6 +92,21 @@ def pcmd_scan(spark, sf_dir):
     )
 
 
+@query
+def record_files_by_clock(spark, sf_dir):
+    """Records of the files whose name time lies in a range; the other files are not opened."""
+    path = scratch_path(spark, "clocked")
+    moves = _moves(spark, sf_dir)
+    lines = events.event_lines(moves).join(moves.select("rec_seq", "start_ms"), "rec_seq")
+    # Local time of the files' day, five hours behind.
+    hour = F.pmod(F.floor(F.col("start_ms") / HOUR_MS) - 5, F.lit(24))
+    tables.write_record_files(
+        lines.withColumn("clock", F.format_string("%02d-00", hour)), path, "clock"
+    )
+    read = records.read_records(spark, path, 6 * HOUR_MS, 12 * HOUR_MS, FILE_DAY)
+    return read.select("rec_seq", "start_ms", "proc_id", "bs")
+
+
 @query
 def time_range_prune(spark, sf_dir):
     path = scratch_path(spark, "landed")
@@ -370,7 +389,10 @@ def station_split(spark, sf_dir):
 
 @query
 def any_cell_in_group(spark, sf_dir):
-    group = events.event_sites(spark, sf_dir).where(F.col("bs") % 5 == 0).select("bs")
+    path = scratch_path(spark, "group")
+    chosen = events.event_sites(spark, sf_dir).where(F.col("bs") % 5 == 0)
+    tables.write_table(chosen.select(F.col("bs").cast("string")), path, "text")
+    group = sites.read_group(spark, path).select(F.col("bs_id").cast("int").alias("bs"))
     return groups.any_cell_in_group(_moves(spark, sf_dir), group).select("rec_seq")
 
 

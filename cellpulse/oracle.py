@@ -315,6 +315,9 @@ SELECT rec_seq, CAST(imsi AS VARCHAR) AS imsi, start_ms, proc_id,
   {_station("prev_bs")} AS prev_bs, {_station("source_bs")} AS source_bs,
   {_station("target_bs")} AS target_bs, sgw, stop_ms, ul_init_bler, ul_res_bler, mob_trigger,
   intra_status, x2_status, s1_status FROM rec""",
+    "record_files_by_clock": f"""{VIEW}
+SELECT rec_seq, start_ms, proc_id, {_station("bs")} AS bs FROM rec
+WHERE start_ms % {DAY_MS} // 3600000 BETWEEN 6 AND 11""",
     "time_range_prune": f"{VIEW} SELECT rec_seq, start_ms, bs, proc_id FROM pcmd WHERE {PRUNED}",
     "bs_dimension": f"""{VIEW}
 SELECT CAST(bs AS BIGINT) AS bs_id, round(lat, 9) AS lat, round(lon, 9) AS lon, descr FROM sites""",

@@ -36,6 +36,22 @@ def _before(keys: list[str]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
 
 
+def _rank(df: DataFrame, order: list[str], width: int) -> Column:
+    """The order inside a block as one value.
+
+    Of two whole numbers it is a decimal (the first counts from the block's begin, so it
+    always fits), which aggregates by hash; a struct would be sorted.
+    """
+    whole = {"tinyint", "smallint", "int", "bigint"}
+    kinds = dict(df.dtypes)
+    if len(order) != 2 or not {kinds[c] for c in order} <= whole:
+        return F.struct(*order)
+    past = F.col(order[0]) - F.col("_block") * F.lit(width)
+    return past.cast("decimal(18,0)") * F.lit(str(1 << 64)).cast("decimal(20,0)") + F.col(
+        order[1]
+    ).cast("decimal(20,0)")
+
+
 def lag_by_blocks(
     df: DataFrame, keys: list[str], order: list[str], value: str, out: str, width: int
 ) -> DataFrame:
@@ -44,7 +60,7 @@ def lag_by_blocks(
     across = Window.partitionBy(*keys).orderBy("_block")
     carried = (
         blocked.groupBy(*keys, "_block")
-        .agg(F.max_by(value, F.struct(*order)).alias("_tail"))
+        .agg(F.max_by(value, _rank(df, order, width)).alias("_tail"))
         .select(*keys, "_block", F.lag("_tail").over(across).alias(value))
     )
     rows, inside = _in_blocks(blocked, carried, keys, order)

@@ -41,6 +41,27 @@ def wide_trace(trace: DataFrame, stations: list, columns: tuple[str, ...] = ("be
     )
 
 
+def write_record_files(lines: DataFrame, path: str, clock: str) -> None:
+    """Lines (column `line`) as gzip files named `part-….HH-MM.MMEpcmd.gz` by the text in column `clock`.
+
+    One task writes one file per clock value it holds; the files get their names
+    afterwards, through the file system of the path.
+    """
+    spark = lines.sparkSession
+    parts = f"{path}-parts"
+    lines.select("line", F.col(clock).alias("clock")).write.partitionBy("clock").option(
+        "compression", "gzip"
+    ).text(parts)
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path
+    files = folder(parts).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(folder(path))
+    for status in files.globStatus(folder(f"{parts}/clock=*/part-*")):
+        part = status.getPath()
+        at = part.getParent().getName().removeprefix("clock=")
+        files.rename(part, folder(f"{path}/{part.getName().split('.')[0]}.{at}.MMEpcmd.gz"))
+
+
 def write_by_station(records: DataFrame, path: str) -> None:
     """Records in one folder per station.
 
