@@ -13,8 +13,8 @@ Equal texts are one class from the start, so a group of copies of any size is on
 afterwards. The signatures of the distinct texts are cut into bands; texts that share a
 band meet in a bucket. Buckets are never expanded into pairs: every text is compared with
 one leader, first the bucket's least id, then the text that so far has most links. What is
-then left are buckets that still hold several components, and only texts of different
-components are paired there. All comparisons are exact (set Jaccard of the shingles), and
+then left are buckets that still hold several components. Their texts of different components
+are paired only where the rarest shingles of both leave room for a link. All comparisons are exact (set Jaccard of the shingles), and
 links of `SIMILARITY` or more join classes.
 
 With 24 bands of 5 rows, two texts of similarity 0.8 meet with probability 0.99993, of 0.85
@@ -45,8 +45,6 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 SLICE_BYTES = 1_000_000
 LEADER_ROUNDS = 2
-# Salts of the pairs in buckets that hold several components.
-SALTS = 16
 _WORD = re.compile(r"[^ \t-\r]+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -212,6 +210,53 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(near).where(close).select("a", "b")
 
 
+def possible_links(texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (`a, b`) of texts (`rep, component`) of different components that can be close.
+
+    Each set is ordered with its rarest shingles first. Two close sets share one of the
+    first few of each (the prefix), and after the first one they share both have enough
+    left. Only pairs that pass are made; they are exactly those which these bounds do not
+    rule out, so no close pair is lost.
+    """
+    words = texts.join(sets, texts.rep == sets.doc_id).select(
+        "rep", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("s")
+    )
+    common = words.groupBy("s").agg(F.count("*").alias("df"))
+    ordered = (
+        words.join(common, "s")
+        .groupBy("rep", "component", "n")
+        .agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("all"))
+    )
+    least = int(SIMILARITY * 100)
+    # n - ceil(least * n / 100) + 1, in whole numbers.
+    prefix = F.expr(f"CAST(n - (n * {least} + 99) div 100 + 1 AS INT)")
+    rows = landed(
+        ordered.select(
+            "rep", "component", "n", F.posexplode(F.slice("all", F.lit(1), prefix)).alias("at", "word")
+        )
+        .where("word.df > 1")
+        .select("rep", "component", "n", "at", "word.s"),
+        "dedup-prefixes",
+    )
+    per = rows.groupBy("s", "component").agg(F.count("*").alias("rows"))
+    several = per.groupBy("s").agg(
+        F.max(F.struct("rows", "component")).alias("most"), F.count("*").alias("components")
+    ).where("components > 1")
+    told = rows.join(several.select("s", F.col("most.component").alias("largest")), "s")
+    # Of each shingle's largest component only the other side of a pair is taken.
+    x = told.where("component <> largest").select(
+        "s", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("at").alias("ia")
+    )
+    y = told.select(
+        "s", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("ib")
+    )
+    enough = (100 + least) * F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= least * (
+        F.col("na") + F.col("nb")
+    )
+    pairs = x.join(y, (x.s == y.s) & (F.col("ca") != F.col("cb")) & enough)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """`doc_id, class_id, rep_id, n_links` of each id of `docs` (`doc_id, text`).
 
@@ -220,7 +265,11 @@ def classes(docs: DataFrame) -> DataFrame:
     """
     signed = landed(banded(docs), "dedup-bands")
     # Equal texts first, so that a group of copies is one text from here on.
-    equal = signed.where("told IS NOT NULL").groupBy("told").agg(F.min("doc_id").alias("rep_id"))
+    # Landed, so that the join has two plain shuffles and a hot text's partition can be split.
+    equal = landed(
+        signed.where("told IS NOT NULL").groupBy("told").agg(F.min("doc_id").alias("rep_id")),
+        "dedup-equal",
+    )
     members = landed(
         signed.select("doc_id", "told")
         .join(equal, "told", "left")
@@ -264,7 +313,7 @@ def classes(docs: DataFrame) -> DataFrame:
         links = landed(links.unionByName(linked(more, sets)), "dedup-links")
         tried = tried.unionByName(more)
 
-    # Buckets with texts of several components: pair those of different ones, by salted halves.
+    # Texts of buckets that hold several components may still be close across these.
     found = components(links)
     placed = buckets.join(found, buckets.rep == found.node, "left").select(
         "bucket", "rep", F.coalesce("component", "rep").alias("component")
@@ -275,22 +324,10 @@ def classes(docs: DataFrame) -> DataFrame:
         .where("low <> high")
         .select("bucket")
     )
-    mixed_rows = landed(placed.join(apart, "bucket").distinct(), "dedup-mixed")
-    left = mixed_rows.select(
-        "bucket", F.col("rep").alias("a"), F.col("component").alias("ca"),
-        F.pmod(F.xxhash64("rep"), F.lit(SALTS)).alias("salt"),
-    )
-    right = mixed_rows.select(
-        "bucket", F.col("rep").alias("b"), F.col("component").alias("cb"),
-        F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("salt"),
-    )
-    rest = (
-        left.join(right, ["bucket", "salt"])
-        .where("a < b AND ca <> cb")
-        .select("a", "b")
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti")
+    mixed_rows = landed(
+        placed.join(apart, "bucket").select("rep", "component").distinct(), "dedup-mixed"
     )
+    rest = possible_links(mixed_rows, sets).join(tried, ["a", "b"], "left_anti")
     last = landed(linked(landed(rest, "dedup-rest"), sets), "dedup-links")
     links = links.unionByName(last)
     final = found if last.isEmpty() else components(links)
