@@ -185,18 +185,16 @@ def with_next(docs: DataFrame) -> DataFrame:
     )
     if not least:
         return texts.select("doc_id", "text", F.col("text").alias("next_text"))
-    after = {b: least[(i + 1) % len(least)] for i, (b, _) in enumerate(least)}
+    # The block whose last row each block's first text follows.
+    before = {nb: least[i - 1][0] for i, (nb, _) in enumerate(least)}
+    lows = [low for _, low in least if low is not None]
     firsts = (
-        texts.where(F.col("doc_id").isin(*(low for _, low in least if low is not None)) | F.col("doc_id").isNull())
-        .groupBy("block", "doc_id").agg(F.min("text").alias("next_text"))
+        texts.where(F.col("doc_id").isin(lows) | F.col("doc_id").isNull())
+        .groupBy("block", "doc_id").agg(F.min("text").alias("_first"))
+    ).select(
+        F.create_map(*(F.lit(x) for pair in before.items() for x in pair))[F.col("block")].alias("block"),
+        "_first",
     )
-    follows = spark.createDataFrame(
-        [(b, nb, low) for b, (nb, low) in after.items()], "before int, block int, doc_id long"
-    )
-    firsts = firsts.join(
-        F.broadcast(follows),
-        (firsts.block == follows.block) & firsts.doc_id.eqNullSafe(follows.doc_id),
-    ).select(F.col("before").alias("block"), F.col("next_text").alias("_first"))
     inside = Window.partitionBy("block").orderBy("doc_id", "text")
     return (
         texts.withColumn("_lead", F.lead("text").over(inside))

@@ -293,12 +293,13 @@ def repeats(histogram: dict[int, int], window: int) -> list[tuple[tuple[int, ...
     return out
 
 
-def places(spark, solved: list[tuple[tuple[int, ...], int]]) -> DataFrame:
+def places(spark, solved: list[tuple[tuple[int, ...], int]], windows: int) -> tuple[DataFrame, int]:
     """Rows `rest, first, behind, base, at`: remainders of a length by rank, and where they go.
 
-    The remainder of rank r goes to window base + r at offset `at`.
+    The remainder of rank r goes to window base + r at offset `at`. Windows are numbered
+    from `windows` on; the next free number is returned too.
     """
-    rows, taken, windows = [], {}, 0
+    rows, taken = [], {}
     for option, times in solved:
         at = 0
         for n in option:
@@ -327,11 +328,14 @@ def packed(docs: DataFrame, tokenizer_path: str | None = None, window: int = WIN
     order = ["_hash", "row_id"]
 
     rests = slim.where("rest > 0").select("row_id", "rest", "_hash", "_bin")
-    histogram = {
-        r["rest"]: r["count"] for r in rests.groupBy("rest").count().collect()
-    }  # fewer than `window` rows
-    solved = repeats(histogram, window)
-    where, matched_windows = places(spark, solved)
+    # At most `window` rows.
+    sums = slim.groupBy("rest").agg(
+        F.count("*").alias("rows"), F.sum(F.size("window_crcs")).alias("windows")
+    ).collect()
+    histogram = {r["rest"]: r["rows"] for r in sums if r["rest"]}
+    # Windows are numbered from 0: whole ones, then the combinations', then the residual's.
+    whole_windows = sum(r["windows"] for r in sums)
+    where, behind = places(spark, repeats(histogram, window), whole_windows)
     ranked = running_before(
         rests.withColumn("_one", F.lit(1)), ["rest"], "_bin", order, {"rank": "_one"}
     )
@@ -358,7 +362,7 @@ def packed(docs: DataFrame, tokenizer_path: str | None = None, window: int = WIN
         F.expr(
             f"CAST(least(begin + rest, (w + 1) * {window}) - greatest(begin, w * {window}) AS INT)"
         ).alias("length"),
-        (F.col("w") + matched_windows).alias("sequence_id"),
+        (F.col("w") + behind).alias("sequence_id"),
         F.expr(f"CAST(greatest(begin, w * {window}) % {window} AS INT)").alias("offset"),
     )
     tails = matched.unionByName(residual).join(
@@ -387,7 +391,6 @@ def packed(docs: DataFrame, tokenizer_path: str | None = None, window: int = WIN
     )
 
     full = slim.withColumn("windows", F.size("window_crcs")).where("windows > 0")
-    # Whole windows get negative numbers, the windows of remainders those from 0 on.
     numbered = running_before(
         full.select("doc_id", "row_id", "doc_tokens", "window_crcs", "windows", "_hash", "_bin"),
         [], "_bin", order, {"before": "windows"},
@@ -395,7 +398,7 @@ def packed(docs: DataFrame, tokenizer_path: str | None = None, window: int = WIN
     wholes = numbered.select(
         "doc_id", (F.col("nth") * window).cast("long").alias("start"),
         F.lit(window).cast("long").alias("length"), "ids_crc32", "doc_tokens",
-        (-1 - F.col("before") - F.col("nth")).cast("long").alias("sequence_id"),
+        (F.col("before") + F.col("nth")).cast("long").alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"), "row_id",
     )
     return wholes.unionByName(tails)

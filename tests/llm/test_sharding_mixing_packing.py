@@ -137,6 +137,7 @@ def test_windows_hold_each_id_in_one_piece(spark, extra):
     windows = {}
     for r in rows:
         windows.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert sorted(windows) == list(range(len(windows)))
     filled = []
     for own in windows.values():
         at = 0
