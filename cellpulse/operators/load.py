@@ -116,8 +116,8 @@ def top_volatile_trace(load: DataFrame, sites: DataFrame, grid: Grid, k: int = 3
         .orderBy(F.desc("sd"), F.desc("descr"), F.desc("bs"), F.desc("dist_km"))
         .limit(k)
     )
-    # `ranked` holds at most k rows.
-    chosen = load.join(F.broadcast(ranked), "bs", "left_semi")
-    return load_trace(chosen, ranked, grid).join(F.broadcast(ranked), "bs").select(
+    side = broadcast_if_small(ranked)
+    chosen = load.join(side, "bs", "left_semi")
+    return load_trace(chosen, ranked, grid).join(side, "bs").select(
         "bs", "descr", "dist_km", "sd", "minutes", "ue", "bearer"
     )

@@ -69,3 +69,12 @@ def test_measures(spark):
     ).collect()
     assert [(r.s, r.n, r.r) for r in got] == [(5, 1, 5.0), (0, 0, 0.0), (7, 2, 3.5)]
     assert got[0].text in ("0.1234", "0.1235")
+
+
+def test_station_numbers_up_to_a_bigint(spark):
+    codes = ["7fffffffffffffff", "0000000007fffffffffffffff", "8000000000000000", "fffffffffffffffff", "xyz", "a", ""]
+    df = spark.createDataFrame([(f"1:2:{c}",) for c in codes] + [(None,)], "bs string")
+    got = df.select(cells.station_number(df.bs).alias("n"), cells.unreadable_station(df.bs).alias("odd")).collect()
+    most = (1 << 63) - 1
+    assert [r.n for r in got] == [most, most, None, None, None, 10, None, None]
+    assert [r.odd for r in got] == [False, False, True, True, True, False, True, False]
