@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+import cellpulse
 from cellpulse.plans.bounded import scratch_path
 
 # A word is a run of characters other than these; both forms describe the same set.
@@ -34,6 +37,25 @@ def landed(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def workers_import(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    That is enough on one machine or with a shared installation; elsewhere the package is
+    shipped with the job as usual.
+    """
+    root = str(Path(cellpulse.__file__).resolve().parents[1])
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
+def map_arrow(df: DataFrame, work, schema) -> DataFrame:
+    """`mapInArrow` with functions of this package."""
+    workers_import(df.sparkSession)
+    return df.mapInArrow(work, schema)
+
+
 def fold(doc_id: Column) -> Column:
     """Remainder of the checksum of the id's text; null ids fall into fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS, F.lit(0))

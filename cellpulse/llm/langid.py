@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellpulse.llm.common import held_out, slices
+from cellpulse.llm.common import held_out, map_arrow, slices
 
 SAMPLE_PER_LANGUAGE = 2_000
 BUCKETS = 1 << 15
@@ -118,7 +118,7 @@ def learned(docs: DataFrame) -> Model:
 
     # At most languages * BUCKETS rows.
     rows = (
-        sample.mapInArrow(count, "lang string, bucket long, n long")
+        map_arrow(sample, count, "lang string, bucket long, n long")
         .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     )
     languages = tuple(sorted(counts))
@@ -224,7 +224,7 @@ def _judged(docs: DataFrame, model: Model, carried: list[str]) -> DataFrame:
 
     found = T.ArrayType(T.StructType().add("lang", T.StringType()).add("share", T.DoubleType()))
     out = T.StructType().add("row", rows.schema["row"].dataType).add("lang_pred", T.StringType())
-    return rows.mapInArrow(judge, out.add("score", T.DoubleType()).add("languages", found))
+    return map_arrow(rows, judge, out.add("score", T.DoubleType()).add("languages", found))
 
 
 def identified(docs: DataFrame) -> DataFrame:

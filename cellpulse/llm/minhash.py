@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellpulse.llm.common import landed, slices
+from cellpulse.llm.common import landed, map_arrow, slices
 from cellpulse.llm.components import components
 
 SHINGLE = 5
@@ -174,8 +174,8 @@ def banded(docs: DataFrame) -> DataFrame:
                 ["doc_id", "told", "bands"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        sign, f"doc_id {kind}, told binary, bands array<bigint>"
+    return map_arrow(
+        docs.select("doc_id", "text"), sign, f"doc_id {kind}, told binary, bands array<bigint>"
     )
 
 
@@ -192,7 +192,9 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
             )
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sets], ["doc_id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(gather, f"doc_id {kind}, shingles array<bigint>")
+    return map_arrow(
+        docs.select("doc_id", "text"), gather, f"doc_id {kind}, shingles array<bigint>"
+    )
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:

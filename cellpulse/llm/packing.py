@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellpulse.llm.common import hash_bin, landed, order_bins, running_before, slices
+from cellpulse.llm.common import hash_bin, landed, map_arrow, order_bins, running_before, slices
 
 WINDOW = 1024
 END_ID = 0
@@ -215,7 +215,8 @@ def tokenized(docs: DataFrame, tokenizer_path: str | None, window: int) -> DataF
                 ["doc_id", "doc_tokens", "window_crcs", "rest", "rest_crc", "rest_ids"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(
+    return map_arrow(
+        docs.select("doc_id", "text"),
         encode,
         f"doc_id {kind}, doc_tokens long, window_crcs array<bigint>, rest int, rest_crc long,"
         " rest_ids binary",
@@ -383,7 +384,7 @@ def packed(docs: DataFrame, tokenizer_path: str | None = None, window: int = WIN
 
     tail_columns = ("doc_id", "row_id", "doc_tokens", "skip", "length", "rest", "sequence_id", "offset")
     fields = ", ".join(f"{c} {dict(tails.dtypes)[c]}" for c in tails.columns if c in tail_columns)
-    tails = tails.mapInArrow(checksums, f"{fields}, ids_crc32 long").select(
+    tails = map_arrow(tails, checksums, f"{fields}, ids_crc32 long").select(
         "doc_id", (F.col("doc_tokens") - F.col("rest") + F.col("skip")).alias("start"),
         F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens",
         F.col("sequence_id").cast("long").alias("sequence_id"),

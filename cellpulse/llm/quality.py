@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellpulse.llm.common import held_out, landed, slices
+from cellpulse.llm.common import held_out, landed, map_arrow, slices
 
 SLICE_BYTES = 4_000_000
 # Scores from here on are good.
@@ -95,7 +95,9 @@ def with_statistics(docs: DataFrame) -> DataFrame:
                 [batch.column("doc_id"), pa.array(stats, pa.list_(pa.float64()))], ["doc_id", "stats"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(measure, f"doc_id {kind}, stats array<double>")
+    return map_arrow(
+        docs.select("doc_id", "text"), measure, f"doc_id {kind}, stats array<double>"
+    )
 
 
 @dataclass(frozen=True)
@@ -185,7 +187,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 [batch.column("doc_id"), pa.array(scores)], ["doc_id", "score"]
             )
 
-    out = stats.mapInArrow(score, f"doc_id {kind}, score double")
+    out = map_arrow(stats, score, f"doc_id {kind}, score double")
     return out.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= GOOD).cast("int").alias("predicted"),
@@ -204,4 +206,4 @@ def good_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
             stats = np.array([statistics(text) for text in batch.column("text").to_pylist()])
             yield batch.filter(pa.array(model.scores(stats) >= GOOD))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return map_arrow(docs, keep, docs.schema)

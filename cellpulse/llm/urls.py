@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellpulse.llm.common import landed
+from cellpulse.llm.common import landed, workers_import
 
 DEFAULT = "allow"
 SAMPLE_PER_BUCKET = 32
@@ -91,6 +91,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> Da
     `rules` has `host, path, verdict`; hosts in lower case.
     """
     spark = pages.sparkSession
+    workers_import(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     urls = landed(
         pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
