@@ -36,6 +36,9 @@ HEADLINE = (
     "neighbor_flow",
     "presence_flow",
     "feature_summary",
+    "bs_features",
+    "handover_timeline",
+    "stream_counts",
 )
 
 
