@@ -244,7 +244,9 @@ def possible_links(texts: DataFrame, sets: DataFrame) -> DataFrame:
     several = per.groupBy("s").agg(
         F.max(F.struct("rows", "component")).alias("most"), F.count("*").alias("components")
     ).where("components > 1")
-    told = rows.join(several.select("s", F.col("most.component").alias("largest")), "s")
+    # Landed, so that each join has two plain shuffles and a very common shingle can be split.
+    largest = landed(several.select("s", F.col("most.component").alias("largest")), "dedup-shared")
+    told = landed(rows.join(largest, "s"), "dedup-told")
     # Of each shingle's largest component only the other side of a pair is taken.
     x = told.where("component <> largest").select(
         "s", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("at").alias("ia")
