@@ -37,7 +37,7 @@ ROUNDS = 12
 PENALTY = 2.0
 # No word may speak more strongly against a language than this, so that one odd word decides nothing.
 WORD_FLOOR = 12.0
-SLICE_BYTES = 1_500_000
+SLICE_BYTES = 400_000
 UNKNOWN = "und"
 _WORDS = re.compile(r"[^\W\d_]+")
 

@@ -43,7 +43,7 @@ from cellpulse.llm.components import components
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 400_000
 LEADER_ROUNDS = 2
 _WORD = re.compile(r"[^ \t-\r]+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)

@@ -31,11 +31,11 @@ from cellpulse.llm.common import hash_bin, landed, map_arrow, order_bins, runnin
 
 WINDOW = 1024
 END_ID = 0
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 # Words encoded as one text.
 CHUNK = 256
 # Words whose ids a worker keeps at hand; it starts anew beyond that.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 # Columns of the least squares problem: combinations over the most frequent lengths.
 TRIPLES = 600
 SWEEPS, TOLERANCE = 200, 1e-4

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from cellpulse.llm.common import held_out, landed, map_arrow, slices
 
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 400_000
 # Scores from here on are good.
 GOOD = 0.5
 # Weights of the pooled covariance and of its diagonal in each class covariance.
