@@ -539,7 +539,8 @@ def feature_summary(spark, sf_dir):
 def feature_export(spark, sf_dir):
     """Feature vectors of the stations as text with four decimals."""
     vectors = features.feature_vectors(feature_summary(spark, sf_dir))
-    texts = F.transform("features", lambda v: fixed(v, 4))
+    # Adding zero drops the sign of a rounded zero.
+    texts = F.transform("features", lambda v: fixed(F.round(v, 4) + F.lit(0.0), 4))
     return vectors.select("bs", F.array_join(texts, " ").alias("features"))
 
 

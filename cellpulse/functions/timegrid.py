@@ -49,7 +49,8 @@ class Grid:
         """Bucket number, in whole-number arithmetic so that boundaries are exact."""
         past = start_ms - F.lit(self.start_ms) + F.lit(self.width_ms - 1)
         whole = F.call_function("div", past, F.lit(self.width_ms))
-        return F.greatest(F.lit(1), whole.cast("int"))
+        # Rows of the grid are at most at bucket n; those long before it may lie beyond an int.
+        return F.greatest(F.lit(1).cast("bigint"), F.least(whole, F.lit(self.n).cast("bigint"))).cast("int")
 
     def inside(self, start_ms: Column) -> Column:
         return start_ms < F.lit(self.end_ms)

@@ -497,6 +497,6 @@ SELECT rec_seq, CAST(imsi AS VARCHAR) AS imsi, start_ms, proc_id, cfc, {_station
     "feature_export": f"""{VIEW}{_rolled()},
 means AS (SELECT bs, """ + ", ".join(f"round(avg({c}), 9) AS {c}" for c in ROLLED_COLUMNS) + """
   FROM rolled WHERE t BETWEEN 20 AND 60 GROUP BY bs)
-SELECT bs, """ + " || ' ' || ".join(f"printf('%.4f', {c})" for c in ROLLED_COLUMNS) + """ AS features
+SELECT bs, """ + " || ' ' || ".join(f"printf('%.4f', round({c}, 4) + 0.0)" for c in ROLLED_COLUMNS) + """ AS features
 FROM means""",
 }

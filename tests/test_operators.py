@@ -107,15 +107,18 @@ def test_last_record_of_early_and_missing_values(spark):
     early["start_ms"] = -7
     none = {"imsi": "v", "bs": "s", "start_ms": 5}
     got = table(active.last_record(frame(spark, [early, none]), GRID), ["imsi"], ["t", "start_ms", "proc_id"])
-    assert got == {("u",): (1, -7, 16), ("v",): (1, 5, 0)}
+    assert got == {("u",): (1, -7, 16), ("v",): (1, 5, None)}
 
 
 @pytest.mark.parametrize("start", [1, -(1 << 62), -1])
 def test_last_record_of_any_procedure_and_start(spark, start):
     procs = [-1, 2_000_000, None, 5, -(1 << 31), (1 << 31) - 1]
-    rows = [call(f"u{i}", "s", start, p) for i, p in enumerate(procs)]
-    rows += [call("both", "s", start, p) for p in procs] + [call("less", "s", start, p) for p in (None, -1)]
-    rows += [call("later", "s", start, 1 << 30), call("later", "s", start + 1, None)]
+    def at(imsi, ms, proc):
+        return {"imsi": imsi, "bs": "s", "start_ms": ms, "proc_id": proc}
+
+    rows = [at(f"u{i}", start, p) for i, p in enumerate(procs)]
+    rows += [at("both", start, p) for p in procs] + [at("less", start, p) for p in (None, -1)]
+    rows += [at("later", start, 1 << 30), at("later", start + 1, None)]
     got = {r.imsi: (r.start_ms, r.proc_id) for r in active.last_record(frame(spark, rows), GRID).collect()}
     want = {f"u{i}": (start, p) for i, p in enumerate(procs)}
     want |= {"both": (start, (1 << 31) - 1), "less": (start, -1), "later": (start + 1, None)}
