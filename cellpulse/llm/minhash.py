@@ -21,8 +21,9 @@ With 24 bands of 5 rows, two texts of similarity 0.8 meet with probability 0.999
 with 0.9999992.
 
 Defined results: a text of one to four words is one shingle; texts without words are like
-equal texts only, null texts like nothing; rows with the same id are joined by it; an empty
-table gives no rows; other columns are not carried over.
+equal texts only, null texts like nothing; rows with the same id are joined by it, with all
+that their texts are close to; a null id joins nothing, and its text is compared like any
+other; an empty table gives no rows; other columns are not carried over.
 """
 
 from __future__ import annotations
@@ -148,7 +149,7 @@ def signatures(
 
 
 def banded(docs: DataFrame) -> DataFrame:
-    """`doc_id, told, bands` of each row of `docs` (`doc_id, text`).
+    """`row, doc_id, told, bands` of each row of `docs` (`row, doc_id, text`).
 
     `told` is a digest that tells texts apart, null for null; texts without words have no bands.
     """
@@ -168,20 +169,20 @@ def banded(docs: DataFrame) -> DataFrame:
             told = [None if t is None else hashlib.sha256(t.encode()).digest() for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), pa.array(told, pa.binary()),
+                    batch.column("row"), batch.column("doc_id"), pa.array(told, pa.binary()),
                     pa.array(keys, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "told", "bands"],
+                ["row", "doc_id", "told", "bands"],
             )
 
     return map_arrow(
-        docs.select("doc_id", "text"), sign, f"doc_id {kind}, told binary, bands array<bigint>"
-    )
+        docs.select("row", "doc_id", "text"), sign,
+        f"row bigint, doc_id {kind}, told binary, bands array<bigint>",
+    )
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """`doc_id, shingles`: the distinct shingle hashes of each row."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """`row, shingles`: the distinct shingle hashes of each row."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES):
@@ -190,17 +191,15 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
             sets = pa.ListArray.from_arrays(
                 pa.array(np.append(0, ends).astype(np.int32)), pa.array(elements.view(np.int64))
             )
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sets], ["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), sets], ["row", "shingles"])
 
-    return map_arrow(
-        docs.select("doc_id", "text"), gather, f"doc_id {kind}, shingles array<bigint>"
-    )
+    return map_arrow(docs.select("row", "text"), gather, "row bigint, shingles array<bigint>")
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (`a, b`) whose shingle sets have a Jaccard similarity of SIMILARITY or more."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    left = sets.select(F.col("row").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("row").alias("b"), F.col("shingles").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
     sizes = F.size("x") + F.size("y")
     # Exact in whole numbers: shared / (sizes - shared) >= 4 / 5.
@@ -220,7 +219,7 @@ def possible_links(texts: DataFrame, sets: DataFrame) -> DataFrame:
     left. Only pairs that pass are made; they are exactly those which these bounds do not
     rule out, so no close pair is lost.
     """
-    words = texts.join(sets, texts.rep == sets.doc_id).select(
+    words = texts.join(sets, texts.rep == sets.row).select(
         "rep", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("s")
     )
     common = words.groupBy("s").agg(F.count("*").alias("df"))
@@ -261,34 +260,54 @@ def possible_links(texts: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """`doc_id, class_id, rep_id, n_links` of each id of `docs` (`doc_id, text`).
+def _placed(docs: DataFrame) -> DataFrame:
+    """`row, doc_id, node, component, rep_id, class_id, class_digest, n_links` of each row of `docs`
+    (`row, doc_id, text`, landed, each row number once).
 
-    `class_id` is the least id of the class, `rep_id` the least id of the equal texts,
-    `n_links` how many other different texts the representative was found close to.
+    A node is the least row of the equal texts, a row itself where the text is null, and a
+    component the least node of the class.
     """
     signed = landed(banded(docs), "dedup-bands")
     # Equal texts first, so that a group of copies is one text from here on.
     # Landed, so that the join has two plain shuffles and a hot text's partition can be split.
     equal = landed(
-        signed.where("told IS NOT NULL").groupBy("told").agg(F.min("doc_id").alias("rep_id")),
+        signed.where("told IS NOT NULL")
+        .groupBy("told")
+        .agg(F.min("row").alias("node"), F.min("doc_id").alias("rep_id")),
         "dedup-equal",
     )
+    # Null texts are apart, so that they do not meet in one task of the join.
+    blank = signed.where("told IS NULL").select(
+        "row", "doc_id", "told", F.col("row").alias("node"), F.col("doc_id").alias("rep_id")
+    )
     members = landed(
-        signed.select("doc_id", "told")
-        .join(equal, "told", "left")
-        .groupBy("doc_id")
-        .agg(F.coalesce(F.min("rep_id"), F.col("doc_id")).alias("rep_id")),
+        signed.select("row", "doc_id", "told")
+        .join(equal, "told")
+        .select("row", "doc_id", "told", "node", "rep_id")
+        .unionByName(blank),
         "dedup-members",
     )
-    reps = members.where("rep_id = doc_id").select("doc_id")
-    bands = signed.select("doc_id", "bands").join(reps, "doc_id", "left_semi")
-    rows = bands.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("rep"))
+    # An id of several texts links each of them to its least one.
+    repeated = landed(
+        members.where("doc_id IS NOT NULL")
+        .groupBy("doc_id")
+        .agg(F.min("node").alias("a"), F.max("node").alias("most"))
+        .where("a <> most")
+        .select("doc_id", "a"),
+        "dedup-repeated",
+    )
+    same_id = landed(
+        members.join(repeated, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct(),
+        "dedup-same-id",
+    )
+    reps = equal.select(F.col("node").alias("row"))
+    bands = signed.select("row", "bands").join(reps, "row", "left_semi")
+    rows = bands.select(F.explode("bands").alias("bucket"), F.col("row").alias("rep"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).where("n > 1")
     buckets = landed(rows.join(shared, "bucket").select("bucket", "rep", "leader").distinct(), "dedup-buckets")
-    candidates = buckets.select(F.col("rep").alias("doc_id")).distinct()
+    candidates = buckets.select(F.col("rep").alias("row")).distinct()
     sets = landed(
-        shingle_sets(docs.select("doc_id", "text").join(candidates, "doc_id", "left_semi")), "dedup-sets"
+        shingle_sets(docs.select("row", "text").join(candidates, "row", "left_semi")), "dedup-sets"
     )
 
     def ordered(a, b):
@@ -334,18 +353,59 @@ def classes(docs: DataFrame) -> DataFrame:
     rest = possible_links(mixed_rows, sets).join(tried, ["a", "b"], "left_anti")
     last = landed(linked(landed(rest, "dedup-rest"), sets), "dedup-links")
     links = links.unionByName(last)
-    final = found if last.isEmpty() else components(links)
-    degrees = links.select(F.explode(F.array("a", "b")).alias("rep_id")).groupBy("rep_id").agg(
+    joined = links.select("a", "b").unionByName(same_id)
+    final = found if last.isEmpty() and same_id.isEmpty() else components(joined)
+    # Least id and digest of the components of several nodes; the other nodes have their own.
+    nodes = members.where("row = node").select("node", "rep_id", "told")
+    named = landed(final.join(nodes, "node").select("node", "component", "rep_id", "told"), "dedup-nodes")
+    whole = landed(
+        named.groupBy("component").agg(F.min("rep_id").alias("class_id"), F.min("told").alias("class_told")),
+        "dedup-classes",
+    )
+    of_node = landed(
+        named.select("node", "component").join(whole, "component"), "dedup-named"
+    )
+    degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(
         F.count("*").alias("n_links")
     )
-    whole = members.join(final.withColumnRenamed("node", "rep_id"), "rep_id", "left")
-    return whole.join(degrees, "rep_id", "left").select(
-        "doc_id", F.coalesce("component", "rep_id").alias("class_id"), "rep_id",
+    single = F.col("component").isNull()
+    return members.join(of_node, "node", "left").join(degrees, "node", "left").select(
+        "row", "doc_id", "node", F.coalesce("component", "node").alias("component"), "rep_id",
+        F.when(single, F.col("rep_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.lower(F.hex(F.when(single, F.col("told")).otherwise(F.col("class_told")))).alias("class_digest"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
     )
 
 
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """`docs` with a number for each row, which stays the same since it is landed."""
+    return landed(docs.withColumn(name, F.monotonically_increasing_id()), "dedup-documents")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """`doc_id, class_id, rep_id, class_digest, n_links` of each row of `docs` (`doc_id, text`).
+
+    `class_id` is the least id of the class, `rep_id` the least id of the equal texts, both null
+    where no row of them has an id; `class_digest` is the least SHA-256 of the class's texts, which
+    names a class without ids too. A row with neither an id nor a text is a class of its own.
+    `n_links` is how many other different texts the text was found close to.
+    """
+    return _placed(_numbered(docs.select("doc_id", "text"), "row")).select(
+        "doc_id", "class_id", "rep_id", "class_digest", "n_links"
+    )
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One row of `docs` for each class: that of the least id (and one of rows with equal ids)."""
-    kept = classes(docs).where("class_id = doc_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of `docs` for each class: one of the least id, or any where no row has an id.
+
+    Rows with the same id are one class, so of an id with several texts one row stays.
+    """
+    numbered = _numbered(docs, "_dedup_row")
+    kept = (
+        _placed(numbered.select(F.col("_dedup_row").alias("row"), "doc_id", "text"))
+        .where(F.col("class_id").eqNullSafe(F.col("doc_id")))
+        .groupBy("component")
+        .agg(F.min("row").alias("_dedup_row"))
+        .select("_dedup_row")
+    )
+    return numbered.join(kept, "_dedup_row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -105,6 +105,26 @@ def near_rows():
     return [(i, t, None, None, 0) for i, t in rows]
 
 
+def test_null_and_repeated_ids_lose_no_class(spark):
+    a, b, c, d = (cases.sentence("en", 50 + i, 60) for i in range(4))
+    near = " ".join(c.split()[:-1] + ["changed"])
+    rows = [(3, a), (5, a), (5, b), (9, b), (None, c), (None, near), (None, d), (None, None), (None, None), (None, "")]
+    rows += [(20, c), (21, None), (21, "by id"), (22, None)]
+    docs = cases.frame(spark, [(i, t, None, None, 0) for i, t in rows])
+    found = minhash.classes(docs).collect()
+    assert sorted(str(r.doc_id) for r in found) == sorted(str(i) for i, _ in rows)
+    by_id = {i: {r.class_id for r in found if r.doc_id == i} for i, _ in rows if i}
+    assert by_id == {3: {3}, 5: {3}, 9: {3}, 20: {20}, 21: {21}, 22: {22}}
+    # Without an id: c and its edited copy are of class 20; d, the blank and two nulls stand alone.
+    loose = [r for r in found if r.doc_id is None]
+    assert sorted(str(r.class_id) for r in loose) == ["20"] * 2 + ["None"] * 4
+    assert len({r.class_digest for r in loose if r.class_id is None}) == 3
+    kept = [(r.doc_id, r.text) for r in minhash.deduplicated(docs).collect()]
+    assert len(kept) == 8
+    assert {(20, c), (None, d), (None, ""), (22, None)} <= set(kept) and kept.count((None, None)) == 2
+    assert [i for i, _ in kept if i in (3, 5, 9, 21)] == [i for i, _ in kept if i in (3, 21)]
+
+
 @pytest.mark.parametrize("extra", [False, True])
 def test_classes_equal_brute_force(spark, extra):
     rows = near_rows() + cases.plain_rows(30) + cases.odd_rows()
