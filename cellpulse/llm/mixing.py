@@ -4,8 +4,10 @@ The words of a source, its documents in hash order, are one long stream, cut int
 blocks of equal word counts. The schedule is a row of slots: slot i gets the
 golden-ratio point frac(i / phi), the point is mapped through the cumulative
 weights to a source, and the slot's rank among the source's slots names the block it
-takes. Any run of slots is thus close to the target mixture, and each source gets its
-number of slots within a few. After its last block a source starts again, three
+takes. Any run of slots is thus close to the target mixture. Each source gets exactly its
+rounded number of slots: its last ones are left out, or further ones are put in over the whole
+row, where the points miss it. Sources of few words have smaller blocks, so that every source
+is due `LEAST_SLOTS` or blocks of one word. After its last block a source starts again, three
 times at most.
 
 Sources are taken to be catalogue entries: one row per source is held on the driver
@@ -37,6 +39,9 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
 # Slots of the whole schedule; a block holds about all words / SLOTS.
 SLOTS = 65_536
+# Slots that each source is due at least, so that rounding moves it little from its target.
+LEAST_SLOTS = 256
+SLOT_BIN = 4096
 GOLDEN = 0.6180339887498949
 
 
@@ -84,33 +89,48 @@ def plan_sources(
     block = max(1.0, sum(size for _, size in ordered) / slots)
     planned = []
     for number, ((name, size), target) in enumerate(zip(ordered, share, strict=True)):
-        blocks = min(size, -int(-size // block)) if size else 0
+        blocks = -int(-size // block) if size else 0
+        if target > 0:
+            blocks = max(blocks, -int(-LEAST_SLOTS * size // target))
+        blocks = min(size, blocks)
         wanted = target * blocks / size if size else 0.0
         planned.append(Source(number, name, size, target, blocks, wanted))
     return planned
 
 
+def due(source: Source) -> int:
+    """The slots of a source."""
+    return min(round(source.wanted), MAX_REPEATS * source.blocks)
+
+
 def schedule(spark, planned: list[Source]) -> DataFrame:
-    """`slot, source, rank` for all slots; ranks beyond the allowed repeats are left out."""
+    """`slot, source, rank` for all slots; each source has exactly the slots it is due."""
     sums, bounds = 0.0, []
     for s in planned:
         sums += s.wanted
         bounds.append(sums)
     n = round(sums)
     slots = spark.range(n).select(
-        F.col("id").alias("slot"),
+        F.col("id").alias("_at"),
         # Exact enough in doubles: the fraction of i * golden keeps some 30 bits at 2^22 slots.
         ((F.col("id") + 0.5) * GOLDEN % 1.0 * sums).alias("_point"),
     )
     edges = F.array(*(F.lit(b) for b in bounds[:-1])) if len(bounds) > 1 else None
     number = count_at_most(edges, F.col("_point"), len(bounds) - 1) if edges is not None else F.lit(0)
-    # Slots are numbered per source in bins of consecutive slots.
-    placed = slots.withColumn("source", number.cast("int")).withColumns(
-        {"_bin": F.floor(F.col("slot") / 4096).cast("int"), "_one": F.lit(1)}
+    hit = slots.select(F.col("_at").cast("double"), number.cast("int").alias("source"))
+    # One row per source, the same bound as that of the plan.
+    hits = {r["source"]: r["count"] for r in hit.groupBy("source").count().collect()}
+    short = [s.number for s in planned for _ in range(due(s) - hits.get(s.number, 0))]
+    # Further slots go between the others, all over the row.
+    more = [((k + 0.5) * GOLDEN % 1.0 * n, number) for k, number in enumerate(short)]
+    placed = hit.unionByName(spark.createDataFrame(more, "_at double, source int")).withColumns(
+        {"_bin": F.floor(F.col("_at") / SLOT_BIN).cast("int"), "_one": F.lit(1)}
     )
-    ranked = running_before(placed, ["source"], "_bin", ["slot"], {"rank": "_one"})
-    limit = F.array(*(F.lit(MAX_REPEATS * s.blocks) for s in planned))
-    return ranked.where(F.col("rank") < F.get(limit, F.col("source"))).select("slot", "source", "rank")
+    ranked = running_before(placed, ["source"], "_bin", ["_at"], {"rank": "_one"})
+    limit = F.array(*(F.lit(due(s)).cast("long") for s in planned))
+    left = ranked.where(F.col("rank") < F.get(limit, F.col("source")))
+    numbered = running_before(left, [], "_bin", ["_at", "source", "rank"], {"slot": "_one"})
+    return numbered.select("slot", "source", "rank")
 
 
 def document_streams(docs: DataFrame, planned: list[Source], sized: DataFrame) -> DataFrame:
@@ -128,43 +148,39 @@ def document_streams(docs: DataFrame, planned: list[Source], sized: DataFrame) -
     )
 
 
-def mix_words(
-    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, slots: int = SLOTS
-) -> DataFrame:
-    """What the mix takes of each document.
-
-    `docs` has `doc_id, text, source`. Returns one row per row of it: `doc_id, size,
-    source_size, target, taken, row_id`; taken counts words with repeats.
-    """
-    spark = docs.sparkSession
-    sized = landed(
+def _sized(docs: DataFrame) -> DataFrame:
+    return landed(
         docs.select(
             "doc_id", "source", word_count(F.col("text")).alias("size"),
             F.xxhash64("doc_id").alias("_hash"), F.monotonically_increasing_id().alias("row_id"),
         ),
         "mix-sizes",
     )
+
+
+def _plan(sized: DataFrame, weights: tuple[float, ...], slots: int) -> list[Source]:
     totals = [
         (r["source"], r["size"])
         for r in sized.groupBy("source").agg(F.sum("size").alias("size")).collect()
     ]
-    planned = plan_sources(totals, weights, slots)
-    if not planned:
-        empty = sized.withColumns(
-            {"source_size": F.lit(0).cast("long"), "target": F.lit(0.0), "taken": F.lit(0).cast("long")}
-        )
-        return empty.select("doc_id", "size", "source_size", "target", "taken", "row_id")
+    return plan_sources(totals, weights, slots)
 
+
+def _streamed(docs: DataFrame, planned: list[Source], sized: DataFrame) -> DataFrame:
     def per_source(values: list, kind: str):
         return F.get(F.array(*(F.lit(v).cast(kind) for v in values)), F.col("number"))
 
-    streamed = document_streams(docs, planned, sized).withColumns(
+    return document_streams(docs, planned, sized).withColumns(
         {
             "source_size": per_source([s.size for s in planned], "long"),
             "target": per_source([s.target for s in planned], "double"),
             "_blocks": per_source([s.blocks for s in planned], "long"),
         }
     )
+
+
+def _mixed(streamed: DataFrame, planned: list[Source]) -> DataFrame:
+    """`slot, number, rank, pass, block, row_id, begin, words`: the pieces of each slot's block."""
     # Word w lies in block floor(w * blocks / size), so block k begins at ceil(k * size / blocks).
     pieces = streamed.where("size > 0").select(
         "row_id", "number", "begin", "size", "source_size", "_blocks",
@@ -174,23 +190,61 @@ def mix_words(
         ).alias("block"),
     )
     edge = "(({k} * source_size + _blocks - 1) div _blocks)"
+    first = f"greatest(begin, {edge.format(k='block')})"
     pieces = pieces.select(
-        "row_id", "number", "block",
-        F.expr(
-            f"least(begin + size, {edge.format(k='(block + 1)')}) - greatest(begin, {edge.format(k='block')})"
-        ).alias("words"),
+        "row_id", "number", "block", F.expr(f"{first} - begin").alias("begin"),
+        F.expr(f"least(begin + size, {edge.format(k='(block + 1)')}) - {first}").alias("words"),
     )
-    block_count = F.get(F.array(*(F.lit(s.blocks).cast("long") for s in planned)), F.col("source"))
-    uses = (
-        schedule(spark, planned)
-        .groupBy(F.col("source").alias("number"), (F.col("rank") % block_count).alias("block"))
-        .agg(F.count("*").alias("uses"))
-    )
-    taken = (
-        pieces.join(uses, ["number", "block"])
-        .groupBy("row_id")
-        .agg(F.sum(F.col("words") * F.col("uses")).cast("long").alias("taken"))
+    count = F.get(F.array(*(F.lit(s.blocks).cast("long") for s in planned)), F.col("source"))
+    slots = schedule(streamed.sparkSession, planned).select(
+        "slot", F.col("source").alias("number"), "rank",
+        F.expr("rank").alias("_rank"), count.alias("_count"),
+    ).select(
+        "slot", "number", "rank", F.expr("_rank div _count").alias("pass"), F.expr("_rank % _count").alias("block")
+    )
+    return pieces.join(slots, ["number", "block"])
+
+
+def mixed_blocks(
+    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, slots: int = SLOTS
+) -> DataFrame:
+    """The mix in its order: `slot, source, rank, block, doc_id, row_id, begin, words`.
+
+    One row for each document that lies in a slot's block: `words` words of it from word `begin`
+    on. `row_id` tells rows of the same id apart.
+    """
+    sized = _sized(docs)
+    planned = _plan(sized, weights, slots)
+    if not planned:
+        zero = F.lit(0).cast("long")
+        return sized.select(
+            zero.alias("slot"), "source", zero.alias("rank"), zero.alias("block"), "doc_id", "row_id",
+            zero.alias("begin"), zero.alias("words"),
+        )
+    streamed = _streamed(docs, planned, sized)
+    rows = _mixed(streamed.drop("source", "doc_id"), planned)
+    return rows.join(sized.select("row_id", "source", "doc_id"), "row_id").select(
+        "slot", "source", "rank", "block", "doc_id", "row_id", "begin", "words"
     )
+
+
+def mix_words(
+    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, slots: int = SLOTS
+) -> DataFrame:
+    """What the mix takes of each document.
+
+    `docs` has `doc_id, text, source`. Returns one row per row of it: `doc_id, size,
+    source_size, target, taken, row_id`; taken counts words with repeats.
+    """
+    sized = _sized(docs)
+    planned = _plan(sized, weights, slots)
+    if not planned:
+        empty = sized.withColumns(
+            {"source_size": F.lit(0).cast("long"), "target": F.lit(0.0), "taken": F.lit(0).cast("long")}
+        )
+        return empty.select("doc_id", "size", "source_size", "target", "taken", "row_id")
+    streamed = _streamed(docs, planned, sized)
+    taken = _mixed(streamed, planned).groupBy("row_id").agg(F.sum("words").cast("long").alias("taken"))
     return streamed.join(taken, "row_id", "left").select(
         "doc_id", "size", "source_size", "target",
         F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "row_id",

@@ -74,6 +74,18 @@ def test_each_source_is_taken_near_its_target(spark, extra):
     assert sorted(map(str, rows)) == sorted(map(str, again))
 
 
+def test_tiny_sources_beside_hot_ones_get_their_slots_exactly(spark):
+    sizes = [5_000_000] * 5 + [40, 90, 150, 170, 200, 700, 1_000] * 5
+    planned = mixing.plan_sources([(f"s{i:02}", n) for i, n in enumerate(sizes)], mixing.WEIGHTS, 65_536)
+    slots = mixing.schedule(spark, planned).collect()
+    assert sorted(r.slot for r in slots) == list(range(len(slots)))
+    for s in planned:
+        ranks = sorted(r.rank for r in slots if r.source == s.number)
+        assert ranks == list(range(round(s.wanted)))
+        # In words, with all blocks of a source alike.
+        assert abs(len(ranks) * s.size / s.blocks - s.target) <= 0.005 * s.target
+
+
 def test_any_run_of_slots_is_close_to_the_mixture(spark):
     planned = mixing.plan_sources([("a", 50_000), ("b", 30_000), ("c", 20_000)], (5, 2, 1), 1000)
     slots = sorted(mixing.schedule(spark, planned).collect())
