@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellpulse.llm.common import (
+    WORD,
     count_at_most,
     hash_bin,
     landed,
@@ -180,7 +181,7 @@ def _streamed(docs: DataFrame, planned: list[Source], sized: DataFrame) -> DataF
 
 
 def _mixed(streamed: DataFrame, planned: list[Source]) -> DataFrame:
-    """`slot, number, rank, pass, block, row_id, begin, words`: the pieces of each slot's block."""
+    """`slot, number, rank, pass, block, row_id, size, begin, words`: the pieces of each slot's block."""
     # Word w lies in block floor(w * blocks / size), so block k begins at ceil(k * size / blocks).
     pieces = streamed.where("size > 0").select(
         "row_id", "number", "begin", "size", "source_size", "_blocks",
@@ -192,7 +193,7 @@ def _mixed(streamed: DataFrame, planned: list[Source]) -> DataFrame:
     edge = "(({k} * source_size + _blocks - 1) div _blocks)"
     first = f"greatest(begin, {edge.format(k='block')})"
     pieces = pieces.select(
-        "row_id", "number", "block", F.expr(f"{first} - begin").alias("begin"),
+        "row_id", "number", "block", "size", F.expr(f"{first} - begin").alias("begin"),
         F.expr(f"least(begin + size, {edge.format(k='(block + 1)')}) - {first}").alias("words"),
     )
     count = F.get(F.array(*(F.lit(s.blocks).cast("long") for s in planned)), F.col("source"))
@@ -208,23 +209,24 @@ def _mixed(streamed: DataFrame, planned: list[Source]) -> DataFrame:
 def mixed_blocks(
     docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, slots: int = SLOTS
 ) -> DataFrame:
-    """The mix in its order: `slot, source, rank, block, doc_id, row_id, begin, words`.
+    """The mix in its order: `slot, source, rank, pass, block, doc_id, row_id, size, begin, words`.
 
     One row for each document that lies in a slot's block: `words` words of it from word `begin`
-    on. `row_id` tells rows of the same id apart.
+    on, of its `size`. `row_id` tells rows of the same id apart; `pass` counts how often the source
+    had ended before.
     """
     sized = _sized(docs)
     planned = _plan(sized, weights, slots)
     if not planned:
         zero = F.lit(0).cast("long")
         return sized.select(
-            zero.alias("slot"), "source", zero.alias("rank"), zero.alias("block"), "doc_id", "row_id",
-            zero.alias("begin"), zero.alias("words"),
+            zero.alias("slot"), "source", zero.alias("rank"), zero.alias("pass"), zero.alias("block"),
+            "doc_id", "row_id", "size", zero.alias("begin"), zero.alias("words"),
         )
     streamed = _streamed(docs, planned, sized)
     rows = _mixed(streamed.drop("source", "doc_id"), planned)
     return rows.join(sized.select("row_id", "source", "doc_id"), "row_id").select(
-        "slot", "source", "rank", "block", "doc_id", "row_id", "begin", "words"
+        "slot", "source", "rank", "pass", "block", "doc_id", "row_id", "size", "begin", "words"
     )
 
 
@@ -252,18 +254,22 @@ def mix_words(
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """The documents of the mix with the columns of `docs`, each as often as it is taken.
+    """The documents of the mix with the columns of `docs`, one row for each time one is taken.
 
-    Only the last document that a source's blocks reach can be taken in part; it is kept
-    whole when at least half of it is taken.
+    Only the last document that a source's blocks reach can be taken in part; its text ends
+    with the last word they reach, so the words of all rows are those of `mixed_blocks`. An
+    `n_chars` of such a row is that of the text left. The order of the mix is in `mixed_blocks` only.
     """
     kept = landed(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-documents")
-    taken = mix_words(kept.select(F.col("_mix_row").alias("doc_id"), "text", "source"), weights)
-    times = taken.select(
-        F.col("doc_id").alias("_mix_row"),
-        F.floor(F.try_divide("taken", "size") + 0.5).cast("int").alias("_times"),
-    ).where("_times > 0")
-    copies = kept.join(times, "_mix_row").withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))
-    )
-    return copies.select(*(F.col(f"`{c}`") for c in docs.columns))
+    blocks = mixed_blocks(kept.select(F.col("_mix_row").alias("doc_id"), "text", "source"), weights)
+    copies = blocks.groupBy(
+        F.col("doc_id").alias("_mix_row"), F.col("pass").alias("_mix_pass"), F.col("size").alias("_mix_size")
+    ).agg(F.sum("words").cast("int").alias("_mix_words"))
+    in_part = F.col("_mix_words") < F.col("_mix_size")
+    words = F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
+    cut = F.array_join(F.slice(words, F.lit(1), F.col("_mix_words")), "")
+    taken = kept.join(copies, "_mix_row").withColumn("text", F.when(in_part, cut).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        chars = F.when(in_part & F.col("n_chars").isNotNull(), F.length("text")).otherwise(F.col("n_chars"))
+        taken = taken.withColumn("n_chars", chars.cast(docs.schema["n_chars"].dataType))
+    return taken.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -106,6 +106,30 @@ def test_mixed_documents_keep_their_columns_and_repeat_at_most_three_times(spark
     assert counts and all(r["count"] <= (6 if r.doc_id == 1009 else 3) for r in counts)
 
 
+def test_mixed_blocks_order_the_words_that_are_taken(spark):
+    docs = cases.frame(spark)
+    rows = mixing.mixed_blocks(docs, slots=4096).collect()
+    by_slot, by_row = {}, {}
+    for r in rows:
+        by_slot.setdefault(r.slot, set()).add((r.source, r.rank, r.block))
+        by_row[r.row_id] = by_row.get(r.row_id, 0) + r.words
+        assert r.words > 0 and 0 <= r.begin and r.begin + r.words <= r.size
+    assert sorted(by_slot) == list(range(len(by_slot))) and all(len(own) == 1 for own in by_slot.values())
+    taken = {r.row_id: r.taken for r in mixing.mix_words(docs, slots=4096).collect() if r.taken}
+    assert by_row == taken
+
+
+def test_a_document_taken_in_part_ends_at_the_last_word_taken(spark):
+    long_text = " \n".join(cases.sentence("en", 1, 4000).split())
+    rows = [(1, long_text, "en", "b", len(long_text))]
+    rows += [(10 + i, cases.sentence("en", 10 + i, 200), "en", "a", 7) for i in range(20)]
+    docs = cases.frame(spark, rows)
+    (target,) = {r.target for r in mixing.mix_words(docs).collect() if r.doc_id == 1}
+    (part,) = [r for r in mixing.mixed_documents(docs, (5.0, 2.0, 1.0)).collect() if r.source == "b"]
+    assert 0 < target < 2300 and abs(len(part.text.split()) - target) <= 1
+    assert long_text.startswith(part.text) and part.n_chars == len(part.text)
+
+
 def encode(texts):
     import public_tokenizers
     from tokenizers import Tokenizer
