@@ -47,9 +47,11 @@ def _rank(df: DataFrame, order: list[str], width: int) -> Column:
     if len(order) != 2 or not {kinds[c] for c in order} <= whole:
         return F.struct(*order)
     past = F.col(order[0]) - F.col("_block") * F.lit(width)
-    return past.cast("decimal(18,0)") * F.lit(str(1 << 64)).cast("decimal(20,0)") + F.col(
-        order[1]
-    ).cast("decimal(20,0)")
+    # A missing second number sorts before all others, as in the window.
+    second = F.coalesce(
+        F.col(order[1]).cast("decimal(20,0)"), F.lit(str(-(1 << 63) - 1)).cast("decimal(20,0)")
+    )
+    return past.cast("decimal(18,0)") * F.lit(str(1 << 65)).cast("decimal(20,0)") + second
 
 
 def lag_by_blocks(

@@ -452,6 +452,16 @@ def test_blocked_windows_keep_rows_without_a_key(spark):
     }
 
 
+@pytest.mark.parametrize("width", [2_000, 10**9])
+def test_a_missing_second_number_sorts_first_in_a_block(spark, width):
+    keys = [(0, 5), (0, None), (2_000, None), (4_000, 1), (4_000, -(1 << 63)), (4_001, None), (6_000, 3)]
+    df = frame(spark, [{"rec_seq": n, "start_ms": t, "bs": f"{t}/{n}"} for t, n in keys])
+    ordered = sorted(keys, key=lambda k: (k[0], k[1] is not None, k[1] or 0))
+    wanted = {f"{t}/{n}": p and f"{p[0]}/{p[1]}" for p, (t, n) in zip([None, *ordered], ordered)}
+    got = blocks.lag_by_blocks(df, ["imsi"], ["start_ms", "rec_seq"], "bs", "before", width)
+    assert {r.bs: r.before for r in got.collect()} == wanted
+
+
 def test_pages_hold_the_whole_timeline(recs, rows):
     placed = timeline.ue_timeline(recs.select("imsi", "start_ms", "rec_seq"), ["imsi"])
     pages = timeline.ue_timeline_pages(placed, ["imsi"], page_records=50).collect()
