@@ -238,7 +238,7 @@ def identified(docs: DataFrame) -> DataFrame:
     )
 
 
-def with_known_language(docs: DataFrame, least_share: float) -> DataFrame:
+def with_known_language(docs: DataFrame, least_share: float = 0.0) -> DataFrame:
     """The rows of `docs` whose main language was recognised and has at least this proportion."""
     found = _judged(docs, learned(docs), docs.columns)
     main = F.get("languages", F.lit(0))["share"]

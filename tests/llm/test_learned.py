@@ -80,6 +80,21 @@ def test_a_mixture_lists_its_languages(spark):
     assert r.lang_pred == "en" and shares["en"] == pytest.approx(2 / 3, abs=0.05)
 
 
+def test_a_text_in_three_languages_stays(spark, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setitem(cases.SYLLABLES, "xx", "quo vju kma ljo zqi wox hyf jub gax pik".split())
+    rows = cases.plain_rows(200)
+    rows += [(500 + i, cases.sentence("xx", 500 + i, 40), "xx", None, 0) for i in range(80)]
+    parts = [("en", 80), ("de", 70), ("xx", 50)]
+    rows.append((999, " ".join(cases.sentence(x, 9000 + n, n) for x, n in parts), None, None, 0))
+    docs = cases.frame(spark, rows)
+    shares = langid.identified(docs).where("doc_id = 999").first().languages
+    assert len(shares) == 3 and shares[0].share < 0.5
+    kept = corpus_pipeline.keep_known_languages(spark, docs, "")
+    assert kept.where("doc_id = 999").count() == 1
+
+
 def test_languages_without_labels_or_documents(spark):
     rows = [(i, "some text", None, None, 0) for i in range(5)]
     assert {r.lang_pred for r in langid.identified(cases.frame(spark, rows)).collect()} == {"und"}
