@@ -261,7 +261,7 @@ def possible_links(texts: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _placed(docs: DataFrame) -> DataFrame:
-    """`row, doc_id, node, component, rep_id, class_id, class_digest, n_links` of each row of `docs`
+    """`row, doc_id, node, component, rep_id, class_id, class_digest` of each row of `docs`
     (`row, doc_id, text`, landed, each row number once).
 
     A node is the least row of the equal texts, a row itself where the text is null, and a
@@ -365,15 +365,11 @@ def _placed(docs: DataFrame) -> DataFrame:
     of_node = landed(
         named.select("node", "component").join(whole, "component"), "dedup-named"
     )
-    degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(
-        F.count("*").alias("n_links")
-    )
     single = F.col("component").isNull()
-    return members.join(of_node, "node", "left").join(degrees, "node", "left").select(
+    return members.join(of_node, "node", "left").select(
         "row", "doc_id", "node", F.coalesce("component", "node").alias("component"), "rep_id",
         F.when(single, F.col("rep_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.lower(F.hex(F.when(single, F.col("told")).otherwise(F.col("class_told")))).alias("class_digest"),
-        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
     )
 
 
@@ -383,15 +379,14 @@ def _numbered(docs: DataFrame, name: str) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """`doc_id, class_id, rep_id, class_digest, n_links` of each row of `docs` (`doc_id, text`).
+    """`doc_id, class_id, rep_id, class_digest` of each row of `docs` (`doc_id, text`).
 
     `class_id` is the least id of the class, `rep_id` the least id of the equal texts, both null
     where no row of them has an id; `class_digest` is the least SHA-256 of the class's texts, which
     names a class without ids too. A row with neither an id nor a text is a class of its own.
-    `n_links` is how many other different texts the text was found close to.
     """
     return _placed(_numbered(docs.select("doc_id", "text"), "row")).select(
-        "doc_id", "class_id", "rep_id", "class_digest", "n_links"
+        "doc_id", "class_id", "rep_id", "class_digest"
     )
 
 

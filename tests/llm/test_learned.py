@@ -188,3 +188,8 @@ def test_components_of_a_long_chain_and_a_star(spark):
     got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(31)} | {499: 499, 500: 499}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_classes_have_no_column_that_depends_on_the_leaders(spark):
+    found = minhash.classes(cases.frame(spark, near_rows()[:3]))
+    assert found.columns == ["doc_id", "class_id", "rep_id", "class_digest"]
