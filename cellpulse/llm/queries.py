@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellpulse.llm import chat, fingerprint, langid, minhash, mixing, packing, quality, rules, sharding, urls
+from cellpulse.llm import (
+    chat, codes, extract, fingerprint, langid, minhash, mixing, packing, quality, resample, rules, sharding, sql, urls,
+)
 from cellpulse.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +93,21 @@ def op10_mixing(spark, sf_dir):
     return taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op11_html_extraction(spark, sf_dir):
+    return extract.extracted(table(spark, sf_dir, "pages"))
+
+
+@query
+def op12_vector_codes(spark, sf_dir):
+    return codes.code_digests(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_importance_resampling(spark, sf_dir):
+    return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 _ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 ORACLE_SQL: dict[str, str] = {
@@ -129,4 +146,7 @@ fits AS (
                             AND starts_with(p.path, r.path))
 SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
 FROM places p LEFT JOIN fits f ON f.page_id = p.page_id AND f.nth = 1""",
+    "op11_html_extraction": sql.MAIN_TEXT,
+    "op12_vector_codes": sql.vector_codes(),
+    "op13_importance_resampling": sql.resampling(),
 }
