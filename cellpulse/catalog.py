@@ -22,7 +22,7 @@ from cellpulse.operators import (
     quality,
     timeline,
 )
-from cellpulse.plans.bounded import checkpointed, scratch_path
+from cellpulse.plans.bounded import checkpointed, landed, scratch_path
 from cellpulse.sinks import tables
 from cellpulse.sources import events, records, sites
 from cellpulse.sources.events import GRID
@@ -465,11 +465,10 @@ def ue_timeline_pages(spark, sf_dir):
 
 @query
 def neighbor_flow(spark, sf_dir):
-    calls = _calls(spark, sf_dir)
-    # One row per station, read by the ranges and by the series.
-    ends = checkpointed(active.series_ends(calls, GRID))
-    ranges = active.active_intervals(calls, GRID, ends=ends)
-    return flow.neighbor_flow(ranges, _edges(spark, sf_dir), ends)
+    # Narrow ranges, written once; the stations' last buckets come from them.
+    opened = landed(active.open_ranges(_calls(spark, sf_dir), GRID), "open-ranges")
+    ends = checkpointed(active.ends_of_ranges(opened))
+    return flow.neighbor_flow(active.closed_ranges(opened, ends), _edges(spark, sf_dir), ends)
 
 
 @query

@@ -110,9 +110,17 @@ def active_intervals(
     # are shuffled and broadcasts it when small; otherwise it is a sort-merge
     # join whose skewed keys are split.
     last = series_ends(records, grid, key) if ends is None else ends
-    return ranges.join(last, key).select(
-        key, "imsi", "t0", F.coalesce("t1", "last_t").alias("t1")
-    )
+    return closed_ranges(ranges, last, key)
+
+
+def ends_of_ranges(ranges: DataFrame, key: str = "bs") -> DataFrame:
+    """`series_ends` from open ranges: a range begins at a record, and the last record of a key begins one."""
+    return ranges.groupBy(key).agg(F.max("t0").alias("last_t"))
+
+
+def closed_ranges(ranges: DataFrame, ends: DataFrame, key: str = "bs") -> DataFrame:
+    """Ranges with the open ones closed at the last bucket of the key's series."""
+    return ranges.join(ends, key).select(key, "imsi", "t0", F.coalesce("t1", "last_t").alias("t1"))
 
 
 def active_ues(intervals: DataFrame, key: str = "bs") -> DataFrame:

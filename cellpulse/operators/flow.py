@@ -1,14 +1,14 @@
 """Flow of devices between neighbouring stations.
 
-Devices meet their neighbours through the edge list: every mask row fans out
-along the edges of its station and joins on (device, run, neighbour). The work
-is linear in the number of edges; all pairs of stations of a device are never
-formed, and a device that is everywhere spreads over its neighbours.
+Devices meet their neighbours through the edge list: a row fans out along the edges of its
+station and meets the device's rows at that neighbour. The work is linear in the number of
+edges; all pairs of stations of a device are never formed, and a device that is everywhere
+spreads over its neighbours. Active ranges meet as ranges, presence as bit masks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellpulse.functions.timegrid import Grid
@@ -16,10 +16,8 @@ from cellpulse.operators.load import placed
 from cellpulse.plans.bounded import broadcast_if_small
 from cellpulse.plans.dense import zero_filled
 from cellpulse.plans.masks import (
-    bit_counts,
     bit_sums,
     masks_of_buckets,
-    masks_of_ranges,
     moving_only,
     per_bucket,
     sums_of_bit_sums,
@@ -51,23 +49,95 @@ def _meetings(masks: DataFrame, edges: DataFrame) -> DataFrame:
     return met.where((F.col("came") != 0) | (F.col("left") != 0))
 
 
+# Stations of a device up to which its neighbours are looked up among them one by one.
+LISTED_STATIONS = 64
+
+
+def _fanned_out(intervals: DataFrame, edges: DataFrame) -> DataFrame:
+    """Every range at its own station and at the neighbours its device has been to.
+
+    Rows `imsi, s, t, until, o, out, back`: at home (`o` is null) a range of station s; else a
+    range of station o that looks for ranges at s. `out` tells whether s is a
+    neighbour of o, `back` whether o is one of s. Ranges that meet nobody are left out.
+    """
+    one, none = F.lit(True), F.lit(False)
+    ways = edges.select(F.col("bs").alias("o"), F.col("n").alias("s"), one.alias("out"), none.alias("back"))
+    both = ways.unionByName(ways.select(F.col("s").alias("o"), F.col("o").alias("s"), none.alias("out"), one.alias("back")))
+    pairs = both.groupBy("o", "s").agg(F.max("out").alias("out"), F.max("back").alias("back"))
+    # One row per station, as long as the station has neighbours.
+    towards = pairs.groupBy(F.col("o").alias("bs")).agg(
+        F.collect_list(F.struct("s", F.col("o"), "out", "back")).alias("towards")
+    )
+    # One row per device, at most as long as there are stations.
+    visited = intervals.groupBy("imsi").agg(F.collect_set("bs").alias("visited"))
+    few = F.size("visited") <= LISTED_STATIONS
+    met = F.filter("towards", lambda p: ~few | F.array_contains("visited", p["s"]))
+    home = F.struct(
+        F.col("bs").alias("s"), F.lit(None).cast(edges.schema["bs"].dataType).alias("o"), none.alias("out"), none.alias("back")
+    )
+    return (
+        intervals.join(broadcast_if_small(towards), "bs")
+        .join(visited, "imsi")
+        .withColumn("met", met)
+        .where(F.size("met") > 0)
+        .select("imsi", F.col("t0").alias("t"), F.col("t1").alias("until"), F.inline(F.concat(F.array(home), F.col("met"))))
+    )
+
+
+def _moves(fanned: DataFrame) -> DataFrame:
+    """Ranges of buckets in which a device has come from one station to another: `bs, kind, first, behind`.
+
+    A device counts at bucket t if it was active at the first station in t - 1 and is at the
+    second in t. The ranges of a device at one station never overlap, so each range meets
+    the others through its own begin: it lies behind at most one begin at the other station.
+    """
+    along = Window.partitionBy("imsi", "s").orderBy("t")
+    home = F.when(F.col("o").isNull(), F.struct("t", "until"))
+    upto = F.last(home, ignorenulls=True).over(along.rangeBetween(Window.unboundedPreceding, 0))
+    before = F.last(home, ignorenulls=True).over(along.rangeBetween(Window.unboundedPreceding, -1))
+    probes = fanned.withColumns({"before": before, "upto": upto}).where(F.col("o").isNotNull())
+
+    def rows(met, begin, end, comes_to, comes_from, counts_in, counts_out):
+        there = met.isNotNull() & (begin <= end)
+        return [
+            F.when(there & counts_in, F.struct(comes_to.alias("bs"), F.lit(1).alias("i"), F.lit(0).alias("o"), begin.alias("first"), (end + 1).alias("behind"))),
+            F.when(there & counts_out, F.struct(comes_from.alias("bs"), F.lit(0).alias("i"), F.lit(1).alias("o"), begin.alias("first"), (end + 1).alias("behind"))),
+        ]
+
+    t, until, o, s = (F.col(c) for c in ("t", "until", "o", "s"))
+    arrived = rows(F.col("before"), t, F.least(F.col("before.until") + 1, until), o, s, F.col("out"), F.col("back"))
+    gone = rows(F.col("upto"), t + 1, F.least(until + 1, F.col("upto.until")), s, o, F.col("back"), F.col("out"))
+    return probes.select(F.inline(F.array_compact(F.array(*arrived, *gone))))
+
+
 def neighbor_flow(intervals: DataFrame, edges: DataFrame, ends: DataFrame) -> DataFrame:
     """Active devices that came from and went to a neighbour: `bs, t, inflow, outflow, net`.
 
     Summed over the neighbours that have records; every bucket of the station's
     own series has a row. `intervals` are closed active ranges and `ends` the last
-    bucket of every station (`series_ends`), best as a computed table.
+    bucket of every station (`series_ends`). Give both as computed tables: the plan reads
+    them twice. Ranges stay ranges, however long: each meets those of the same device at its
+    neighbours in one window per (device, station), which holds at most a row per
+    bucket for the station and each of its neighbours, and only begins and ends of flows are counted.
     """
-    counts = bit_counts(
-        _meetings(masks_of_ranges(intervals), edges), ["bs"], ["came", "left"]
+    known = edges.select("bs", "n").distinct()
+    moves = _moves(_fanned_out(intervals.where(F.col("imsi").isNotNull()), known))
+    ways = F.array(
+        F.struct(F.col("first").alias("t"), F.col("i"), F.col("o")),
+        F.struct(F.col("behind").alias("t"), (-F.col("i")).alias("i"), (-F.col("o")).alias("o")),
     )
-    with_records = edges.join(ends.select(F.col("bs").alias("n")), "n", "left_semi")
+    changes = moves.select("bs", F.inline(ways)).groupBy("bs", "t").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
+    with_records = known.join(ends.select(F.col("bs").alias("n")), "n", "left_semi")
     series = ends.join(with_records, "bs", "left_semi").select(
         "bs", F.explode(F.sequence(F.lit(1), F.col("last_t"))).alias("t")
     )
-    came, left = (F.coalesce(c, F.lit(0)) for c in ("came", "left"))
-    return series.join(counts, ["bs", "t"], "left").select(
-        "bs", "t", came.alias("inflow"), left.alias("outflow"), (came - left).alias("net")
+    # One row per station and bucket: running sums of the changes.
+    upto = Window.partitionBy("bs").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    came, left = (F.coalesce(F.sum(c).over(upto), F.lit(0)).cast("bigint") for c in ("i", "o"))
+    return (
+        series.join(changes, ["bs", "t"], "left")
+        .select("bs", "t", came.alias("inflow"), left.alias("outflow"))
+        .withColumn("net", F.col("inflow") - F.col("outflow"))
     )
 
 

@@ -44,6 +44,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def landed(df: DataFrame, label: str) -> DataFrame:
+    """Write once to the shared folder as Parquet and read back.
+
+    For record-sized results: later readers take only the columns they use.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark for broadcast only after counting at most `max_rows + 1` rows.
 
