@@ -94,16 +94,15 @@ def pcmd_scan(spark, sf_dir):
 
 @query
 def record_files_by_clock(spark, sf_dir):
-    """Records of the files whose name time lies in a range; the other files are not opened."""
+    """Records of the files whose time lies in a range; the other files are not opened."""
     path = scratch_path(spark, "clocked")
-    moves = _moves(spark, sf_dir)
-    lines = events.event_lines(moves).join(moves.select("rec_seq", "start_ms"), "rec_seq")
+    lines = events.event_lines(_moves(spark, sf_dir), "start_ms")
     # Local time of the files' day, five hours behind.
     hour = F.pmod(F.floor(F.col("start_ms") / HOUR_MS) - 5, F.lit(24))
     tables.write_record_files(
         lines.withColumn("clock", F.format_string("%02d-00", hour)), path, "clock"
     )
-    read = records.read_records(spark, path, 6 * HOUR_MS, 12 * HOUR_MS, FILE_DAY)
+    read = records.read_records(spark, path, 6 * HOUR_MS, 12 * HOUR_MS, FILE_DAY, pattern="*.gz")
     return read.select("rec_seq", "start_ms", "proc_id", "bs")
 
 
@@ -242,10 +241,8 @@ def top_volatile_trace(spark, sf_dir):
 
 @query
 def wide_trace(spark, sf_dir):
-    trace = checkpointed(top_volatile_trace(spark, sf_dir).select("bs", "sd", "minutes", "ue", "bearer"))
-    # At most TOP_STATIONS rows.
-    ranked = trace.select("bs", "sd").distinct().orderBy(F.desc("sd"), "bs").collect()
-    return tables.wide_trace(trace, [r.bs for r in ranked])
+    """The busiest stations side by side, by rank."""
+    return tables.wide_trace(checkpointed(top_volatile_trace(spark, sf_dir)), TOP_STATIONS)
 
 
 # Quality and failures

@@ -43,13 +43,14 @@ def relevant_stations(edges: DataFrame) -> DataFrame:
 FIXED_STATIONS = ("bs", "source_bs", "target_bs")
 
 
-def any_cell_in_group(records: DataFrame, group: DataFrame, record_id: str = "rec_seq") -> DataFrame:
+def any_cell_in_group(records: DataFrame, group: DataFrame) -> DataFrame:
     """Records that name at least one station of the group in any cell column.
 
     The current, source and target station are looked up with joins that need no
-    shuffle while the group is small enough to broadcast. Only records without a
-    hit there and with measured cells are fanned out to those and brought back
-    together by `record_id`, which tells records apart.
+    shuffle while the group is small enough to broadcast. Measured cells are fanned
+    out once per different list, not per record; the lists with a hit are looked
+    up like a fourth column. No side repeats a key, so every record comes back as
+    often as it is there, with or without an id.
     """
     name, _ = group_key(group, F.col("bs"))
     members = broadcast_if_small(group.select(F.col(name).alias("_member")).distinct())
@@ -60,17 +61,22 @@ def any_cell_in_group(records: DataFrame, group: DataFrame, record_id: str = "re
         flagged = flagged.withColumn(f"_station{i}", value).join(
             side, F.col(f"_station{i}") == F.col(f"_member{i}"), "left"
         )
-    helpers = [f"_{kind}{i}" for kind in ("station", "member") for i in range(len(FIXED_STATIONS))]
     hit = F.coalesce(*(F.col(f"_member{i}") for i in range(len(FIXED_STATIONS)))).isNotNull()
-    direct = flagged.where(hit).drop(*helpers)
+    helpers = [f"_{kind}{i}" for kind in ("station", "member") for i in range(len(FIXED_STATIONS))]
     if "measured" not in records.columns:
-        return direct
-    measured = F.col("measured") if name == "bs" else F.transform("measured", station_number)
-    fanned = flagged.where(~hit & (F.size("measured") > 0)).drop(*helpers)
+        return flagged.where(hit).drop(*helpers)
+    lists = records.where(F.size("measured") > 0).select(F.col("measured").alias("_list")).distinct()
+    stations = F.col("_list") if name == "bs" else F.transform("_list", station_number)
     found = (
-        fanned.withColumn("_station", F.explode(F.array_distinct(measured)))
+        lists.withColumn("_station", F.explode(F.array_distinct(stations)))
         .join(members, F.col("_station") == F.col("_member"), "left_semi")
-        .drop("_station")
-        .dropDuplicates([record_id])
+        .select("_list").distinct()
+    )
+    # Only records without a hit so far look for their list.
+    wanted = F.when(~hit & (F.size("measured") > 0), F.col("measured"))
+    return (
+        flagged.withColumn("_wanted", wanted)
+        .join(broadcast_if_small(found), F.col("_wanted") == F.col("_list"), "left")
+        .where(hit | F.col("_list").isNotNull())
+        .drop(*helpers, "_wanted", "_list")
     )
-    return direct.unionByName(found)

@@ -358,10 +358,18 @@ SELECT d.bs, r.descr, round(r.dist_km, 9) AS dist_km, round(r.sd, 9) AS sd,
        CAST(d.t AS BIGINT) * {MINUTES} AS minutes, d.ue, d.bearer
 FROM dense d JOIN ranked r ON r.bs = d.bs""",
     "wide_trace": f"""{VIEW}{LOAD}{RANKED},
+numbered AS (
+  SELECT *, row_number() OVER (ORDER BY sd DESC, descr DESC, bs DESC, dist_km DESC) AS rank FROM ranked),
 chosen AS (
-  SELECT bs, CAST(t AS BIGINT) * {MINUTES} AS minutes, bearer, ue FROM dense
-  WHERE bs IN (SELECT bs FROM ranked))
-PIVOT chosen ON bs USING max(bearer) AS bearer, max(ue) AS ue GROUP BY minutes""",
+  SELECT CAST(d.t AS BIGINT) * {MINUTES} AS minutes, n.rank, d.bs, n.descr, round(n.dist_km, 9) AS dist_km,
+         d.bearer, d.ue FROM dense d JOIN numbered n ON n.bs = d.bs)
+SELECT minutes, """
+    + ", ".join(
+        f"max({c}) FILTER (WHERE rank = {r}) AS {c}_{r}"
+        for r in range(1, 16)
+        for c in ("bs", "descr", "dist_km", "bearer", "ue")
+    )
+    + " FROM chosen GROUP BY minutes",
     "failure_rate": f"{VIEW}{RATES} SELECT bs, t, attempts, failures, round(rate, 9) AS rate FROM rates",
     "failure_trace": f"""{VIEW}{LOAD}{RATES}
 SELECT l.bs, l.t, l.bearer, r.attempts, r.failures, round(r.rate, 9) AS rate

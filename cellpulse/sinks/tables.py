@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellpulse.operators.mobility import neighbor_sets
 
+
 def write_table(df: DataFrame, path: str, file_format: str = "parquet", **options) -> None:
     """Write a result as parquet, or as csv or json with the given options."""
     df.write.options(**options).format(file_format).save(path)
@@ -30,36 +31,35 @@ def write_adjacency(edges: DataFrame, path: str) -> None:
     adjacency_lines(edges).write.text(path)
 
 
-def wide_trace(trace: DataFrame, stations: list, columns: tuple[str, ...] = ("bearer", "ue")):
-    """One row per time with columns `<bs>_<column>` for each of the stations, in their order.
+WIDE_COLUMNS = ("bs", "descr", "dist_km", "bearer", "ue")
+
 
-    Each station adds columns, so this suits a top-k report; the long form is the
-    same table by rows.
+def wide_trace(trace: DataFrame, k: int) -> DataFrame:
+    """One row per time with columns `<column>_<rank>` of the `k` stations that vary most.
+
+    Takes a `top_volatile_trace`, best as a computed table. The columns depend on `k` alone, not
+    on which stations come out; ranks without a station are null. This suits a top-k
+    report; the long form is the same table by rows.
     """
-    return trace.groupBy("minutes").pivot("bs", stations).agg(
-        *(F.max(c).alias(c) for c in columns)
+    order = [F.desc("sd"), F.desc("descr"), F.desc("bs"), F.desc("dist_km")]
+    # At most k rows.
+    ranks = trace.select("bs", "descr", "dist_km", "sd").distinct().select(
+        F.col("bs").alias("_bs"), F.row_number().over(Window.orderBy(*order)).alias("rank")
+    )
+    placed = trace.join(F.broadcast(ranks), F.col("bs") == F.col("_bs"))
+    return placed.groupBy("minutes").agg(
+        *(F.max(F.when(F.col("rank") == r, F.col(c))).alias(f"{c}_{r}") for r in range(1, k + 1) for c in WIDE_COLUMNS)
     )
 
 
 def write_record_files(lines: DataFrame, path: str, clock: str) -> None:
-    """Lines (column `line`) as gzip files named `part-….HH-MM.MMEpcmd.gz` by the text in column `clock`.
+    """Lines (column `line`) as gzip files in one folder `clock=HH-MM` per text of column `clock`.
 
-    One task writes one file per clock value it holds; the files get their names
-    afterwards, through the file system of the path.
+    `read_records` takes the time of a file from its folder where its name has none.
     """
-    spark = lines.sparkSession
-    parts = f"{path}-parts"
     lines.select("line", F.col(clock).alias("clock")).write.partitionBy("clock").option(
         "compression", "gzip"
-    ).text(parts)
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path
-    files = folder(parts).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.mkdirs(folder(path))
-    for status in files.globStatus(folder(f"{parts}/clock=*/part-*")):
-        part = status.getPath()
-        at = part.getParent().getName().removeprefix("clock=")
-        files.rename(part, folder(f"{path}/{part.getName().split('.')[0]}.{at}.MMEpcmd.gz"))
+    ).text(path)
 
 
 def write_by_station(records: DataFrame, path: str) -> None:

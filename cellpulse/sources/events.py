@@ -139,8 +139,8 @@ def event_group(sites: DataFrame) -> DataFrame:
     return sites.where(F.col("bs") % 2 == 0).select("bs")
 
 
-def event_lines(records: DataFrame) -> DataFrame:
-    """Record lines of 255 fields for mobility records, as `rec_seq, line`.
+def event_lines(records: DataFrame, *beside: str) -> DataFrame:
+    """Record lines of 255 fields for mobility records, as `rec_seq, line` and the columns named.
 
     One record in four also carries a measured-cell list from field 251 on.
     """
@@ -156,4 +156,4 @@ def event_lines(records: DataFrame) -> DataFrame:
         f"coalesce(CAST({slots[i]} AS STRING), '')" if i in slots else "''"
         for i in range(1, LINE_FIELDS + 1)
     )
-    return records.selectExpr("rec_seq", f"concat_ws(';', {', '.join(fields)}) AS line")
+    return records.selectExpr("rec_seq", *beside, f"concat_ws(';', {', '.join(fields)}) AS line")

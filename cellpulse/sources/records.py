@@ -20,7 +20,16 @@ def file_clock_ms(file_name: Column, day: date, zone: str = "America/New_York")
 
     The time is the second dot-separated token, `HH-MM` (any separator) or `HHMM`.
     """
-    token = F.get(F.split(file_name, r"\."), F.lit(1))
+    return clock_ms(F.get(F.split(file_name, r"\."), F.lit(1)), day, zone)
+
+
+def folder_clock_ms(file_path: Column, day: date, zone: str = "America/New_York") -> Column:
+    """The same from a folder `clock=HH-MM` on the way to a file."""
+    return clock_ms(F.regexp_extract(file_path, r"/clock=([^/]*)/[^/]*$", 1), day, zone)
+
+
+def clock_ms(token: Column, day: date, zone: str) -> Column:
+    """Milliseconds from UTC midnight of `day` to a local time `HH-MM` or `HHMM`; null if it is none."""
     hour = F.regexp_extract(token, r"^(\d\d)\D?(\d\d)$", 1).try_cast("int")
     minute = F.regexp_extract(token, r"^(\d\d)\D?(\d\d)$", 2).try_cast("int")
     local = F.make_timestamp(
@@ -100,7 +109,10 @@ def _in_time(
         return files
     if day is None:
         raise ValueError("a time range over file names needs the day of the files")
-    at = file_clock_ms(F.col("_metadata.file_name"), day, zone)
+    at = F.coalesce(
+        file_clock_ms(F.col("_metadata.file_name"), day, zone),
+        folder_clock_ms(F.col("_metadata.file_path"), day, zone),
+    )
     if start_ms is not None:
         files = files.where(at >= F.lit(start_ms))
     if end_ms is not None:
@@ -118,7 +130,9 @@ def read_records(
     pattern: str = RECORD_FILES,
     measured: bool = False,
 ) -> DataFrame:
-    """Typed records of all files, or of those whose name time lies in `[start_ms, end_ms)`.
+    """Typed records of all files, or of those whose time lies in `[start_ms, end_ms)`.
+
+    A file's time is in its name, or in the name of a folder `clock=HH-MM`.
 
     `measured` adds the measured-cell list, which needs the whole line.
     """

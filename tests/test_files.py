@@ -159,11 +159,13 @@ def test_csv_sink(spark, tmp_path):
 
 
 def test_wide_trace(spark):
-    trace = spark.createDataFrame([(1, "a", 2, 3), (1, "b", 4, 5)], "minutes int, bs string, ue int, bearer int")
-    row = tables.wide_trace(trace, ["a", "b"]).first()
-    assert (row.a_ue, row.b_bearer) == (2, 5)
-    many = tables.wide_trace(trace, [str(i) for i in range(101)])
-    assert len(many.columns) == 1 + 2 * 101
+    rows = [(1, "a", "A", 0.5, 1.0, 2, 3), (1, "b", "B", 0.7, 9.0, 4, 5), (2, "a", "A", 0.5, 1.0, 6, 7)]
+    schema = "minutes int, bs string, descr string, dist_km double, sd double, ue int, bearer int"
+    wide = tables.wide_trace(spark.createDataFrame(rows, schema), 3)
+    first, second = sorted(wide.collect())
+    assert (first.bs_1, first.descr_1, first.bearer_1, first.ue_2, first.dist_km_2) == ("b", "B", 5, 2, 0.5)
+    assert (second.bs_1, second.ue_2, second.bs_3) == (None, 6, None)
+    assert wide.columns == ["minutes"] + [f"{c}_{r}" for r in (1, 2, 3) for c in tables.WIDE_COLUMNS]
 
 
 def test_field_text(spark):

@@ -511,3 +511,15 @@ def test_set_operations(spark):
     assert values(active.ue_set_union(a, b)) == [1, 2, 3]
     assert values(active.ue_set_except(a, b)) == [1]
     assert values(active.ue_set_intersect(a, b)) == [2]
+
+
+def test_any_cell_in_group_keeps_rows_without_and_with_the_same_id(spark):
+    rows = [(None, "x", None, None, ["g", "z"])] * 6 + [(7, "x", None, None, ["z", "g"])] * 2
+    rows += [(None, "g", None, None, None), (8, "x", "g", None, []), (9, "x", None, "y", ["z"]), (None, None, None, None, None)]
+    recs = spark.createDataFrame(
+        rows, "rec_seq long, bs string, source_bs string, target_bs string, measured array<string>"
+    )
+    group = spark.createDataFrame([("g",), ("g",), ("q",)], "bs string")
+    got = groups.any_cell_in_group(recs, group)
+    assert got.columns == recs.columns
+    assert sorted(str(tuple(r)) for r in got.collect()) == sorted(str(r) for r in rows[:10])
