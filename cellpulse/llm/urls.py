@@ -6,12 +6,13 @@ nested or apart. Rules and URLs are cut at the same sampled splitters into bucke
 sorted by key, and swept once: a stack holds the rules whose interval is open. A rule
 goes into each bucket that its interval meets; only intervals on one stack cross a
 splitter, so the copies are at most splitters * stack depth. Nothing is broadcast, the
-rule table may be of any size, and a host with a third of all rows is cut by path and id.
+rule table may be of any size, and a host with a third of all rows is cut by path and row number.
 
 Defined results: a null URL, or one without `://`, has an empty host and path and
 meets no rule; of the rules that fit, the one with the most characters in host and
 path wins, then the longer host, then `block`; URLs that no rule fits get `DEFAULT`;
-repeated rows are judged one by one; an empty table gives no rows.
+repeated rows are judged one by one; ids of any type come back as they are, null ones too; other
+columns are not carried over; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,36 +55,46 @@ def _splitters(urls: DataFrame, buckets: int) -> list[tuple]:
     n = urls.count()
     fraction = min(1.0, buckets * SAMPLE_PER_BUCKET / max(n, 1))
     drawn = urls.where(
-        F.xxhash64("page_id", F.lit("draw")).bitwiseAND(F.lit((1 << 32) - 1)) < int(fraction * 2**32)
+        F.xxhash64("row", F.lit("draw")).bitwiseAND(F.lit((1 << 32) - 1)) < int(fraction * 2**32)
     )
     places = sorted((r["key"], r["path"], r["salt"]) for r in drawn.select("key", "path", "salt").collect())
     return sorted({places[len(places) * k // buckets] for k in range(1, buckets)}) if places else []
 
 
-def _sweep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Judge the URLs of sorted buckets; rules come before the URLs of the same key."""
-    bucket, stack = None, []
-    for frame in frames:
-        out = []
-        for row in frame.itertuples(index=False):
-            if row.bucket != bucket:
-                bucket, stack = row.bucket, []
-            while stack and not row.key.startswith(stack[-1][0]):
-                stack.pop()
-            if row.is_url:
-                best = None
-                for _, host, path, verdict in stack:
-                    if row.path.startswith(path):
-                        rank = (len(host) + len(path), len(host), verdict == "block")
-                        if best is None or rank > best[0]:
-                            best = (rank, host + path, verdict)
-                out.append(best[1:] if best else (None, None))
-            else:
-                stack.append((row.key, row.host, row.path, row.verdict))
-                out.append((None, None))
-        rule, verdict = zip(*out, strict=True) if out else ((), ())
-        judged = frame[["page_id", "host", "path"]].assign(rule=rule, verdict=verdict)
-        yield judged[frame["is_url"]]
+class _Sweep:
+    """Judges the URLs of sorted buckets; rules come before the URLs of the same key."""
+
+    def __init__(self):
+        self.bucket, self.stack = None, []
+
+    def meet(self, bucket: int, key: str, is_url: bool, host: str, path: str, verdict: str | None):
+        """Rule and verdict for a URL; nothing for a rule."""
+        if bucket != self.bucket:
+            self.bucket, self.stack = bucket, []
+        stack = self.stack
+        while stack and not key.startswith(stack[-1][0]):
+            stack.pop()
+        if not is_url:
+            stack.append((key, host, path, verdict))
+            return None
+        fits = [(len(h) + len(p), len(h), v == "block", h + p, v) for _, h, p, v in stack if path.startswith(p)]
+        return max(fits, key=lambda f: f[:3])[3:] if fits else (None, None)
+
+
+def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sweep = _Sweep()
+    for batch in batches:
+        columns = (batch.column(batch.schema.get_field_index(c)) for c in ("bucket", "key", "is_url", "host", "path", "verdict"))
+        judged = [sweep.meet(*row) for row in zip(*(c.to_pylist() for c in columns), strict=True)]
+        kept = batch.filter(pa.array([j is not None for j in judged], pa.bool_()))
+        rules, verdicts = ([j[i] for j in judged if j is not None] for i in (0, 1))
+        yield pa.RecordBatch.from_arrays(
+            [
+                *(kept.column(kept.schema.get_field_index(c)) for c in ("page_id", "host", "path")),
+                pa.array(rules, pa.string()), pa.array(verdicts, pa.string()),
+            ],
+            ["page_id", "host", "path", "rule", "verdict"],
+        )
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFrame:
@@ -93,11 +105,15 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> Da
     spark = pages.sparkSession
     workers_import(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind = pages.schema["page_id"].dataType
+    # Landed with row numbers, by which rows of one host, path and id are still cut apart.
     urls = landed(
-        pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-        .withColumns({"key": host_key(F.col("host")), "salt": F.xxhash64("page_id", F.lit("salt"))}),
+        pages.select(
+            "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"),
+            F.monotonically_increasing_id().alias("row"),
+        ).withColumn("key", host_key(F.col("host"))),
         "url-keys",
-    )
+    ).withColumn("salt", F.xxhash64("row", F.lit("salt")))
     edges = _splitters(urls, buckets)
 
     @F.pandas_udf("int")
@@ -118,18 +134,20 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> Da
         )
 
     rows = urls.select(
-        bucket_of("key", "path", F.coalesce("salt", F.lit(0))).alias("bucket"), "key", F.lit(True).alias("is_url"),
+        bucket_of("key", "path", "salt").alias("bucket"), "key", F.lit(True).alias("is_url"),
         "page_id", "host", "path", F.lit(None).cast("string").alias("verdict"),
     )
     keyed = rules.where("host <> ''").select(host_key(F.col("host")).alias("key"), "host", "path", "verdict")
     opened = keyed.select(
         F.explode(buckets_of("key")).alias("bucket"), "key", F.lit(False).alias("is_url"),
-        F.lit(None).cast(dict(rows.dtypes)["page_id"]).alias("page_id"), "host", "path", "verdict",
+        F.lit(None).cast(kind).alias("page_id"), "host", "path", "verdict",
     )
     swept = (
         rows.unionByName(opened)
         .repartition(buckets, "bucket")
         .sortWithinPartitions("bucket", "key", "is_url")
-        .mapInPandas(_sweep, "page_id long, host string, path string, rule string, verdict string")
+        .mapInArrow(
+            _swept, f"page_id {kind.simpleString()}, host string, path string, rule string, verdict string"
+        )
     )
     return swept.withColumn("verdict", F.coalesce("verdict", F.lit(default)))

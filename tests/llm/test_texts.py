@@ -202,3 +202,16 @@ def test_urls_meet_the_longest_rule(spark):
         assert got == {i: plain_judge(u) for i, u, _ in pages}
     assert urls.judge_urls(df.where("page_id < 0"), listed).collect() == []
     assert urls.judge_urls(df, listed.limit(0)).where(F.col("rule").isNotNull()).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["long", "int", "string", "decimal(30,0)"])
+def test_page_ids_come_back_as_they_are(spark, kind):
+    ids = [2**53 + 1 + 2 * i if kind in ("long", "string", "decimal(30,0)") else i for i in range(40)] + [None] * 60
+    pages = spark.createDataFrame(
+        [(None if i is None else str(i), f"http://a{n % 3}.org/fr/{n}") for n, i in enumerate(ids)], "page_id string, url string"
+    ).withColumn("page_id", F.col("page_id").cast(kind))
+    listed = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    judged = urls.judge_urls(pages, listed)
+    assert judged.schema["page_id"].dataType == pages.schema["page_id"].dataType
+    got = Counter(None if r.page_id is None else int(r.page_id) for r in judged.collect())
+    assert got == Counter(ids)
