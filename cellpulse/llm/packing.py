@@ -18,6 +18,8 @@ of their own; an empty table gives no rows; other columns are not carried over.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,91 +33,91 @@ from cellpulse.llm.common import hash_bin, landed, map_arrow, order_bins, runnin
 
 WINDOW = 1024
 END_ID = 0
-SLICE_BYTES = 500_000
-# Words encoded as one text.
-CHUNK = 256
-# Words whose ids a worker keeps at hand; it starts anew beyond that.
-CACHED_WORDS = 150_000
+SLICE_BYTES = 1_000_000
+# Words of a generation of those whose ids a worker keeps at hand; longer words are not kept.
+CACHED_WORDS, CACHED_CHARS = 300_000, 100
 # Columns of the least squares problem: combinations over the most frequent lengths.
 TRIPLES = 600
 SWEEPS, TOLERANCE = 200, 1e-4
 
 
+# A byte-level tokenizer shows bytes as characters: printable ones of Latin-1 as themselves, the
+# others, in order, by the characters from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SPACE = "Ġ"
+_SHOWN = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+# Letters, digits and white space of the Latin blocks, on which all versions of Unicode agree.
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-\u024f", "0-9²³¹¼-¾", "\t\n\v\f\r \x85\xa0"
+# How a byte-level tokenizer cuts a text into words, in these blocks.
+_WORDS = re.compile(
+    rf"'(?:[sdmt]|ll|ve|re)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+)
+# Other characters than these blocks' and general punctuation.
+_BEYOND = re.compile(r"[^\t\n\v\f\r -~\x85\xa0-\u024f\u2010-\u2027\u2030-\u205e]")
+
+
+class KnownWords(dict):
+    """Ids of words as little-endian 32-bit numbers; a word that is not there is encoded when asked for."""
+
+    def __init__(self, encode, older: dict[str, bytes]):
+        self.encode, self.older = encode, older
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.encode(word)
+        if len(word) <= CACHED_CHARS:
+            self[word] = ids
+        return ids
+
+
 class WordEncoder:
-    """A tokenizer, and the ids of the words it has met, by a 64-bit hash of their bytes."""
+    """A tokenizer, and the ids of the words it has met.
+
+    Two generations of words are kept: when the younger is full it becomes the older, and words
+    met again move to the new younger one, so frequent words stay and rare ones go.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        (self.line_break,) = self.whole(["\n"])[0]
-        # A fixed seed, so that every worker hashes alike.
-        rng = np.random.default_rng(20240101)
-        self.values = rng.integers(0, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-        self.base = np.uint64(0x9E3779B97F4A7C15)
-        self.inverse = np.uint64(pow(int(self.base), -1, 1 << 64))
-        self.powers = self.inverses = np.empty(0, np.uint64)
-        self.forget()
-
-    def forget(self) -> None:
-        self.numbers: dict[int, int] = {}
-        self.ids = [np.empty(0, np.uint32)]
-        self.sizes = [np.empty(0, np.int64)]
+        split = self.tokenizer.pre_tokenizer
+        # Only this way of splitting is known to keep words apart.
+        plain = isinstance(split, ByteLevel) and split.use_regex and not split.add_prefix_space
+        self.by_words = plain and self.tokenizer.normalizer is None
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = self.tokenizer.model
+        self.known = KnownWords(self.word, {})
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def apart(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of each word, one after the other, and how many each has.
-
-        Words are encoded many to a text, each behind a line break; a word that begins with
-        a line break of its own shows two.
-        """
-        texts = ["\n" + "\n".join(words[i : i + CHUNK]) for i in range(0, len(words), CHUNK)]
-        ids = np.array([x for found in self.whole(texts) for x in found], np.uint32)
-        breaks = np.flatnonzero(ids == self.line_break)
-        own = np.array([w[0] == "\n" for w in words], np.int64)
-        at = breaks[np.arange(len(words)) + np.cumsum(own) - own]
-        sizes = np.diff(np.append(at, len(ids))) - 1
-        return np.delete(ids, at), sizes
-
-    def hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hash of each run of bytes: a polynomial of random byte values, from prefix sums."""
-        if len(self.powers) < len(data):
-            n = 5 * len(data) // 4
-            self.powers = np.multiply.accumulate(np.full(n, self.base))
-            self.inverses = np.multiply.accumulate(np.full(n, self.inverse))
-        sums = np.cumsum(self.values[data] * self.powers[: len(data)])
-        before = np.where(starts > 0, sums[starts - 1], np.uint64(0))
-        return (sums[ends - 1] - before) * self.inverses[starts]
-
-    def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all the words one after the other, and how many each word has."""
-        if len(self.numbers) > CACHED_WORDS:
-            self.forget()
-        unique, first, codes = np.unique(
-            self.hashes(data, starts, ends), return_index=True, return_inverse=True
-        )
-        keys = unique.tolist()
-        found = [self.numbers.get(k, -1) for k in keys]
-        new = [i for i, n in enumerate(found) if n < 0]
-        if new:
-            spans = zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)
-            text = data.tobytes()
-            ids, sizes = self.apart([text[i:j].decode() for i, j in spans])
-            for n, i in enumerate(new, len(self.numbers)):
-                self.numbers[keys[i]] = found[i] = n
-            self.sizes.append(sizes)
-            self.ids.append(ids)
-        if len(self.sizes) > 1:
-            self.sizes, self.ids = [np.concatenate(self.sizes)], [np.concatenate(self.ids)]
-        sizes, table = self.sizes[0], self.ids[0]
-        at = np.array(found, np.int64)[codes]
-        # Each word's ids are copied from the table to the word's places.
-        begins, lengths = (np.cumsum(sizes) - sizes)[at], sizes[at]
-        ends_ = np.cumsum(lengths)
-        total = int(ends_[-1]) if len(ends_) else 0
-        return table[np.repeat(begins - (ends_ - lengths), lengths) + np.arange(total)], lengths
+    def word(self, word: str) -> bytes:
+        """Ids of one word as the tokenizer cuts them, from its model."""
+        if word.isascii() and word.isprintable():
+            shown = _SPACE + word[1:] if word[0] == " " else word
+        else:
+            shown = word.encode().decode("latin-1").translate(_SHOWN)
+        ids = [token.id for token in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def is_plain(self, text: str) -> bool:
+        """Whether a text is cut into words here: Latin letters, no added token."""
+        if not self.by_words or any(token in text for token in self.added):
+            return False
+        return (text.isascii() and text.isprintable()) or not _BEYOND.search(text)
+
+    def cut(self, text: str) -> bytes:
+        """Ids of a plain text."""
+        return b"".join(map(self.known.__getitem__, _WORDS.findall(text)))
+
+    def forget_rare(self) -> None:
+        """Begin a new generation when the present one is full."""
+        if len(self.known) > CACHED_WORDS:
+            self.known.older = {}
+            self.known = KnownWords(self.word, self.known)
 
 
 @lru_cache(maxsize=1)
@@ -128,60 +130,16 @@ def encoder(path: str | None) -> WordEncoder:
     return WordEncoder(path)
 
 
-def _other_space(data: np.ndarray) -> np.ndarray:
-    """Places of control characters but line breaks, and of white space beyond ASCII (UTF-8)."""
-    found = [np.flatnonzero((data < 32) & (data != 10))]
-    lead = np.flatnonzero((data == 0xC2) | (data == 0xE1) | (data == 0xE2) | (data == 0xE3))
-    if len(lead):
-        padded = np.append(data, np.zeros(2, np.uint8)).astype(np.int64)
-        code = (padded[lead] << 16) | (padded[lead + 1] << 8) | padded[lead + 2]
-        two = code >> 8
-        spaces = np.isin(two, (0xC285, 0xC2A0)) | np.isin(
-            code, (0xE19A80, 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080)
-        )
-        found.append(lead[spaces | ((code >= 0xE28080) & (code <= 0xE2808A))])
-    return np.concatenate(found)
-
-
-def encoded(column: pa.Array, by: WordEncoder) -> list[np.ndarray]:
-    """Ids of each text.
-
-    A byte-level tokenizer joins one space to the word after it, and a line break between
-    words stands alone. So texts in which every run of white space is one space or one
-    line break are cut before each of them, and equal words are encoded once; other texts,
-    and those that may hold a special token, are encoded whole.
+def encoded(texts: list[str], by: WordEncoder) -> list[bytes]:
+    """Ids of each text as little-endian 32-bit numbers.
+
+    Texts in Latin letters are cut into words by the tokenizer's own rule, and equal words are
+    encoded once; other texts, and those that hold an added token, are encoded whole.
     """
-    texts = column.fill_null("").cast(pa.large_string())
-    _, offsets, data = texts.buffers()
-    bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(data or b"", np.uint8)[bounds[0] : bounds[-1]]
-    bounds = bounds - bounds[0]
-    gap = np.append((data == 32) | (data == 10), True)
-    begins, ends = bounds[:-1], bounds[1:]
-    some = ends > begins
-    # What makes a text odd: two gaps together, a gap at either end, other white space, `<|`.
-    places = [
-        np.flatnonzero(gap[:-1] & np.append(gap[1:-1], False)),
-        begins[some][gap[begins[some]]],
-        (ends - 1)[some][gap[(ends - 1)[some]]],
-        _other_space(data),
-        np.flatnonzero((data[:-1] == 60) & (data[1:] == 124)),
-    ]
-    odd = np.zeros(len(texts), bool)
-    odd[np.searchsorted(ends, np.concatenate(places), side="right")] = True
-    opening = gap[:-1].copy()
-    opening[begins[some]] = True
-    starts = np.flatnonzero(opening)
-    owner = np.searchsorted(ends, starts, side="right")
-    stops = np.append(starts[1:], len(data))
-    plain = ~odd[owner]
-    flat, lengths = by.words(data, starts[plain], stops[plain])
-    per_text = np.bincount(owner[plain], lengths, minlength=len(texts)).astype(np.int64)
-    at = np.append(0, np.cumsum(per_text))
-    out = [flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
-    numbers = np.flatnonzero(odd).tolist()
-    for i, ids in zip(numbers, by.whole([texts[i].as_py() for i in numbers]), strict=True):
-        out[i] = np.array(ids, np.uint32)
+    plain = [by.is_plain(t) for t in texts]
+    whole = iter(by.whole([t for t, p in zip(texts, plain, strict=True) if not p]))
+    out = [by.cut(t) if p else np.array(next(whole), "<u4").tobytes() for t, p in zip(texts, plain, strict=True)]
+    by.forget_rare()
     return out
 
 
@@ -198,8 +156,8 @@ def tokenized(docs: DataFrame, tokenizer_path: str | None, window: int) -> DataF
         end, width = np.array([END_ID], "<u4").tobytes(), 4 * window
         for batch in slices(batches, "text", SLICE_BYTES):
             sizes, crcs, rests, rest_crcs = [], [], [], []
-            for found in encoded(batch.column("text"), by):
-                ids = found.astype("<u4").tobytes() + end
+            for found in encoded(batch.column("text").fill_null("").to_pylist(), by):
+                ids = found + end
                 whole = len(ids) // width * width
                 sizes.append(len(ids) // 4)
                 crcs.append([zlib.crc32(ids[i : i + width]) for i in range(0, whole, width)])
@@ -320,12 +278,14 @@ def packed(docs: DataFrame, tokenizer_path: str | None = None, window: int = WIN
     spark = docs.sparkSession
     rows = landed(
         tokenized(docs, tokenizer_path, window).withColumns(
-            {"row_id": F.monotonically_increasing_id(), "_hash": F.xxhash64("doc_id")}
+            {"row_id": F.monotonically_increasing_id()}
         ),
         "packing-tokens",
     )
     bits = order_bins(spark)
-    slim = rows.drop("rest_ids").withColumn("_bin", hash_bin(F.col("_hash"), bits))
+    # The row number keeps rows of one id, or of none, apart.
+    slim = rows.drop("rest_ids").withColumn("_hash", F.xxhash64("doc_id", "row_id"))
+    slim = slim.withColumn("_bin", hash_bin(F.col("_hash"), bits))
     order = ["_hash", "row_id"]
 
     rests = slim.where("rest > 0").select("row_id", "rest", "_hash", "_bin")

@@ -4,7 +4,7 @@ import zlib
 
 import cases
 import numpy as np
-import pyarrow as pa
+import public_tokenizers
 import pytest
 
 from cellpulse.llm import mixing, packing, sharding
@@ -146,11 +146,35 @@ ODD = [
 
 def test_words_encoded_apart_give_the_ids_of_the_whole_text():
     by = packing.encoder(None)
-    ids = packing.encoded(pa.array([*ODD, None]), by)
-    assert [x.tolist() for x in ids] == encode([*ODD, ""])
-    assert [x.tolist() for x in packing.encoded(pa.array([None, *ODD])[3:], by)] == encode(ODD[2:])
-    assert packing.encoded(pa.array([], pa.string()), by) == []
-    assert [x.tolist() for x in packing.encoded(pa.array([None, ""], pa.string()), by)] == [[], []]
+
+    def ids(texts):
+        return [np.frombuffer(x, "<u4").tolist() for x in packing.encoded(texts, by)]
+
+    odd = [*ODD, "end. (of) it's, §5 x--y,z... Ünï-çø, ʼn ɐb ħł!\n#1 $$$ a,b\nI'll, 'quoted' 3.14. dž", "’tis ªº µm"]
+    assert ids(odd) == encode(odd)
+    # The second time from memory, and from the older generation.
+    by.known = packing.KnownWords(by.word, by.known)
+    assert ids(odd) == encode(odd)
+    assert ids([]) == []
+
+
+def test_words_of_equal_sums_are_told_apart():
+    """Long words of two letters whose polynomial sums agree in 64 bits, whatever the base."""
+    word, mirror = "ab", "ba"
+    for _ in range(10):
+        word, mirror = word + mirror, mirror + word
+    by = packing.encoder(None)
+    texts = [f"x {word} y", f"x {mirror} y"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.encoded(texts, by)] == encode(texts)
+
+
+def test_frequent_words_outlive_a_generation(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED_WORDS", 3)
+    by = packing.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in ("the cat sat on", "the dog", "the end of it all", "the"):
+        packing.encoded([text], by)
+    assert len(by.known) <= 6 and "the" in {*by.known, *by.known.older}
+    assert "cat" not in {*by.known, *by.known.older}
 
 
 @pytest.mark.parametrize("extra", [False, True])
