@@ -36,6 +36,8 @@ PRUNE_FROM_MS = 5 * DAY_MS + 3_600_000
 PRUNE_TO_MS = 9 * DAY_MS + 7_200_000
 TOP_STATIONS = 15
 WINDOW_FROM, WINDOW_TO = 20, 60
+# The feed of the streams: slices of three days, and a delay of as much.
+FEED_SLICES, FEED_DELAY_MS = 10, 3 * DAY_MS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -540,15 +542,22 @@ def feature_export(spark, sf_dir):
     return vectors.select("bs", F.array_join(texts, " ").alias("features"))
 
 
-# Streams, run to the end of the table. Files may come in any order, so the delay is the grid.
+# Streams over a feed in order of time, run to its end. A slice's files may come in any order,
+# so the delay is one slice.
+
+
+def _feed(spark, sf_dir, label):
+    path = scratch_path(spark, f"{label}-feed")
+    events.write_feed(spark, sf_dir, path, FEED_SLICES)
+    return events.feed_stream(spark, sf_dir, path)
 
 
 def _stream_result(spark, sf_dir, operator, label):
     return counts.run_to_end(
-        events.event_stream(spark, sf_dir),
+        _feed(spark, sf_dir, label),
         operator,
         GRID,
-        GRID.n * GRID.width_ms,
+        FEED_DELAY_MS,
         *(scratch_path(spark, f"{label}-{part}") for part in ("table", "state", "end")),
     )
 
@@ -575,8 +584,17 @@ def stream_last_record(spark, sf_dir):
 
 @query
 def stream_active_state(spark, sf_dir):
-    """The devices of the last records that are still active, and those that are not."""
-    return stream_last_record(spark, sf_dir)
+    """Per closed bucket, the devices that became active and those whose activity ended."""
+    return _stream_result(spark, sf_dir, active_state.stream_activity, "stream-active")
+
+
+@query
+def stream_active_load(spark, sf_dir):
+    """Active devices per bucket, handed out while the records arrive."""
+    paths = [scratch_path(spark, f"stream-load-{part}") for part in ("table", "state", "end")]
+    return active_state.run_active_load_to_end(
+        _feed(spark, sf_dir, "stream-load"), GRID, FEED_DELAY_MS, *paths
+    )
 
 
 @query

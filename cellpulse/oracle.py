@@ -498,7 +498,14 @@ FROM pcmd GROUP BY bs, t""",
     "stream_ue_load": f"{VIEW}{LOAD} SELECT bs, t, ue FROM load",
     "stream_bearer_load": f"{VIEW}{LOAD} SELECT bs, t, ue, bearer FROM load",
     "stream_last_record": LAST,
-    "stream_active_state": LAST,
+    "stream_active_state": f"""{VIEW}{_active("bs")}
+SELECT r.bs, r.imsi, r.t, CAST(p.t1 IS NULL OR p.ended AS INTEGER) AS came,
+       CAST(r.proc_id IN (3, 11) AS INTEGER) AS gone
+FROM lastrec r LEFT JOIN (
+  SELECT bs, imsi, t AS t1, proc_id IN (3, 11) AS ended,
+         lead(t) OVER (PARTITION BY bs, imsi ORDER BY t) AS t2 FROM lastrec) p
+ON p.bs = r.bs AND p.imsi = r.imsi AND p.t2 = r.t""",
+    "stream_active_load": f"{VIEW}{_active('bs')} SELECT bs, t, n FROM levels",
     "stream_record_files": f"""{VIEW}
 SELECT rec_seq, CAST(imsi AS VARCHAR) AS imsi, start_ms, proc_id, cfc, {_station("bs")} AS bs,
   {_station("source_bs")} AS source_bs, {_station("target_bs")} AS target_bs FROM rec""",

@@ -101,6 +101,35 @@ def event_stream(spark: SparkSession, sf_dir: str, grid: Grid | None = None) ->
     return records_of(reader.parquet(f"{sf_dir}/[e]vents.parquet"), grid)
 
 
+def write_feed(spark: SparkSession, sf_dir: str, path: str, slices: int) -> None:
+    """The events in order of time as files that appear one slice after the other.
+
+    The table is written once, cut into slices of equal time; then each slice is
+    appended to the feed, so that a stream meets the files in that order.
+    """
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    span = GRID.end_ms // slices
+    at = F.expr(f"timestampdiff(MILLISECOND, TIMESTAMP_NTZ'{EPOCH}', ts)")
+    number = F.least(F.greatest(F.floor(at / span), F.lit(0)), F.lit(slices - 1)).cast("int")
+    cut = f"{path}-slices"
+    events.withColumn("slice", number).write.partitionBy("slice").parquet(cut)
+    read = spark.read.schema(f"{_fields(events)}, slice int").parquet(cut)
+    for i in range(slices):
+        read.where(F.col("slice") == i).drop("slice").write.mode("append").parquet(path)
+
+
+def _fields(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def feed_stream(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    """Records of a feed written by `write_feed`, as a stream of one file after the other."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return records_of(
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(path)
+    )
+
+
 def records_of(events: DataFrame, grid: Grid | None = None, mobility: bool = False) -> DataFrame:
     """Record view of an events frame, batch or streaming (`mobility` is batch only)."""
     if grid is not None:

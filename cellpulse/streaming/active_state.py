@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cellpulse.functions.measures import is_release
 from cellpulse.functions.timegrid import Grid
 from cellpulse.operators.active import greatest_record, record_found
-from cellpulse.streaming.counts import watermarked
+from cellpulse.schema import RELEASE_PROCEDURES
+from cellpulse.streaming.counts import end_ms, labelled, watermarked, with_end_rows, write_end_row
 
 
 def stream_last_record(records: DataFrame, grid: Grid, delay: str = "10 minutes") -> DataFrame:
@@ -29,3 +34,141 @@ def stream_last_record(records: DataFrame, grid: Grid, delay: str = "10 minutes"
     return newest.select("bs", "imsi", *record_found()).withColumn(
         "active", ~F.coalesce(is_release(F.col("proc_id")), F.lit(False))
     )
+
+
+_CHANGES = "bs {bs}, imsi {imsi}, t int, came int, gone int"
+_HELD = "buckets array<int>, starts array<bigint>, procs array<bigint>, active boolean"
+
+
+def _carry(grid: Grid):
+    """The state function of a (station, device): open buckets with their last record, and whether it is active.
+
+    Built inside a function with plain values only, so that workers get it as a whole.
+    """
+    start_ms, width_ms, n = grid.start_ms, grid.width_ms, grid.n
+    releases = frozenset(RELEASE_PROCEDURES)
+    # Sorts before every procedure id; stands for a missing one.
+    none = -(1 << 40)
+
+    def end_of(t: int) -> int:
+        return start_ms + t * width_ms
+
+    def carry(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held: dict[int, tuple[int, int]] = {}
+        active = False
+        if state.exists:
+            buckets, starts, procs, active = state.get
+            held = dict(zip(buckets, zip(starts, procs)))
+        for frame in frames:
+            rows = zip(frame["t"].tolist(), frame["start_ms"].tolist(), frame["proc_id"].tolist())
+            for t, start, proc in rows:
+                last = (start, none if proc is None or proc != proc else int(proc))
+                if t not in held or held[t] < last:
+                    held[t] = last
+        watermark = state.getCurrentWatermarkMs()
+        out = []
+        for t in sorted(held):
+            # A bucket is closed once the watermark has reached its end.
+            if end_of(t) > watermark:
+                break
+            release = held.pop(t)[1] in releases
+            out.append((*key, t, int(not active), int(release)))
+            active = not release
+        if held:
+            timer = end_of(min(held))
+        elif active and end_of(n) > watermark:
+            timer = end_of(n)
+        else:
+            timer = None
+        if timer is None:
+            if state.exists:
+                state.remove()
+        else:
+            buckets = sorted(held)
+            state.update((buckets, [held[t][0] for t in buckets], [held[t][1] for t in buckets], active))
+            # A timer runs out when the watermark is past it.
+            state.setTimeoutTimestamp(timer - 1)
+        yield pd.DataFrame(out, columns=["bs", "imsi", "t", "came", "gone"])
+
+    return carry
+
+
+def stream_activity(records: DataFrame, grid: Grid, delay: str = "10 minutes") -> DataFrame:
+    """Devices that became active and that ended, per bucket with a record: `bs, imsi, t, came, gone`.
+
+    State per station and device: the last record of each bucket that is still open, at most as
+    many as fit into the delay, and whether the device was active after the last closed one. A
+    timer at the end of its first open bucket closes buckets whether or not it sends
+    again; the state ends with a release, or at the end of the grid.
+    """
+    rows = labelled(records, grid, delay).select("bs", "imsi", "t", "start_ms", "proc_id", "hi")
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("bs", "imsi")}
+    return rows.groupBy("bs", "imsi").applyInPandasWithState(
+        _carry(grid), _CHANGES.format(**kinds), _HELD, "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def _loads_so_far(changes: DataFrame, levels: DataFrame) -> DataFrame:
+    """Rows `bs, t, came, n, after, before_t` of the buckets closed now, from the stations' levels before.
+
+    `levels` has `bs, t, after`: the last bucket handed out and who was still active behind it.
+    """
+    counted = changes.groupBy("bs", "t").agg(F.sum("came").alias("came"), F.sum("gone").alias("gone"))
+    known = levels.select("bs", "t", F.col("after").alias("came"), F.lit(0).cast("bigint").alias("gone"), F.lit(True).alias("old"))
+    # One row per station and closed bucket, and one per station.
+    along = Window.partitionBy("bs").orderBy("t")
+    upto = along.rowsBetween(Window.unboundedPreceding, 0)
+    rows = counted.withColumn("old", F.lit(False)).unionByName(known)
+    return rows.select(
+        "bs", "t", "old", "came",
+        F.coalesce(F.lag("t").over(along), F.lit(0)).alias("before_t"),
+        (F.sum("came").over(upto) - F.sum("gone").over(upto)).alias("after"),
+        (F.sum("came").over(upto) - F.sum("gone").over(upto) + F.col("gone")).alias("n"),
+    ).where(~F.col("old"))
+
+
+def run_active_load(records: DataFrame, grid: Grid, delay: str, path: str, checkpoint: str, watch=None) -> DataFrame:
+    """Active devices per station and bucket while the records arrive: `bs, t, n`, written below `path`.
+
+    A micro-batch hands out the buckets it closes, those between without a record too, and keeps one
+    row per station in a table for the next. Each batch has folders of its own, so
+    a batch that is run again after a failure replaces what it wrote. `watch` is called with
+    the query when it has ended.
+    """
+    spark = records.sparkSession
+    kind = records.schema["bs"].dataType.simpleString()
+    level_schema = f"bs {kind}, t int, after bigint"
+    spark.createDataFrame([], level_schema).write.mode("ignore").parquet(f"{path}/levels/batch=-1")
+
+    def write(changes: DataFrame, batch: int) -> None:
+        levels = spark.read.schema(level_schema).parquet(f"{path}/levels/batch={batch - 1}")
+        changes.persist()
+        found = _loads_so_far(changes, levels)
+        # Counts hold until the next bucket with a record.
+        gaps = F.when(F.col("t") - F.col("before_t") > 1, F.sequence(F.col("before_t") + 1, F.col("t") - 1))
+        filled = found.select("bs", F.explode(gaps).alias("t"), (F.col("n") - F.col("came")).alias("n"))
+        loads = found.select("bs", "t", "n").unionByName(filled)
+        loads.write.mode("overwrite").parquet(f"{path}/loads/batch={batch}")
+        newest = found.select("bs", "t", "after").unionByName(levels)
+        last = newest.groupBy("bs").agg(F.max_by(F.struct("t", "after"), "t").alias("last"))
+        last.select("bs", "last.t", "last.after").write.mode("overwrite").parquet(f"{path}/levels/batch={batch}")
+        changes.unpersist()
+
+    query = (
+        stream_activity(records, grid, delay).writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    if watch:
+        watch(query)
+    return spark.read.schema(f"bs {kind}, t int, n bigint").parquet(f"{path}/loads/batch=*")
+
+
+def run_active_load_to_end(
+    records: DataFrame, grid: Grid, delay_ms: int, path: str, checkpoint: str, end_path: str, watch=None
+) -> DataFrame:
+    """`run_active_load` over a finished stream: a second run reads one row past the grid and closes all buckets."""
+    stream, delay = with_end_rows(records, end_path), f"{delay_ms} milliseconds"
+    run_active_load(stream, grid, delay, path, checkpoint, watch)
+    write_end_row(records.sparkSession, records.schema, end_path, end_ms(grid, delay_ms))
+    return run_active_load(stream, grid, delay, path, checkpoint, watch)

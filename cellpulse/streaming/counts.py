@@ -101,22 +101,59 @@ def stream_bearer_load(records: DataFrame, grid: Grid, delay: str = "10 minutes"
     )
 
 
+def labelled(records: DataFrame, grid: Grid, delay: str) -> DataFrame:
+    """Records of the grid with their bucket `t`, and its end as event time `hi`.
+
+    All records of a bucket share one event time, so state that is kept by event time
+    lasts as long as the bucket is open: until a record has come that is more than `delay`
+    (in whole buckets) past its end. Records of closed buckets are late, as are all of
+    one bucket or none. Rows past the grid move the watermark and are left out above it.
+    """
+    start = F.lit(grid.start_ms)
+    width = F.lit(grid.width_ms)
+    # Past the grid a row must not share the label of the last bucket.
+    beyond = start + (F.call_function("div", F.col("start_ms") - start, width) + 1) * width
+    inside = grid.inside(F.col("start_ms"))
+    bucket = grid.bucket(F.col("start_ms"))
+    timed = records.where(F.col("bs").isNotNull() & F.col("start_ms").isNotNull()).withColumns(
+        {"t": bucket, "hi": F.timestamp_millis(F.when(inside, grid.upper_ms(bucket)).otherwise(beyond))}
+    )
+    return timed.withWatermark("hi", f"{delay} {grid.width_ms} milliseconds").where(
+        F.unix_millis("hi") <= F.lit(grid.end_ms)
+    )
+
+
 def stream_ue_load(records: DataFrame, grid: Grid, delay: str = "10 minutes") -> DataFrame:
     """Distinct devices per station and bucket: `bs, t, ue`.
 
-    A device is remembered until its bucket closes.
+    A device is remembered until its bucket closes: its state lives for the delay.
     """
-    devices = _bucketed(records, grid, delay).select("span", "bs", "imsi")
+    devices = labelled(records, grid, delay).select("bs", "imsi", "t", "hi")
     return (
-        devices.dropDuplicates(["span", "bs", "imsi"])
-        .groupBy("span", "bs")
+        devices.dropDuplicatesWithinWatermark(["bs", "imsi", "hi"])
+        .groupBy("hi", "bs", "t")
         .agg(F.count(F.lit(1)).alias("ue"))
-        .select("bs", _bucket_of_span(grid), "ue")
+        .select("bs", "t", "ue")
     )
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Process everything available into a parquet table and read that table."""
+def late_rows(progress: list) -> int:
+    """Rows that state operators dropped as late, over a query's `recentProgress`."""
+    return sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"])
+
+
+def most_state_rows(progress: list) -> int:
+    """The most rows that all state operators of a query held after a batch."""
+    return max((sum(op["numRowsTotal"] for op in p["stateOperators"]) for p in progress), default=0)
+
+
+def run_to_table(
+    stream: DataFrame, path: str, checkpoint: str, mode: str = "append", watch=None
+) -> DataFrame:
+    """Process everything available into a parquet table and read that table.
+
+    `watch` is called with the query when it has ended, for its `recentProgress`.
+    """
     query = (
         stream.writeStream.outputMode(mode)
         .format("parquet")
@@ -126,10 +163,17 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
         .start()
     )
     query.awaitTermination()
+    if watch:
+        watch(query)
     spark = stream.sparkSession
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def end_ms(grid: Grid, delay_ms: int) -> int:
+    """A time whose row closes every bucket of a grid, whatever window holds it."""
+    return grid.end_ms + delay_ms + 2 * grid.n * grid.width_ms
+
+
 def run_to_end(
     records: DataFrame, operator, grid: Grid, delay_ms: int, path: str, checkpoint: str, end_path: str
 ) -> DataFrame:
@@ -140,6 +184,5 @@ def run_to_end(
     """
     stream = operator(with_end_rows(records, end_path), grid, f"{delay_ms} milliseconds")
     run_to_table(stream, path, checkpoint)
-    after = grid.end_ms + delay_ms + 2 * grid.n * grid.width_ms
-    write_end_row(records.sparkSession, records.schema, end_path, after)
+    write_end_row(records.sparkSession, records.schema, end_path, end_ms(grid, delay_ms))
     return run_to_table(stream, path, checkpoint)

@@ -7,7 +7,7 @@ import pytest
 from rows import skewed_rows
 
 from cellpulse.functions.timegrid import Grid
-from cellpulse.operators import load, quality
+from cellpulse.operators import active, load, quality
 from cellpulse.schema import FIELD_POSITION
 from cellpulse.sources import events, records
 from cellpulse.streaming import active_state, counts
@@ -71,9 +71,10 @@ def test_bearer_load(spark, folder, tmp_path):
     assert rows_of(got) == rows_of(closed(spark, folder, expected))
 
 
+@pytest.mark.parametrize("operator", [counts.stream_bearer_load, counts.stream_ue_load])
 @pytest.mark.parametrize("delay, kept", [("90 seconds", 3), ("0 seconds", 2)])
-def test_late_rows(spark, tmp_path, delay, kept):
-    """A row of bucket 1 after rows of bucket 2 counts only within the delay."""
+def test_late_rows(spark, tmp_path, delay, kept, operator):
+    """A row of bucket 1 after rows of bucket 2 counts only within the delay; late ones are counted."""
     folder = tmp_path / "late"
     folder.mkdir()
     for number, times in enumerate([[10_000, 60_000], [70_000], [71_000], [50_000], [500_000]]):
@@ -85,7 +86,10 @@ def test_late_rows(spark, tmp_path, delay, kept):
                 f.write(";".join(values) + "\n")
         os.utime(name, (number, number))
     stream = counts.stream_records(spark, str(folder), files_per_trigger=1)
-    got = run(spark, counts.stream_bearer_load(stream, GRID, delay), tmp_path)
+    seen = []
+    out = operator(stream, GRID, delay)
+    got = counts.run_to_table(out, str(tmp_path / "out"), str(tmp_path / "state"), watch=seen.append)
+    assert counts.late_rows(seen[0].recentProgress) == 3 - kept
     # 60,000 ms is the last instant of bucket 1.
     assert {r.t: r.ue for r in got.collect()}[1] == kept
 
@@ -118,6 +122,48 @@ def to_end(spark, folder, operator, tmp_path):
     return counts.run_to_end(stream_of(spark, folder), operator, GRID, 30 * 60_000, *paths)
 
 
+def test_active_load_comes_out_while_records_arrive(spark, folder, tmp_path):
+    """The load of closed buckets is there before the end; with the end it is the batch result."""
+    batch = records.read_records(spark, folder)
+    expected = {(r.bs, r.t): r.n for r in active.active_load(active.open_ranges(batch, GRID)).collect()}
+    paths = [str(tmp_path / part) for part in ("out", "state", "end")]
+    progress = []
+
+    def watch(query):
+        progress.append(list(query.recentProgress))
+        out = spark.read.schema("bs string, t int, n bigint").parquet(paths[0] + "/loads/batch=*")
+        early.append({(r.bs, r.t): r.n for r in out.collect()})
+
+    early = []
+    got = active_state.run_active_load_to_end(stream_of(spark, folder), GRID, 60_000, *paths, watch)
+    assert sorted((r.bs, r.t, r.n) for r in got.collect()) == sorted((*k, n) for k, n in expected.items())
+    assert len(early[0]) > len(expected) / 2 and early[0].items() <= expected.items()
+    # Rows in order of time are never late; nothing is held once the grid is over.
+    assert counts.late_rows(progress[0]) == 0
+    assert progress[1][-1]["stateOperators"][0]["numRowsTotal"] == 0
+
+
+def test_active_state_of_rows_in_any_order(spark, folder, tmp_path):
+    """A delay as long as the grid takes files in any order."""
+    batch = records.read_records(spark, folder)
+    paths = [str(tmp_path / part) for part in ("out", "state", "end")]
+    got = active_state.run_active_load_to_end(stream_of(spark, folder), GRID, 30 * 60_000, *paths)
+    assert rows_of(got) == rows_of(active.active_load(active.open_ranges(batch, GRID)))
+
+
+def test_state_of_distinct_devices_lives_as_long_as_the_delay(spark, folder, tmp_path):
+    seen = []
+    stream = counts.stream_ue_load(stream_of(spark, folder), GRID, "0 seconds")
+    got = counts.run_to_table(stream, str(tmp_path / "out"), str(tmp_path / "state"), watch=seen.append)
+    batch = load.ue_load(records.read_records(spark, folder), GRID)
+    progress = seen[0].recentProgress
+    devices = batch.agg({"ue": "sum"}).first()[0]
+    # Four batches of a quarter of the time each: no more than one of them, and the bucket before, is held.
+    assert counts.most_state_rows(progress) < devices * 0.6
+    assert got.count() > 0.9 * batch.count()
+    assert counts.late_rows(progress) == 0
+
+
 @pytest.mark.parametrize("name", ["ue", "bearer"])
 def test_every_bucket_comes_out_of_a_finished_stream(spark, folder, tmp_path, name):
     batch = records.read_records(spark, folder)
