@@ -36,6 +36,7 @@ PRUNE_FROM_MS = 5 * DAY_MS + 3_600_000
 PRUNE_TO_MS = 9 * DAY_MS + 7_200_000
 TOP_STATIONS = 15
 WINDOW_FROM, WINDOW_TO = 20, 60
+MAX_IDLE = 6
 # The feed of the streams: slices of three days, and a delay of as much.
 FEED_SLICES, FEED_DELAY_MS = 10, 3 * DAY_MS
 
@@ -413,6 +414,23 @@ def active_load(spark, sf_dir):
     return active.active_load(active.open_ranges(_calls(spark, sf_dir), GRID))
 
 
+@query
+def active_load_by_days(spark, sf_dir):
+    """Active load of two halves of the grid; the second reads what the first hands over and its own records."""
+    calls, half = _calls(spark, sf_dir), GRID.n // 2
+    first = landed(active.open_ranges(calls, GRID, until=half), "first-ranges")
+    handed_over = landed(active.still_open(first), "open-ranges")
+    second = active.open_ranges(calls, GRID, carried=handed_over, after=half)
+    return active.active_load(first.where("t1 IS NOT NULL").unionByName(second))
+
+
+@query
+def active_load_max_idle(spark, sf_dir):
+    """Active load when a device without a record counts for a few buckets only."""
+    ranges = landed(active.open_ranges(_calls(spark, sf_dir), GRID, max_idle=MAX_IDLE), "idle-ranges")
+    return active.active_load(active.closed_ranges(ranges, active.ends_of_ranges(ranges)))
+
+
 @query
 def cell_active_load(spark, sf_dir):
     ranges = active.open_ranges(_calls(spark, sf_dir), GRID, key="cur_cell")

@@ -78,17 +78,58 @@ def series_ends(records: DataFrame, grid: Grid, key: str = "bs") -> DataFrame:
     return rows.groupBy(key).agg(F.max("t").alias("last_t"))
 
 
-def open_ranges(records: DataFrame, grid: Grid, key: str = "bs") -> DataFrame:
+def open_ranges(
+    records: DataFrame,
+    grid: Grid,
+    key: str = "bs",
+    max_idle: int | None = None,
+    carried: DataFrame | None = None,
+    after: int = 0,
+    until: int | None = None,
+) -> DataFrame:
     """Bucket ranges in which a device is active: `<key>, imsi, t0, t1`.
 
     A range begins at a bucket with a record. It reaches to its own bucket when
     that ends in a release, else to the one before the next bucket with a record;
-    `t1` is null when there is none.
+    `t1` is null when there is none. With `max_idle` a device without a record counts for
+    that many buckets more at most; such a range may reach past the key's last bucket
+    until it is closed (`closed_ranges`).
+
+    A day can go on from the day before: `carried` are the ranges open then
+    (`still_open`), `after` its last bucket, up to which records are not read again.
+    Records of the day reach to bucket `until`, the grid's end unless given; what is
+    active there and may go on has no `t1`. The closed ranges of all days together are those of one pass.
     """
-    following = F.lead("t").over(Window.partitionBy(key, "imsi").orderBy("t"))
-    seen = last_record(records, grid, key).withColumn("_next", following)
-    until = F.when(is_release(F.col("proc_id")), F.col("t")).otherwise(F.col("_next") - 1)
-    return seen.select(key, "imsi", F.col("t").alias("t0"), until.alias("t1"))
+    until = grid.n if until is None else until
+    if after:
+        records = records.where(F.col("start_ms") > F.lit(grid.start_ms + after * grid.width_ms))
+    if until < grid.n:
+        records = records.where(F.col("start_ms") <= F.lit(grid.start_ms + until * grid.width_ms))
+    seen = last_record(records, grid, key).select(key, "imsi", "t", "proc_id")
+    if carried is not None:
+        # A range handed over stands like a bucket with a record that was no release.
+        seen = seen.unionByName(
+            carried.select(key, "imsi", F.col("t0").alias("t"), F.lit(None).cast("int").alias("proc_id"))
+        )
+    following = F.lead("t").over(Window.partitionBy(key, "imsi").orderBy("t")) - 1
+    last = following
+    if max_idle is not None:
+        idle = F.col("t") + max_idle
+        # Where the day ends first, the next one decides.
+        ended = F.when(idle <= until, idle)
+        last = F.when(following.isNotNull(), F.least(following, idle)).otherwise(ended)
+    ends = F.when(is_release(F.col("proc_id")), F.col("t")).otherwise(last)
+    return seen.select(key, "imsi", F.col("t").alias("t0"), ends.alias("t1"))
+
+
+def still_open(ranges: DataFrame, key: str = "bs") -> DataFrame:
+    """What a day hands over to the next: the ranges without an end, `<key>, imsi, t0`; land it."""
+    return ranges.where(F.col("t1").isNull()).select(key, "imsi", "t0")
+
+
+def later_ends(before: DataFrame, now: DataFrame, key: str = "bs") -> DataFrame:
+    """Last buckets of the keys' series (`<key>, last_t`) after another day."""
+    return before.unionByName(now).groupBy(key).agg(F.max("last_t").alias("last_t"))
 
 
 def active_intervals(
@@ -119,8 +160,8 @@ def ends_of_ranges(ranges: DataFrame, key: str = "bs") -> DataFrame:
 
 
 def closed_ranges(ranges: DataFrame, ends: DataFrame, key: str = "bs") -> DataFrame:
-    """Ranges with the open ones closed at the last bucket of the key's series."""
-    return ranges.join(ends, key).select(key, "imsi", "t0", F.coalesce("t1", "last_t").alias("t1"))
+    """Ranges closed at the last bucket of the key's series where they are open or reach past it."""
+    return ranges.join(ends, key).select(key, "imsi", "t0", F.least("t1", "last_t").alias("t1"))
 
 
 def active_ues(intervals: DataFrame, key: str = "bs") -> DataFrame:

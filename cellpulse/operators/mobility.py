@@ -9,6 +9,7 @@ from cellpulse.functions.measures import count_where, is_release
 from cellpulse.functions.timegrid import Grid
 from cellpulse.operators.groups import in_group
 from cellpulse.plans.blocks import running_sum_by_blocks
+from cellpulse.plans.bounded import landed
 from cellpulse.schema import CSFB_PROCEDURE, CSFB_SUCCESS, CSFB_TRIGGER
 
 # Width of a block of durations, in ms, for the distribution function.
@@ -97,7 +98,8 @@ def cdf(df: DataFrame, by: str, column: str, block: int = DURATION_BLOCK_MS) ->
     Rows are counted per value before any ordering; the running sum then goes
     over distinct values in blocks, so a key with most of the rows is not one task.
     """
-    counts = df.groupBy(by, column).agg(F.count(F.lit(1)).alias("_cnt"))
+    # Written once: the running sum reads the counts twice.
+    counts = landed(df.groupBy(by, column).agg(F.count(F.lit(1)).alias("_cnt")), "value-counts")
     summed = running_sum_by_blocks(counts, [by], column, "_cnt", "_upto", block)
     return summed.select(by, column, (F.col("_upto") / F.col("_upto_total")).alias("fraction"))
 

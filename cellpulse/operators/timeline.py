@@ -5,20 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellpulse.plans.blocks import position_by_blocks
+from cellpulse.plans.ranges import position_by_ranges
 
-TIMELINE_BLOCK_MS = 600_000
 PAGE_RECORDS = 1_000
 
 
-def ue_timeline(
-    records: DataFrame, keys: list[str], block_ms: int = TIMELINE_BLOCK_MS
-) -> DataFrame:
+def ue_timeline(records: DataFrame, keys: list[str]) -> DataFrame:
     """Number the records of a key by time: all columns plus `pos`, from 1.
 
-    Rows, not arrays, so that a key may hold any share of the records.
+    Rows, not arrays, so that a key may hold any share of the records, in any stretch of time.
+    The records are read once.
     """
-    return position_by_blocks(records, keys, ["start_ms", "rec_seq"], "pos", block_ms)
+    return position_by_ranges(records, keys, ["start_ms", "rec_seq"], "pos")
 
 
 def ue_timeline_pages(

@@ -446,6 +446,12 @@ SELECT rec_seq FROM rec WHERE bs % 5 = 0 OR source_bs % 5 = 0 OR target_bs % 5 =
 SELECT bs, imsi, t, start_ms, proc_id FROM lastrec""",
     "active_ues": f"{VIEW}{_active('bs')} SELECT bs, imsi, t FROM act",
     "active_load": f"{VIEW}{_active('bs')} SELECT bs, t, n FROM levels",
+    "active_load_by_days": f"{VIEW}{_active('bs')} SELECT bs, t, n FROM levels",
+    "active_load_max_idle": f"""{VIEW}{_active("bs")},
+short AS (SELECT bs, imsi, t0, least(t1, t0 + 6) AS t1 FROM ranges)
+SELECT s.bs, g.t, count(a.imsi) AS n
+FROM series s JOIN times g ON g.t <= s.last_t
+LEFT JOIN short a ON a.bs = s.bs AND g.t BETWEEN a.t0 AND a.t1 GROUP BY s.bs, g.t""",
     "cell_active_load": f"{VIEW}{_active('cur_cell')} SELECT cur_cell, t, n FROM levels",
     "mean_active_load": VIEW
     + _active("bs")

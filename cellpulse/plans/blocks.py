@@ -69,21 +69,6 @@ def lag_by_blocks(
     return _rows_only(rows.withColumn(out, F.lag(value).over(inside)))
 
 
-def position_by_blocks(
-    df: DataFrame, keys: list[str], order: list[str], out: str, width: int
-) -> DataFrame:
-    """`row_number()` per key in the given order; the first order column sets the block."""
-    blocked = df.withColumn("_block", block_of(F.col(order[0]), width))
-    carried = (
-        blocked.groupBy(*keys, "_block")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(*keys, "_block", F.coalesce(F.sum("_rows").over(_before(keys)), F.lit(0)).alias("_n"))
-    )
-    rows, inside = _in_blocks(blocked.withColumn("_n", F.lit(1)), carried, keys, order)
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    return _rows_only(rows.withColumn(out, F.sum("_n").over(upto)), "_n")
-
-
 def running_sum_by_blocks(
     df: DataFrame, keys: list[str], order: str, value: str, out: str, width: int
 ) -> DataFrame:

@@ -434,17 +434,39 @@ def test_blocked_windows_equal_plain_ones(recs, rows, width):
     for row in sorted(rows, key=lambda r: (r["start_ms"], r["rec_seq"])):
         by_device[row["imsi"]].append(row)
     lagged = {r["rec_seq"]: (p["bs"] if p else None) for rs in by_device.values() for p, r in zip([None, *rs], rs)}
-    order = {r["rec_seq"]: n for rs in by_device.values() for n, r in enumerate(rs, 1)}
-
     got = blocks.lag_by_blocks(recs, ["imsi"], ["start_ms", "rec_seq"], "bs", "before", width)
     assert {r.rec_seq: r.before for r in got.collect()} == lagged
-    placed = timeline.ue_timeline(recs, ["imsi"], block_ms=width)
-    assert {r.rec_seq: r.pos for r in placed.collect()} == order
+
+
+@pytest.mark.parametrize("partitions", ["1", "3", "40"])
+def test_positions_by_sampled_ranges_equal_a_plain_numbering(spark, recs, rows, partitions):
+    by_device = defaultdict(list)
+    for row in sorted(rows, key=lambda r: (r["start_ms"], r["rec_seq"])):
+        by_device[row["imsi"]].append(row)
+    order = {r["rec_seq"]: n for rs in by_device.values() for n, r in enumerate(rs, 1)}
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        placed = timeline.ue_timeline(recs, ["imsi"])
+        assert placed.columns == [*recs.columns, "pos"]
+        assert {r.rec_seq: r.pos for r in placed.collect()} == order
+        # A device without an id, all at one time and with one number, is numbered without gaps.
+        same = frame(spark, [{"rec_seq": 1, "start_ms": 5, "bs": f"s{i}"} for i in range(500)])
+        assert sorted(r.pos for r in timeline.ue_timeline(same, ["imsi"]).collect()) == list(range(1, 501))
+        assert timeline.ue_timeline(recs.limit(0), ["imsi"]).collect() == []
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+
+
+def test_timelines_read_their_records_once(spark, tmp_path):
+    frame(spark, [{"rec_seq": i, "start_ms": i, "imsi": "a"} for i in range(9)]).write.parquet(str(tmp_path / "recs"))
+    plan = timeline.ue_timeline(spark.read.parquet(str(tmp_path / "recs")), ["imsi"])._jdf.queryExecution().toString()
+    assert str(tmp_path / "recs") not in plan
 
 
 def test_blocked_windows_keep_rows_without_a_key(spark):
     df = frame(spark, [{"rec_seq": i, "start_ms": i * 1_000, "bs": f"s{i}"} for i in range(6)])
-    placed = timeline.ue_timeline(df, ["cur_cell", "imsi"], block_ms=2_000)
+    placed = timeline.ue_timeline(df, ["cur_cell", "imsi"])
     assert {r.rec_seq: r.pos for r in placed.collect()} == {i: i + 1 for i in range(6)}
     lagged = blocks.lag_by_blocks(df, ["imsi"], ["start_ms", "rec_seq"], "bs", "before", 2_000)
     assert {r.rec_seq: r.before for r in lagged.collect()} == {
@@ -523,3 +545,46 @@ def test_any_cell_in_group_keeps_rows_without_and_with_the_same_id(spark):
     got = groups.any_cell_in_group(recs, group)
     assert got.columns == recs.columns
     assert sorted(str(tuple(r)) for r in got.collect()) == sorted(str(r) for r in rows[:10])
+
+
+@pytest.mark.parametrize("max_idle", [None, 0, 2, 7])
+@pytest.mark.parametrize("cuts", [[7], [1, 2, 15], [29]])
+def test_days_that_hand_over_equal_one_pass(recs, max_idle, cuts):
+    whole = active.open_ranges(recs, GRID, max_idle=max_idle)
+    closed, carried, after = [], None, 0
+    for until in [*cuts, GRID.n]:
+        day = bounded.landed(
+            active.open_ranges(recs, GRID, max_idle=max_idle, carried=carried, after=after, until=until), "day"
+        )
+        closed += rows_of_any(day.where("t1 IS NOT NULL"))
+        carried, after = active.still_open(day), until
+    assert sorted(closed + [(b, i, t, None) for b, i, t in carried.collect()], key=str) == sorted(
+        rows_of_any(whole), key=str
+    )
+
+
+def rows_of_any(df):
+    return [tuple(r) for r in df.select("bs", "imsi", "t0", "t1").collect()]
+
+
+def test_idle_devices_end(recs, rows):
+    """Stepping through the buckets: a device counts for two more without a record."""
+    ranges = active.open_ranges(recs, GRID, max_idle=2)
+    ends = active.ends_of_ranges(ranges)
+    got = {(r.bs, r.t): r.n for r in active.active_load(active.closed_ranges(ranges, ends)).collect()}
+    last = {}
+    for r in rows:
+        t = bucket(r["start_ms"], GRID)
+        if t is not None:
+            key = (r["bs"], r["imsi"], t)
+            last[key] = max(last.get(key, (-(10**18), 0)), (r["start_ms"], r["proc_id"]))
+    stations = {b for b, _, _ in last}
+    for b in stations:
+        devices = {i for s, i, _ in last if s == b}
+        end = max(t for s, _, t in last if s == b)
+        for t in range(1, end + 1):
+            n = 0
+            for i in devices:
+                seen = [u for u in range(max(1, t - 2), t + 1) if (b, i, u) in last]
+                n += bool(seen) and (seen[-1] == t or last[b, i, seen[-1]][1] not in RELEASES)
+            assert got[b, t] == n
