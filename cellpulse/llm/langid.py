@@ -91,7 +91,10 @@ def learned(docs: DataFrame) -> Model:
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Model((), np.zeros((BUCKETS, 0), np.float32))
-    draw = F.xxhash64("doc_id", F.lit("language sample")).bitwiseAND(F.lit((1 << 32) - 1))
+    # Rows without an id are drawn one by one.
+    named = F.xxhash64("doc_id", F.lit("language sample"))
+    numbered = F.xxhash64("_row", F.lit("language sample"))
+    draw = F.when(F.col("doc_id").isNotNull(), named).otherwise(numbered).bitwiseAND(F.lit((1 << 32) - 1))
     limits = F.create_map(
         *(
             F.lit(x)
@@ -99,6 +102,7 @@ def learned(docs: DataFrame) -> Model:
             for x in (lang, int(min(1.0, SAMPLE_PER_LANGUAGE / n) * 2**32))
         )
     )
+    labelled = labelled.withColumn("_row", F.monotonically_increasing_id())
     sample = labelled.where(draw < limits[F.col("lang")]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

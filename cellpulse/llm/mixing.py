@@ -150,13 +150,15 @@ def document_streams(docs: DataFrame, planned: list[Source], sized: DataFrame) -
 
 
 def _sized(docs: DataFrame) -> DataFrame:
-    return landed(
+    sized = landed(
         docs.select(
             "doc_id", "source", word_count(F.col("text")).alias("size"),
-            F.xxhash64("doc_id").alias("_hash"), F.monotonically_increasing_id().alias("row_id"),
+            F.xxhash64("doc_id", "text").alias("_hash"), F.monotonically_increasing_id().alias("row_id"),
         ),
         "mix-sizes",
     )
+    # Rows without an id lie all over the order, by their row number.
+    return sized.withColumn("_hash", F.when(F.col("doc_id").isNull(), F.xxhash64("row_id")).otherwise(F.col("_hash")))
 
 
 def _plan(sized: DataFrame, weights: tuple[float, ...], slots: int) -> list[Source]:

@@ -1,8 +1,8 @@
 """Sharding by sampled splitters, DataFrame operations only.
 
 Records are ordered by a 64-bit key: the leading bits are a hash of the text, so that
-equal texts lie together, the rest a hash of the id, so that a group of equal texts of
-any size can be cut. A sample in which a record appears in proportion to its size gives
+equal texts lie together, the rest a hash of the id and the row's number, so that a group of
+equal texts of any size can be cut, whatever its ids. A sample in which a record appears in proportion to its size gives
 quantile boundaries; they cut the order into many ranges. Exact sums per range show the
 overfull ones, which are subdivided. Range sums and a running sum inside each range give
 every record its exact place in bytes, and the place gives the shard: shard sizes differ
@@ -12,8 +12,8 @@ Only the boundaries and one row per range (`RANGES_PER_PARTITION` for each shuff
 partition, plus subdivisions) come to the driver.
 
 Defined results: a null text has size 8, checksum 0 and the hash of an empty text; ties of
-the key are ordered by id and checksum; identical rows share the places they tie for; an
-empty table gives no rows; with fewer records than shards some shards stay empty.
+the key are ordered by id and checksum; null and repeated ids are rows like any other; identical
+rows share the places they tie for; other columns are not carried over; an empty table gives no rows; with fewer records than shards some shards stay empty.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ TEXT_BITS = 40
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """`doc_id, size, text_crc32, key` of each row."""
+    """`doc_id, size, text_crc32, key` of each row; land it, the keys hold row numbers."""
     text = F.coalesce(F.col("text"), F.lit(""))
     low = (1 << (63 - TEXT_BITS)) - 1
     # The sign bit stays clear, so the key orders as a plain long.
@@ -42,7 +42,9 @@ def keyed(docs: DataFrame) -> DataFrame:
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + RECORD_BYTES).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        key.bitwiseOR(F.xxhash64("doc_id").bitwiseAND(F.lit(low))).alias("key"),
+        key.bitwiseOR(
+            F.xxhash64("doc_id", F.monotonically_increasing_id()).bitwiseAND(F.lit(low))
+        ).alias("key"),
     )
 
 

@@ -7,7 +7,9 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from cellpulse.llm import mixing, packing, sharding
+from pyspark.sql import functions as F
+
+from cellpulse.llm import langid, mixing, packing, sharding
 
 
 @pytest.mark.parametrize("extra", [False, True])
@@ -229,3 +231,24 @@ def test_combinations_fill_windows_and_never_use_more_than_there_is():
     assert all(used[n] <= histogram[n] for n in histogram)
     assert used[924] == 30
     assert packing.repeats({}, 1024) == [] and packing.repeats({7: 3}, 1024) == []
+
+
+def test_rows_without_an_id_are_spread(spark):
+    """A third of the ids null, with one text: no bin of an order holds much more than the others."""
+    text = cases.sentence("en", 3, 20)
+    rows = [(None if i % 3 == 0 else i, text if i % 3 == 0 else f"{text} {i}", "en", "s", 0) for i in range(6000)]
+    docs = cases.frame(spark, rows).repartition(8)
+    sized = mixing._sized(docs)
+    # A group of equal texts has keys of its own for almost every row.
+    assert sharding.keyed(docs).select("key").distinct().count() > 0.99 * len(rows)
+    packed = packing.packed(docs, window=64)
+    assert packed.select("row_id").distinct().count() == len(rows)
+    counts = [r["count"] for r in sized.groupBy(F.shiftrightunsigned("_hash", 60).alias("k")).count().collect()]
+    assert max(counts) <= 2 * sorted(counts)[len(counts) // 2]
+    assert mixing.mix_words(docs).count() == len(rows)
+
+
+def test_language_sample_draws_rows_without_an_id(spark):
+    rows = [(None, cases.sentence("de", i, 12), "de", None, 0) for i in range(3 * langid.SAMPLE_PER_LANGUAGE)]
+    model = langid.learned(cases.frame(spark, rows).repartition(8))
+    assert model.languages == ("de",) and model.log_p.std() > 0
