@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -20,6 +21,7 @@ from cellpulse.operators import (
     load,
     mobility,
     quality,
+    sets,
     timeline,
 )
 from cellpulse.plans.bounded import checkpointed, landed, scratch_path
@@ -37,6 +39,7 @@ PRUNE_TO_MS = 9 * DAY_MS + 7_200_000
 TOP_STATIONS = 15
 WINDOW_FROM, WINDOW_TO = 20, 60
 MAX_IDLE = 6
+BUCKETS = 16
 # The feed of the streams: slices of three days, and a delay of as much.
 FEED_SLICES, FEED_DELAY_MS = 10, 3 * DAY_MS
 
@@ -456,6 +459,36 @@ def ue_set_ops(spark, sf_dir):
     )
 
 
+@query
+def last_record_by_device(spark, sf_dir):
+    """Last records from a table landed by station and device, without a shuffle."""
+    table = f"landed_{uuid.uuid4().hex}"
+    records.land_by_device(_calls(spark, sf_dir).select("bs", "imsi", "start_ms", "proc_id"), table, BUCKETS)
+    return active.last_record(spark.table(table), GRID)
+
+
+@query
+def device_set_steps(spark, sf_dir):
+    """Devices of a station's bucket against those of its bucket before, from bitmaps."""
+    calls = _calls(spark, sf_dir)
+    return sets.set_steps(landed(sets.device_sets(calls, GRID, sets.numbered_devices(calls)), "device-sets"))
+
+
+@query
+def ue_load_estimates(spark, sf_dir):
+    """Devices per station and day from sketches of its buckets, checked against the exact number."""
+    calls = _calls(spark, sf_dir)
+    day = F.call_function("div", F.col("t") - 1, F.lit(DAY_MS // GRID.width_ms)).cast("int")
+    sketches = landed(sets.device_sketches(calls, GRID), "device-sketches").withColumn("day", day)
+    exact = GRID.assign(calls).withColumn("day", day).select("bs", "day", "imsi").distinct()
+    both = sets.estimated_devices(sketches, ["bs", "day"]).join(
+        exact.groupBy("bs", "day").agg(F.count(F.lit(1)).alias("ue")), ["bs", "day"]
+    )
+    # Four standard errors.
+    close = F.abs(F.col("devices") - F.col("ue")) <= 4 * sets.STANDARD_ERROR * F.col("ue")
+    return both.select("bs", "day", "ue", close.alias("is_close"))
+
+
 @query
 def ue_timeline(spark, sf_dir):
     placed = timeline.ue_timeline(_all_calls(spark, sf_dir), ["imsi"])
@@ -512,27 +545,23 @@ def handover_training_rows(spark, sf_dir):
     return features.handover_training_rows(_moves(spark, sf_dir, GRID), GRID, _group(spark, sf_dir))
 
 
-def _features(spark, sf_dir):
-    return features.bs_features(
-        _calls(spark, sf_dir), GRID, _group(spark, sf_dir), _edges(spark, sf_dir)
-    )
+def _feature_inputs(spark, sf_dir):
+    return _calls(spark, sf_dir), GRID, _group(spark, sf_dir), _edges(spark, sf_dir)
 
 
 @query
 def bs_features(spark, sf_dir):
-    rows = _features(spark, sf_dir).select("bs", "t", *features.FEATURES)
+    rows = features.bs_features(*_feature_inputs(spark, sf_dir)).select("bs", "t", *features.FEATURES)
     return _rounded(rows, *features.FEATURES)
 
 
 @query
 def group_features(spark, sf_dir):
-    return _rounded(features.group_features(_features(spark, sf_dir)), *features.FEATURES)
+    return _rounded(features.group_features(*_feature_inputs(spark, sf_dir)), *features.FEATURES)
 
 
 def _rolled(spark, sf_dir):
-    # Station rows and group rows both come from this table.
-    table = checkpointed(_features(spark, sf_dir))
-    return features.feature_rolling(features.with_group_rows(table))
+    return features.feature_rolling(features.features_with_group(*_feature_inputs(spark, sf_dir)))
 
 
 def _feature_columns(df):

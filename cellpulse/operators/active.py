@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from cellpulse.functions.measures import is_release
 from cellpulse.functions.timegrid import Grid
 from cellpulse.operators.load import mean_over_stations
+from cellpulse.plans.bounded import broadcast_if_small
 
 # The last record of a bucket is the greatest (start_ms, proc_id). Where both fit they go
 # into one 64-bit number, else into a wide decimal of the same order, so that finding
@@ -150,8 +151,9 @@ def active_intervals(
     # One row per key. Adaptive execution sees its real size before the ranges
     # are shuffled and broadcasts it when small; otherwise it is a sort-merge
     # join whose skewed keys are split.
-    last = series_ends(records, grid, key) if ends is None else ends
-    return closed_ranges(ranges, last, key)
+    if ends is None:
+        return _closed(ranges, series_ends(records, grid, key), key)
+    return closed_ranges(ranges, ends, key)
 
 
 def ends_of_ranges(ranges: DataFrame, key: str = "bs") -> DataFrame:
@@ -160,7 +162,14 @@ def ends_of_ranges(ranges: DataFrame, key: str = "bs") -> DataFrame:
 
 
 def closed_ranges(ranges: DataFrame, ends: DataFrame, key: str = "bs") -> DataFrame:
-    """Ranges closed at the last bucket of the key's series where they are open or reach past it."""
+    """Ranges closed at the last bucket of the key's series where they are open or reach past it.
+
+    Give `ends` as a computed table: its rows are counted, and a small one is broadcast.
+    """
+    return _closed(ranges, broadcast_if_small(ends), key)
+
+
+def _closed(ranges: DataFrame, ends: DataFrame, key: str) -> DataFrame:
     return ranges.join(ends, key).select(key, "imsi", "t0", F.least("t1", "last_t").alias("t1"))
 
 

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellpulse.functions.measures import count_where, is_release
 from cellpulse.functions.timegrid import Grid
-from cellpulse.operators.flow import dense_presence_flow, presence_flow
+from cellpulse.operators.flow import flow_of_devices
 from cellpulse.operators.groups import edges_of_group, in_group, relevant_stations
-from cellpulse.operators.load import bearer_load
+from cellpulse.operators.load import placed
 from cellpulse.operators.mobility import handover_devices
 from cellpulse.operators.quality import rolling_mean
-from cellpulse.plans.bounded import checkpointed
-from cellpulse.plans.dense import zero_filled
+from cellpulse.plans.bounded import checkpointed, landed
+from cellpulse.plans.dense import all_buckets
 
 FEATURES = ("load_rate", "net_flow")
 SAMPLES = (3, 5, 10)
@@ -64,6 +65,48 @@ def handover_training_rows(records: DataFrame, grid: Grid, group: DataFrame) ->
     )
 
 
+FLOWS = ("inflow", "outflow", "in_outside", "out_outside")
+
+
+def feature_counts(records: DataFrame, grid: Grid, group: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows to be summed per station of the group and bucket: `bs, t, bearer, inflow, …, out_outside`.
+
+    Loads, flows and a zero for every bucket of every station of the group that has
+    records. Records shrink to one row per station, device and bucket once, for both.
+    """
+    own_edges = edges_of_group(edges, group)
+    relevant = in_group(records, relevant_stations(own_edges).unionByName(group.select("bs")).distinct())
+    devices = landed(
+        placed(relevant, grid).groupBy("bs", "t", "imsi").agg(
+            count_where(is_release(F.col("proc_id"))).alias("releases")
+        ),
+        "device-buckets",
+    )
+    # At most one row per station and bucket.
+    load = checkpointed(
+        in_group(devices, group).groupBy("bs", "t").agg((F.count(F.lit(1)) + F.sum("releases")).alias("bearer"))
+    )
+    flow = flow_of_devices(devices.select("bs", "imsi", "t"), grid, own_edges, group)
+    base = all_buckets(load.select("bs").distinct(), grid)
+    zero = F.lit(0).cast("bigint")
+    columns = ("bearer", *FLOWS)
+
+    def filled(df: DataFrame) -> DataFrame:
+        return df.select("bs", "t", *((F.col(c).cast("bigint") if c in df.columns else zero).alias(c) for c in columns))
+
+    return filled(base).unionByName(filled(load)).unionByName(filled(flow))
+
+
+def _rates(grid: Grid) -> list:
+    """Sums of `feature_counts` per minute."""
+    sums = {c: F.sum(c) for c in ("bearer", *FLOWS)}
+    return [
+        grid.per_minute(sums["bearer"]).alias("load_rate"),
+        grid.per_minute(sums["inflow"] - sums["outflow"]).alias("net_flow"),
+        grid.per_minute(sums["in_outside"] - sums["out_outside"]).alias("outside_flow"),
+    ]
+
+
 def bs_features(
     records: DataFrame, grid: Grid, group: DataFrame, edges: DataFrame
 ) -> DataFrame:
@@ -72,36 +115,25 @@ def bs_features(
     Every bucket of every station of the group that has records. `outside_flow`
     counts only neighbours outside the group and feeds the group rows.
     """
-    own_edges = edges_of_group(edges, group)
-    relevant = in_group(records, relevant_stations(own_edges))
-    # Read for the stations and for their loads.
-    load = checkpointed(bearer_load(relevant, grid, group))
-    stations = load.select("bs").distinct()
-    flow = presence_flow(relevant, grid, own_edges, group)
-
-    loads = zero_filled(load, stations, grid, ["bearer"])
-    flows = dense_presence_flow(flow, stations, grid)
-    return loads.join(flows, ["bs", "t"]).select(
-        "bs",
-        "t",
-        grid.per_minute(F.col("bearer")).alias("load_rate"),
-        grid.per_minute(F.col("inflow") - F.col("outflow")).alias("net_flow"),
-        grid.per_minute(F.col("in_outside") - F.col("out_outside")).alias("outside_flow"),
-    )
+    return feature_counts(records, grid, group, edges).groupBy("bs", "t").agg(*_rates(grid))
 
 
-def group_features(features: DataFrame) -> DataFrame:
+def group_features(records: DataFrame, grid: Grid, group: DataFrame, edges: DataFrame) -> DataFrame:
     """The group as one: summed load and flow across its border: `t, load_rate, net_flow`."""
-    return features.groupBy("t").agg(
-        F.sum("load_rate").alias("load_rate"), F.sum("outside_flow").alias("net_flow")
-    )
+    rates = feature_counts(records, grid, group, edges).groupBy("t").agg(*_rates(grid))
+    return rates.select("t", "load_rate", F.col("outside_flow").alias("net_flow"))
 
 
-def with_group_rows(features: DataFrame) -> DataFrame:
-    """Station rows and, as station `all`, the rows of the group: `bs, t, load_rate, net_flow`."""
-    stations = features.select(F.col("bs").cast("string").alias("bs"), "t", *FEATURES)
-    whole = group_features(features).select(F.lit("all").alias("bs"), "t", *FEATURES)
-    return stations.unionByName(whole)
+def features_with_group(records: DataFrame, grid: Grid, group: DataFrame, edges: DataFrame) -> DataFrame:
+    """Station rows and, as station `all`, the rows of the group, in one pass: `bs, t, load_rate, net_flow`."""
+    sets = [[F.col("bs"), F.col("t")], [F.col("t")]]
+    whole = F.grouping("bs") == 1
+    rates = feature_counts(records, grid, group, edges).groupingSets(sets, "bs", "t").agg(
+        *_rates(grid), whole.alias("_whole")
+    )
+    station = F.when(F.col("_whole"), F.lit("all")).otherwise(F.col("bs").cast("string"))
+    flow = F.when(F.col("_whole"), F.col("outside_flow")).otherwise(F.col("net_flow"))
+    return rates.select(station.alias("bs"), "t", "load_rate", flow.alias("net_flow"))
 
 
 def feature_rolling(

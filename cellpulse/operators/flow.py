@@ -24,29 +24,42 @@ from cellpulse.plans.masks import (
 )
 
 
-def _meetings(masks: DataFrame, edges: DataFrame) -> DataFrame:
-    """Masks of devices on both ends of an edge, with `came` and `left` as bit masks.
+def _meetings(masks: DataFrame, edges: DataFrame, group: DataFrame | None) -> DataFrame:
+    """Masks of devices on both ends of an edge: `bs, imsi, run, came, left, outside`.
 
-    `came`: at the neighbour in the bucket before, here now. `left`: the reverse.
+    `came`: at the neighbour in the bucket before, here now. `left`: the reverse. `outside` tells
+    whether the neighbour is none of the group. A mask lies at its own station and at
+    each neighbour; a window per (device, run, station) shows it the mask that is at home there.
+    The rows stay where the device's run is, so this takes no shuffle of its own.
     """
-    moving = moving_only(masks)
-    here = moving.join(broadcast_if_small(edges.select("bs", "n").distinct()), "bs")
-    there = moving.select(
-        F.col("bs").alias("n"),
-        "imsi",
-        "run",
-        F.col("now").alias("n_now"),
-        F.col("prev").alias("n_prev"),
-    )
-    met = here.join(there, ["imsi", "run", "n"]).select(
-        "bs",
-        "n",
-        "imsi",
-        "run",
-        F.col("n_prev").bitwiseAND(F.col("now")).alias("came"),
-        F.col("prev").bitwiseAND(F.col("n_now")).alias("left"),
+    ways = edges.select("bs", "n").distinct()
+    if group is None:
+        ways = ways.withColumn("outside", F.lit(False))
+    else:
+        inside = group.select(F.col("bs").alias("_inside")).distinct()
+        ways = ways.join(broadcast_if_small(inside), F.col("n") == F.col("_inside"), "left").select(
+            "bs", "n", F.col("_inside").isNull().alias("outside")
+        )
+    # One row per station, as long as the station has neighbours.
+    towards = ways.groupBy("bs").agg(
+        F.collect_list(F.struct(F.col("n").alias("s"), F.col("bs").alias("o"), "outside")).alias("towards")
     )
-    return met.where((F.col("came") != 0) | (F.col("left") != 0))
+    kind = edges.schema["bs"].dataType
+    home = F.struct(F.col("bs").alias("s"), F.lit(None).cast(kind).alias("o"), F.lit(False).alias("outside"))
+    places = F.when(F.col("towards").isNull(), F.array(home)).otherwise(F.concat(F.array(home), F.col("towards")))
+    placed_ = (
+        moving_only(masks).join(broadcast_if_small(towards), "bs", "left")
+        .select("imsi", "run", "now", "prev", F.inline(places))
+    )
+    there = Window.partitionBy("imsi", "run", "s")
+    at_home = F.when(F.col("o").isNull(), F.struct("now", "prev"))
+    met = placed_.withColumn("there", F.max(at_home).over(there)).where(F.col("o").isNotNull())
+    seen = met.select(
+        F.col("o").alias("bs"), "imsi", "run", "outside",
+        F.col("there.prev").bitwiseAND(F.col("now")).alias("came"),
+        F.col("prev").bitwiseAND(F.col("there.now")).alias("left"),
+    )
+    return seen.where((F.col("came") != 0) | (F.col("left") != 0))
 
 
 # Stations of a device up to which its neighbours are looked up among them one by one.
@@ -166,38 +179,26 @@ def presence_flow(
     neighbours outside it. Arrivals count (device, neighbour) pairs; departures
     count a device once whatever the number of neighbours it went to.
     """
-    masks = masks_of_buckets(placed(records, grid).select("bs", "imsi", "t"))
-    met = _meetings(masks, edges)
-    if group is None:
-        met = met.withColumn("came_out", F.lit(0)).withColumn("left_out", F.lit(0))
-    else:
-        inside = group.select(F.col("bs").alias("n")).distinct().withColumn("_inside", F.lit(True))
-        outside = F.col("_inside").isNull()
-        met = (
-            met.join(broadcast_if_small(inside), "n", "left")
-            .withColumn("came_out", F.when(outside, F.col("came")).otherwise(F.lit(0)))
-            .withColumn("left_out", F.when(outside, F.col("left")).otherwise(F.lit(0)))
-        )
+    return flow_of_devices(placed(records, grid).select("bs", "imsi", "t"), grid, edges, group)
+
+
+def flow_of_devices(
+    devices: DataFrame, grid: Grid, edges: DataFrame, group: DataFrame | None = None
+) -> DataFrame:
+    """`presence_flow` from rows `bs, imsi, t`, repeated or not."""
+    met = _meetings(masks_of_buckets(devices.where(F.col("imsi").isNotNull())), edges, group)
+    for way in ("came", "left"):
+        met = met.withColumn(f"{way}_out", F.when(F.col("outside"), F.col(way)).otherwise(F.lit(0)))
     came, left = ["came", "came_out"], ["left", "left_out"]
-    # One shuffle of the narrow rows brings a device's neighbours together; both
-    # the pair counts and the once-per-device masks are then taken in that stage.
-    by_device = (
-        met.repartition("bs", "imsi", "run")
-        .groupBy("bs", "imsi", "run")
-        .agg(*bit_sums(came), *(F.bit_or(c).alias(c) for c in left))
-    )
+    # A device's neighbours are still together; both the pair counts and the
+    # once-per-device masks are taken where they are.
+    by_device = met.groupBy("bs", "imsi", "run").agg(*bit_sums(came), *(F.bit_or(c).alias(c) for c in left))
     counted = by_device.groupBy("bs", "run").agg(*sums_of_bit_sums(came), *bit_sums(left))
     flows = per_bucket(counted, ["bs"], came + left).where(F.col("t") <= grid.n)
-    plain = flows.select("bs", "t", F.col("came").alias("inflow"), F.col("left").alias("outflow"))
-    if group is None:
-        return plain
-    return flows.select(
-        *(F.col(c) for c in ("bs", "t")),
-        F.col("came").alias("inflow"),
-        F.col("left").alias("outflow"),
-        F.col("came_out").alias("in_outside"),
-        F.col("left_out").alias("out_outside"),
-    )
+    names = {"came": "inflow", "left": "outflow"}
+    if group is not None:
+        names |= {"came_out": "in_outside", "left_out": "out_outside"}
+    return flows.select("bs", "t", *(F.col(c).alias(name) for c, name in names.items()))
 
 
 def dense_presence_flow(flow: DataFrame, stations: DataFrame, grid: Grid) -> DataFrame:

@@ -446,6 +446,22 @@ SELECT rec_seq FROM rec WHERE bs % 5 = 0 OR source_bs % 5 = 0 OR target_bs % 5 =
 SELECT bs, imsi, t, start_ms, proc_id FROM lastrec""",
     "active_ues": f"{VIEW}{_active('bs')} SELECT bs, imsi, t FROM act",
     "active_load": f"{VIEW}{_active('bs')} SELECT bs, t, n FROM levels",
+    "last_record_by_device": f"""{VIEW}{_active("bs")}
+SELECT bs, imsi, t, start_ms, proc_id FROM lastrec""",
+    "device_set_steps": f"""{VIEW},
+held AS (SELECT DISTINCT bs, t, imsi FROM pcmd),
+steps AS (SELECT bs, t, lag(t) OVER (PARTITION BY bs ORDER BY t) AS prev_t FROM (SELECT DISTINCT bs, t FROM held)),
+sides AS (
+  SELECT s.bs, s.t, h.imsi, true AS own FROM steps s JOIN held h ON h.bs = s.bs AND h.t = s.t
+  UNION ALL SELECT s.bs, s.t, h.imsi, false FROM steps s JOIN held h ON h.bs = s.bs AND h.t = s.prev_t),
+devices AS (SELECT bs, t, imsi, bool_or(own) AS now, bool_or(NOT own) AS earlier FROM sides GROUP BY bs, t, imsi)
+SELECT bs, t, count(*) FILTER (WHERE now) AS devices, count(*) FILTER (WHERE earlier) AS before,
+       count(*) FILTER (WHERE now AND earlier) AS both, count(*) AS either,
+       count(*) FILTER (WHERE NOT earlier) AS arrived, count(*) FILTER (WHERE NOT now) AS "left"
+FROM devices GROUP BY bs, t""",
+    "ue_load_estimates": f"""{VIEW}
+SELECT bs, CAST((t - 1) // 4 AS INTEGER) AS day, count(DISTINCT imsi) AS ue, true AS is_close
+FROM pcmd GROUP BY ALL""",
     "active_load_by_days": f"{VIEW}{_active('bs')} SELECT bs, t, n FROM levels",
     "active_load_max_idle": f"""{VIEW}{_active("bs")},
 short AS (SELECT bs, imsi, t0, least(t1, t0 + 6) AS t1 FROM ranges)

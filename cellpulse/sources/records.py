@@ -170,3 +170,18 @@ def read_landed(
         .where((F.col("start_ms") >= start_ms) & (F.col("start_ms") < end_ms))
         .drop("slot")
     )
+
+
+def land_by_device(records: DataFrame, table: str, buckets: int) -> None:
+    """Write records as a table bucketed by station and device, sorted in each bucket.
+
+    Reading it (`spark.table`), last records, open ranges and loads per device need no
+    shuffle, nor does a join of two such tables on station and device. A station with a
+    third of all records is spread by its devices. Use many more buckets than cores.
+    """
+    (
+        records.repartition(buckets, "bs", "imsi")
+        .write.bucketBy(buckets, "bs", "imsi")
+        .sortBy("bs", "imsi", "start_ms")
+        .saveAsTable(table)
+    )

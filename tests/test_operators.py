@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from rows import RELEASES, active_sets, bucket, frame, presence_sets, skewed_rows
 
 from cellpulse.functions.timegrid import Grid
-from cellpulse.operators import active, failures, features, flow, groups, load, mobility, quality, timeline
+from cellpulse.operators import active, failures, features, flow, groups, load, mobility, quality, sets, timeline
 from cellpulse.plans import blocks, bounded
+from cellpulse.sources import records
 
 GRID = Grid(start_ms=0, width_ms=1_000, n=40)
 EDGES = [("s0", "s1"), ("s1", "s0"), ("s0", "s2"), ("s2", "s0"), ("s3", "s1"), ("s4", "gone")]
@@ -404,7 +405,7 @@ def test_features_split_inside_and_outside(spark):
     values = table(got, ["bs", "t"], ["load_rate", "net_flow", "outside_flow"])
     assert values == {("a", 1): (1.0, 0.0, 0.0), ("a", 2): (0.0, -1.0, -1.0),
                       ("b", 1): (0.0, 0.0, 0.0), ("b", 2): (1.0, 1.0, 0.0)}
-    whole = table(features.group_features(got), ["t"], ["load_rate", "net_flow"])
+    whole = table(features.group_features(moved, grid, group, edges), ["t"], ["load_rate", "net_flow"])
     assert whole == {(1,): (1.0, 0.0), (2,): (1.0, -1.0)}
 
 
@@ -588,3 +589,64 @@ def test_idle_devices_end(recs, rows):
                 seen = [u for u in range(max(1, t - 2), t + 1) if (b, i, u) in last]
                 n += bool(seen) and (seen[-1] == t or last[b, i, seen[-1]][1] not in RELEASES)
             assert got[b, t] == n
+
+
+# Device sets and landed tables
+
+
+def test_bitmaps_and_sketches_count_devices(spark, recs, rows):
+    present = presence_sets(rows, GRID)
+    held = bounded.landed(sets.device_sets(recs, GRID, sets.numbered_devices(recs)), "sets")
+    got = {(r.bs, r.t): r for r in sets.set_steps(held).collect()}
+    for b, by_time in present.items():
+        before = set()
+        for t in sorted(by_time):
+            now, r = by_time[t], got.pop((b, t))
+            assert (r.devices, r.before, r.both, r.either, r.arrived, r.left) == (
+                len(now), len(before), len(now & before), len(now | before), len(now - before), len(before - now)
+            )
+            before = now
+    assert not got
+    total = {r.bs: r.n for r in sets.set_sizes(sets.united_sets(held, ["bs"]), ["bs"], "n").collect()}
+    assert total == {b: len(set.union(*by_time.values())) for b, by_time in present.items()}
+    rough = sets.estimated_devices(sets.device_sketches(recs, GRID), ["bs"])
+    assert {r.bs: r.devices for r in rough.collect()} == total
+
+
+def test_sets_take_devices_without_an_id(spark):
+    recs = frame(spark, [{"bs": "a", "start_ms": i, "imsi": i % 3 and "x" or None} for i in range(9)])
+    held = bounded.landed(sets.device_sets(recs, GRID, sets.numbered_devices(recs)), "sets")
+    assert [(r.devices, r.arrived) for r in sets.set_steps(held).collect()] == [(2, 2)]
+
+
+def test_tables_landed_by_device_need_no_shuffle(spark, recs):
+    records.land_by_device(recs.select("bs", "imsi", "start_ms", "proc_id"), "landed_by_device_test", 4)
+    try:
+        table = spark.table("landed_by_device_test")
+        for df in (active.last_record(table, GRID), active.open_ranges(table, GRID)):
+            assert "Exchange" not in df._jdf.queryExecution().sparkPlan().toString()
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+        # Loads shuffle one row per station and bucket of a task.
+        plan = load.bearer_load(table, GRID)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1
+        plain = sorted(map(str, active.open_ranges(recs, GRID).collect()))
+        assert sorted(map(str, active.open_ranges(table, GRID).collect())) == plain
+    finally:
+        spark.sql("DROP TABLE landed_by_device_test")
+
+
+def shuffles(df, keys="imsi"):
+    """Shuffles of rows per device."""
+    return df._jdf.queryExecution().executedPlan().toString().count(f"Exchange hashpartitioning({keys}")
+
+
+def test_flows_and_features_shuffle_seldom(spark, recs, edges):
+    """Shuffles of the plan without what was written before; few of them carry rows per device."""
+    opened = bounded.landed(active.open_ranges(recs, GRID), "open")
+    ends = bounded.checkpointed(active.ends_of_ranges(opened))
+    flows = flow.neighbor_flow(active.closed_ranges(opened, ends), edges, ends)
+    # The devices' stations, the ranges that meet them, and the window of the meetings.
+    assert shuffles(flows) <= 4
+    group = spark.createDataFrame([("s0",), ("s1",)], "bs string")
+    for operator in (features.bs_features, features.features_with_group):
+        assert shuffles(operator(recs, GRID, group, edges), "") < 10
