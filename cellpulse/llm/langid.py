@@ -57,16 +57,17 @@ def letter_grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nd
     codes[codes == 2] = 32  # the mark that opens a text is a gap as any other
     gap = codes == 32
     mixed = codes.astype(np.uint64)
-    before = np.concatenate([[np.uint64(32)], mixed[:-1]])
+    before = np.concatenate([[np.uint64(32)], mixed[:-1]])[: len(mixed)]
     # Nothing before a word's own mark counts.
     second = np.concatenate([[np.uint64(32), np.uint64(32)], mixed[:-2]])[: len(mixed)]
     second[before == 32] = 32
     hashed = (mixed * np.uint64(0x9E3779B97F4A7C15)) ^ (before * np.uint64(0xC2B2AE3D27D4EB4F))
     hashed = (hashed ^ (second * np.uint64(0x165667B19E3779F9))) * np.uint64(0xFF51AFD7ED558CCD)
     buckets = (hashed >> np.uint64(49)).astype(np.int32) % BUCKETS
-    # A word runs from its first letter to the gap behind it.
+    # A word runs from its first letter to the gap behind it; the mark that opens a text is in none.
+    mark = gap & (before == 32)
     starts = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1 if len(gap) else np.empty(0, np.int64)
-    return buckets, starts, per_text
+    return buckets[~mark], starts - np.cumsum(mark)[starts], per_text
 
 
 @dataclass(frozen=True)
@@ -117,7 +118,8 @@ def learned(docs: DataFrame) -> Model:
         for lang, found in sums.items():
             at = np.flatnonzero(found)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(at)), pa.array(at), pa.array(found[at])], ["lang", "bucket", "n"]
+                [pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(found[at], pa.int64())],
+                ["lang", "bucket", "n"],
             )
 
     # At most languages * BUCKETS rows.

@@ -1,5 +1,10 @@
 """Operators that learn or search: classifier, languages and near duplicates."""
 
+import math
+import re
+import zlib
+from collections import Counter
+
 import cases
 import numpy as np
 import pytest
@@ -193,3 +198,118 @@ def test_components_of_a_long_chain_and_a_star(spark):
 def test_classes_have_no_column_that_depends_on_the_leaders(spark):
     found = minhash.classes(cases.frame(spark, near_rows()[:3]))
     assert found.columns == ["doc_id", "class_id", "rep_id", "class_digest"]
+
+
+def plain_scores(rows, labels):
+    """Class densities by sums over rows and a general solver, straight from the definition."""
+    quality_of = {}
+    for i, q, _ in labels:
+        if q in (0, 1):
+            quality_of.setdefault(i, set()).add(q)
+    known = {0: [], 1: []}
+    for i, text, *_ in rows:
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            for q in quality_of.get(i, ()):
+                known[q].append(np.array(quality.statistics(text)))
+    n = {k: len(v) for k, v in known.items()}
+    mean = {k: sum(v) / n[k] for k, v in known.items()}
+    scatter = {k: sum(np.outer(x - mean[k], x - mean[k]) for x in v) for k, v in known.items()}
+    pooled = (scatter[0] + scatter[1]) / (n[0] + n[1])
+    density = {}
+    for k in known:
+        mixed = 0.8 * scatter[k] / n[k] + 0.2 * pooled
+        cov = 0.9 * mixed + 0.1 * np.diag(np.diag(pooled)) + 1e-3 * np.eye(len(pooled))
+        inverse, (_, logdet) = np.linalg.inv(cov), np.linalg.slogdet(cov)
+        density[k] = lambda x, m=mean[k], a=inverse, c=logdet: -0.5 * ((x - m) @ a @ (x - m) + c)
+    out = []
+    for i, text, *_ in rows:
+        x = np.array(quality.statistics(text))
+        odds = density[1](x) - density[0](x) + math.log(n[1] / n[0])
+        out.append((i, 1 / (1 + math.exp(-max(-700, min(700, odds))))))
+    return out
+
+
+def test_quality_scores_equal_plain_densities(spark):
+    good = cases.plain_rows(80)
+    bad = [(500 + i, "$$$ ### " * (3 + i % 9) + cases.sentence("en", i, 4 + i % 5), "en", None, 0) for i in range(60)]
+    rows = good + bad + cases.odd_rows()[:8]
+    labels = [(r[0], 1, 0) for r in good] + [(r[0], 0, 0) for r in bad] + [(3, None, 0), (99999, 1, 0), (5, 1, 0)]
+    found = quality.scored(cases.frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = sorted((r.doc_id, r.score) for r in found.collect())
+    for (i, score), (j, wanted) in zip(got, sorted(plain_scores(rows, labels)), strict=True):
+        assert i == j and score == pytest.approx(wanted, abs=1e-6)
+
+
+def plain_languages(rows):
+    """Mixtures of two languages word by word, letter counts in dictionaries."""
+
+    def words(text):
+        found = [w for w in re.findall(r"[^\W\d_]+", (text or "").lower())]
+        return found if any(c.isalpha() for w in found for c in w) else []
+
+    def bucket(c, before, second):
+        """Grams share buckets by a hash of the three letters."""
+        h = ord(c) * 0x9E3779B97F4A7C15 ^ ord(before) * 0xC2B2AE3D27D4EB4F
+        h = (h ^ ord(second) * 0x165667B19E3779F9) % 2**64 * 0xFF51AFD7ED558CCD % 2**64
+        return (h >> 49) % langid.BUCKETS
+
+    def grams(word):
+        marked = "  " + word + " "
+        return [
+            bucket(marked[k], marked[k - 1], marked[k - 2] if marked[k - 1] != " " else " ") for k in range(2, len(marked))
+        ]
+
+    counts = {}
+    for i, text, lang, *_ in rows:
+        if lang and zlib.crc32(str(i).encode()) % 3 != 1:
+            own = counts.setdefault(lang, Counter())
+            for w in words(text):
+                own.update(grams(w))
+    langs = sorted(counts)
+    total = {g: sum(counts[g].values()) + 0.5 * langid.BUCKETS for g in langs}
+
+    def likelihoods(word):
+        sums = [sum(math.log((counts[g][x] + 0.5) / total[g]) for x in grams(word)) for g in langs]
+        return [max(s, max(sums) - 12) for s in sums]
+
+    def mixture(p, weights, rounds):
+        for _ in range(rounds):
+            shares = [[a * w for a, w in zip(row, weights)] for row in p]
+            shares = [[a / sum(row) for a in row] for row in shares]
+            weights = [sum(row[k] for row in shares) / len(p) for k in range(len(langs))]
+        return weights, sum(math.log(sum(a * w for a, w in zip(row, weights))) for row in p)
+
+    out = []
+    for i, text, *_ in rows:
+        logs = [likelihoods(w) for w in words(text)]
+        if not logs:
+            out.append((i, "und", 0.0))
+            continue
+        p = [[math.exp(x - max(row)) for x in row] for row in logs]
+        single = [sum(row[k] - max(row) for row in logs) for k in range(2)]
+        first = max(range(2), key=lambda k: single[k])
+        weights, likelihood = mixture(p, [0.5, 0.5], 6)
+        if likelihood - 2 * math.log1p(len(p)) > single[first]:
+            main = max(range(2), key=lambda k: weights[k])
+            out.append((i, langs[main], weights[main]))
+        else:
+            out.append((i, langs[first], 1 / sum(math.exp(x - single[first]) for x in single)))
+    return out
+
+
+def test_languages_equal_a_plain_mixture(spark):
+    rows = cases.plain_rows(40, 12) + cases.odd_rows()[:8]
+    rows += [(700 + i, cases.sentence("en", i, 9) + " " + cases.sentence("de", i, 7 + i), None, None, 0) for i in range(9)]
+    found = langid.identified(cases.frame(spark, rows)).collect()
+    got = sorted((r.doc_id, r.lang_pred, r.score) for r in found)
+    for (i, lang, score), wanted in zip(got, sorted(plain_languages(rows)), strict=True):
+        assert (i, lang) == wanted[:2]
+        assert score == pytest.approx(wanted[2], abs=2e-3)
+
+
+def test_slices_without_a_word(spark):
+    rows = [(i, t, "en", None, 0) for i, t in enumerate([None, "", "12 !", "²"])]
+    assert {r.lang_pred for r in langid.identified(cases.frame(spark, rows).coalesce(1)).collect()} == {"und"}
+    rows += [(10 + i, cases.sentence("en", i, 9), "en", None, 0) for i in range(6)]
+    found = {r.doc_id: r.lang_pred for r in langid.identified(cases.frame(spark, rows).repartition(10)).collect()}
+    assert [found[i] for i in (0, 1, 2, 3, 10)] == ["und"] * 4 + ["en"]
