@@ -11,20 +11,9 @@ from collections import Counter
 import cases
 import numpy as np
 import pytest
-from compare import connect, difference
 from pyspark.sql import functions as F
 
 from cellpulse.llm import codes, extract, resample, sql
-from cellpulse.llm.queries import ORACLE_SQL, QUERIES
-
-SMALL = "/root/testdata/sf0.001"
-NEW = ("op11_html_extraction", "op12_vector_codes", "op13_importance_resampling")
-
-
-@pytest.mark.parametrize("name", NEW)
-def test_query_equals_its_sql(spark, name):
-    assert difference(QUERIES[name](spark, SMALL), connect(SMALL), ORACLE_SQL[name]) is None
-
 
 # Pages.
 
