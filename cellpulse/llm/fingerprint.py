@@ -12,8 +12,8 @@ digests over all digests.
 
 The fingerprint is the number of digests and the sketch of `BASE_LEVEL`, as text.
 
-Work per text is about linear: digests are sorted, and cells are laid out in their order. Defined results: a
-null text is empty; two empty texts have likeness 1; rows with the same id follow each
+Work per text is sorting, and one search among the held cells for each cell, so a text of very many
+different lines is slow. Defined results: a null text is empty; two empty texts have likeness 1; rows with the same id follow each
 other by text; an empty table gives no rows; other columns are not carried over.
 """
 
@@ -32,8 +32,6 @@ WINDOW_BITS = BITS // TABLES
 RETRIES = 8
 PEEL_ROUNDS = 40
 BLOCKS_PER_PARTITION = 4
-# Cells of a table up to which looking each of them up is the faster way.
-FEW_CELLS = 128
 _LOW = f"{(1 << BITS) - 1}L"
 _ZERO = "named_struct('n', 0, 'k', 0L, 'c', 0L)"
 _NONE = "CAST(array() AS array<bigint>)"
@@ -79,18 +77,10 @@ def _table(keys: str, level: str, number: int) -> str:
         firsts,
         f"named_struct('number', transform(f, i -> get(x.at, i)), 'content', transform(f, (i, j) -> {content}))",
     )
-    # A few cells are looked up one by one; many are laid out in order, each that holds
-    # something followed by the empty ones up to the next.
-    looked_up = (
+    dense = (
         "transform(sequence(0L, x.cells - 1),"
         f" c -> coalesce(get(y.content, int(array_position(y.number, c)) - 1), {_ZERO}))"
     )
-    gap = "int(coalesce(get(y.number, j + 1), x.cells) - c - 1)"
-    laid_out = (
-        f"flatten(concat(array(array_repeat({_ZERO}, int(get(y.number, 0)))), transform(y.number,"
-        f" (c, j) -> concat(array(get(y.content, j)), array_repeat({_ZERO}, {gap})))))"
-    )
-    dense = f"CASE WHEN x.cells <= {FEW_CELLS} THEN {looked_up} ELSE {laid_out} END"
     return let("t", turned, let("x", sorted_, let("y", held, dense)))
 
 
