@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,76 +37,113 @@ def stream_last_record(records: DataFrame, grid: Grid, delay: str = "10 minutes"
     )
 
 
-_CHANGES = "bs {bs}, imsi {imsi}, t int, came int, gone int"
-_HELD = "buckets array<int>, starts array<bigint>, procs array<bigint>, active boolean"
+# Parts into which devices are dealt for the state; the same for the life of a checkpoint.
+STATE_PARTS = 1024
+# Sorts before every procedure id; stands for a missing one.
+NO_PROCEDURE = -(1 << 40)
 
+_CHANGES = "bs {bs}, imsi {imsi}, unknown boolean, t int, came int, gone int"
+_HELD = (
+    "bs array<{bs}>, imsi array<{imsi}>, unknown array<boolean>, t array<int>, "
+    "starts array<bigint>, procs array<bigint>"
+)
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
 
-def _carry(grid: Grid):
-    """The state function of a (station, device): open buckets with their last record, and whether it is active.
 
-    Built inside a function with plain values only, so that workers get it as a whole.
+def _carry(grid: Grid, kinds: dict[str, str]):
+    """The state function of a part: rows of its devices, the open buckets with their last record.
+
+    A device that is active after its last closed bucket has a row of bucket 0, which
+    stands like a record that was no release. Built inside a function with plain values
+    only, so that workers get it as a whole.
     """
     start_ms, width_ms, n = grid.start_ms, grid.width_ms, grid.n
-    releases = frozenset(RELEASE_PROCEDURES)
-    # Sorts before every procedure id; stands for a missing one.
-    none = -(1 << 40)
-
-    def end_of(t: int) -> int:
-        return start_ms + t * width_ms
-
-    def carry(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held: dict[int, tuple[int, int]] = {}
-        active = False
-        if state.exists:
-            buckets, starts, procs, active = state.get
-            held = dict(zip(buckets, zip(starts, procs)))
+    releases = np.array(sorted(RELEASE_PROCEDURES), "int64")
+    none = NO_PROCEDURE
+    names = ("bs", "imsi", "unknown", "t", "start_ms", "proc_id")
+    key = ["int64" if kinds[c] in _WHOLE else "object" for c in ("bs", "imsi")]
+    types = (*key, "bool", "int64", "int64", "int64")
+
+    def begins(columns: list[np.ndarray]) -> np.ndarray:
+        """Whether a row differs from the one before."""
+        found = np.ones(len(columns[0]), "bool")
+        found[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+        return found
+
+    def newest(tables: list[list[np.ndarray]]) -> list[np.ndarray]:
+        """The last record of each device and bucket, in order."""
+        rows = [np.concatenate(columns) for columns in zip(*tables)]
+        order = np.lexsort(rows[::-1])
+        rows = [column[order] for column in rows]
+        last = np.append(begins(rows[:4])[1:], True) if len(order) else np.zeros(0, "bool")
+        return [column[last] for column in rows]
+
+    def carry(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        table = state.get if state.exists else ([],) * len(names)
+        held = [np.array(values, kind) for values, kind in zip(table, types)]
+        come: list[list[np.ndarray]] = []
         for frame in frames:
-            rows = zip(frame["t"].tolist(), frame["start_ms"].tolist(), frame["proc_id"].tolist())
-            for t, start, proc in rows:
-                last = (start, none if proc is None or proc != proc else int(proc))
-                if t not in held or held[t] < last:
-                    held[t] = last
+            come.append([frame[c].to_numpy().astype(kind) for c, kind in zip(names, types)])
+            # What has come is merged when it outgrows what is held, so that no row is sorted often.
+            if sum(len(rows[0]) for rows in come) > len(held[0]):
+                held, come = newest([held, *come]), []
+        if come:
+            held = newest([held, *come])
+        bs, imsi, unknown, t, _, procs = held
         watermark = state.getCurrentWatermarkMs()
-        out = []
-        for t in sorted(held):
-            # A bucket is closed once the watermark has reached its end.
-            if end_of(t) > watermark:
-                break
-            release = held.pop(t)[1] in releases
-            out.append((*key, t, int(not active), int(release)))
-            active = not release
-        if held:
-            timer = end_of(min(held))
-        elif active and end_of(n) > watermark:
-            timer = end_of(n)
-        else:
-            timer = None
-        if timer is None:
-            if state.exists:
-                state.remove()
-        else:
-            buckets = sorted(held)
-            state.update((buckets, [held[t][0] for t in buckets], [held[t][1] for t in buckets], active))
+        # A bucket is closed once the watermark has reached its end.
+        closed = start_ms + t * width_ms <= watermark
+        done = closed | (t == 0)
+        release = np.isin(procs, releases)
+        first = begins(held[:3])
+        was_active = ~first
+        was_active[1:] &= ~release[:-1]
+        out = closed & (t > 0)
+        changes = pd.DataFrame(
+            {"bs": bs[out], "imsi": imsi[out], "unknown": unknown[out], "t": t[out],
+             "came": (~was_active[out]).astype("int64"), "gone": release[out].astype("int64")}
+        )
+        grid_end = start_ms + n * width_ms
+        # The last closed row of a device that goes on.
+        on = done & ~release & (grid_end > watermark)
+        on[:-1] &= first[1:] | ~done[1:]
+        keep = on | ~done
+        if keep.any():
+            opened = t[~done]
+            timer = start_ms + int(opened.min()) * width_ms if len(opened) else grid_end
+            rows = [bs, imsi, unknown, *(np.where(on, x, c) for x, c in zip((0, 0, none), held[3:]))]
+            state.update(tuple(column[keep].tolist() for column in rows))
             # A timer runs out when the watermark is past it.
             state.setTimeoutTimestamp(timer - 1)
-        yield pd.DataFrame(out, columns=["bs", "imsi", "t", "came", "gone"])
+        elif state.exists:
+            state.remove()
+        yield changes
 
     return carry
 
 
-def stream_activity(records: DataFrame, grid: Grid, delay: str = "10 minutes") -> DataFrame:
+def stream_activity(records: DataFrame, grid: Grid, delay: str = "10 minutes", parts: int = STATE_PARTS) -> DataFrame:
     """Devices that became active and that ended, per bucket with a record: `bs, imsi, t, came, gone`.
 
     State per station and device: the last record of each bucket that is still open, at most as
-    many as fit into the delay, and whether the device was active after the last closed one. A
-    timer at the end of its first open bucket closes buckets whether or not it sends
-    again; the state ends with a release, or at the end of the grid.
+    many as fit into the delay, and whether the device was active after the last closed one. Devices
+    are dealt into `parts` by a hash; a part's are taken together, as columns, and their state is
+    one row of the store. A timer at the end of a part's first open bucket closes buckets whether
+    or not a device sends again; the state ends with a release, or at the end of the grid. A
+    checkpoint goes on with the `parts` it began with.
     """
-    rows = labelled(records, grid, delay).select("bs", "imsi", "t", "start_ms", "proc_id", "hi")
+    rows = labelled(records, grid, delay)
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("bs", "imsi")}
-    return rows.groupBy("bs", "imsi").applyInPandasWithState(
-        _carry(grid), _CHANGES.format(**kinds), _HELD, "append", GroupStateTimeout.EventTimeTimeout
+    # Records without a device id are one device. No column has nulls, so whole numbers stay whole.
+    dealt = rows.select(
+        F.pmod(F.xxhash64("bs", "imsi"), F.lit(parts)).cast("int").alias("part"), "bs",
+        F.coalesce("imsi", F.lit("0").cast(kinds["imsi"])).alias("imsi"), F.col("imsi").isNull().alias("unknown"),
+        "t", "start_ms", F.coalesce(F.col("proc_id").cast("bigint"), F.lit(NO_PROCEDURE)).alias("proc_id"), "hi",
+    )
+    changes = dealt.groupBy("part").applyInPandasWithState(
+        _carry(grid, kinds), _CHANGES.format(**kinds), _HELD.format(**kinds), "append", GroupStateTimeout.EventTimeTimeout
     )
+    return changes.select("bs", F.when(~F.col("unknown"), F.col("imsi")).alias("imsi"), "t", "came", "gone")
 
 
 def _loads_so_far(changes: DataFrame, levels: DataFrame) -> DataFrame:

@@ -2,8 +2,11 @@
 
 import gzip
 import os
+from collections import Counter
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 from rows import skewed_rows
 
 from cellpulse.functions.timegrid import Grid
@@ -182,3 +185,32 @@ def test_streams_read_a_table_of_several_files(spark, tmp_path):
         str(tmp_path / "out"), str(tmp_path / "state"),
     )
     assert read.count() == table.count()
+
+
+def test_activity_state_of_many_devices_lies_in_parts(spark, tmp_path):
+    """Far fewer state rows than devices; large ids stay whole, and those without an id are one device."""
+    big = 2**60
+    rows = spark.range(4_000).selectExpr(
+        f"CASE WHEN id % 400 <> 7 THEN {big} + id % 2000 END AS imsi",
+        "CAST(5 + id % 3 AS INT) AS bs", f"id * 97 % {GRID.end_ms} AS start_ms",
+        "CASE WHEN id % 5 = 0 THEN 11 WHEN id % 7 <> 0 THEN 16 END AS proc_id",
+    )
+    folder, seen = str(tmp_path / "records"), []
+    rows.repartition(4).write.parquet(folder)
+    batch = spark.read.parquet(folder)
+    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    paths = [str(tmp_path / part) for part in ("out", "state", "end")]
+    operator = active_state.stream_activity
+    got = counts.run_to_end(stream, operator, GRID, 30 * 60_000, *paths)
+    held = counts.run_to_table(
+        operator(stream, GRID, "30 minutes"), str(tmp_path / "out2"), str(tmp_path / "state2"), watch=seen.append
+    )
+    assert held.count() == 0
+    assert 0 < counts.most_state_rows(seen[0].recentProgress) < 2_000
+    last = active.last_record(batch, GRID)
+    released = F.coalesce(F.col("proc_id").isin(3, 11), F.lit(False))
+    before = F.lag(released).over(Window.partitionBy("bs", "imsi").orderBy("t"))
+    expected = last.select(
+        "bs", "imsi", "t", F.coalesce(before, F.lit(True)).cast("int").alias("came"), released.cast("int").alias("gone")
+    )
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, expected.collect()))
