@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cellpulse.functions.timegrid import Grid
 from cellpulse.operators.load import placed
-from cellpulse.plans.bounded import broadcast_if_small
+from cellpulse.plans.bounded import broadcast_if_small, dealt_for_fan_out
 from cellpulse.plans.dense import zero_filled
 from cellpulse.plans.masks import (
     bit_sums,
@@ -24,6 +24,13 @@ from cellpulse.plans.masks import (
 )
 
 
+def _fanned_rows(rows: DataFrame, towards: DataFrame) -> int:
+    """How many rows come of these when each also goes to the neighbours of its station."""
+    more = towards.select("bs", F.size("towards").alias("_more"))
+    places = F.sum(F.lit(1) + F.coalesce("_more", F.lit(0)))
+    return rows.select("bs").join(broadcast_if_small(more), "bs", "left").agg(places).first()[0] or 0
+
+
 def _meetings(masks: DataFrame, edges: DataFrame, group: DataFrame | None) -> DataFrame:
     """Masks of devices on both ends of an edge: `bs, imsi, run, came, left, outside`.
 
@@ -81,6 +88,8 @@ def _fanned_out(intervals: DataFrame, edges: DataFrame) -> DataFrame:
     towards = pairs.groupBy(F.col("o").alias("bs")).agg(
         F.collect_list(F.struct("s", F.col("o"), "out", "back")).alias("towards")
     )
+    # The fan-out sets the number of tasks; both sides of the join by device lie in them.
+    intervals = dealt_for_fan_out(intervals, ["imsi"], _fanned_rows(intervals, towards))
     # One row per device, at most as long as there are stations.
     visited = intervals.groupBy("imsi").agg(F.collect_set("bs").alias("visited"))
     few = F.size("visited") <= LISTED_STATIONS

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # Rows up to which a side table (stations, groups, edges) is broadcast. At a few
 # dozen bytes a row this stays near 10 MB per executor.
 BROADCAST_ROWS = 200_000
+# Rows that a task makes of its share where rows fan out behind a shuffle.
+FANNED_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,3 +64,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     """
     fits = df.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(df) if fits else df
+
+
+def dealt_for_fan_out(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """Rows dealt out by keys to as many tasks as the `rows` need that are made of them behind the shuffle.
+
+    Adaptive execution merges partitions by what they hold at the shuffle, before they fan out; a number
+    that is named stays.
+    """
+    return df.repartition(max(1, -(-rows // FANNED_ROWS)), *keys)

@@ -650,3 +650,27 @@ def test_flows_and_features_shuffle_seldom(spark, recs, edges):
     group = spark.createDataFrame([("s0",), ("s1",)], "bs string")
     for operator in (features.bs_features, features.features_with_group):
         assert shuffles(operator(recs, GRID, group, edges), "") < 10
+
+
+def _most_in_a_task(df):
+    return df.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+
+
+def _moving_devices(spark):
+    """300 devices that go round six stations, each a neighbour of all others."""
+    ranges = spark.range(300 * 12).selectExpr(
+        "concat('s', (id + id div 300) % 6) AS bs", "concat('u', id % 300) AS imsi",
+        "CAST(1 + id div 300 AS INT) AS t0", "CAST(1 + id div 300 AS INT) AS t1",
+    )
+    stations = spark.range(6).selectExpr("concat('s', id) AS bs")
+    edges = stations.crossJoin(stations.withColumnRenamed("bs", "n")).where("bs <> n")
+    return ranges, edges
+
+
+def test_ranges_that_fan_out_are_spread_by_what_comes_of_them(spark, monkeypatch):
+    monkeypatch.setattr(bounded, "FANNED_ROWS", 400, raising=False)
+    ranges, edges = _moving_devices(spark)
+    fanned = flow._fanned_out(ranges, edges)
+    assert fanned.count() == 300 * 12 * 6
+    # 72 rows come of a device.
+    assert _most_in_a_task(fanned) < 4 * 400
