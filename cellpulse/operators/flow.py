@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cellpulse.functions.timegrid import Grid
 from cellpulse.operators.load import placed
-from cellpulse.plans.bounded import broadcast_if_small, dealt_for_fan_out
+from cellpulse.plans.bounded import broadcast_if_small, dealt_for_fan_out, landed
 from cellpulse.plans.dense import zero_filled
 from cellpulse.plans.masks import (
     bit_sums,
@@ -37,7 +37,8 @@ def _meetings(masks: DataFrame, edges: DataFrame, group: DataFrame | None) -> Da
     `came`: at the neighbour in the bucket before, here now. `left`: the reverse. `outside` tells
     whether the neighbour is none of the group. A mask lies at its own station and at
     each neighbour; a window per (device, run, station) shows it the mask that is at home there.
-    The rows stay where the device's run is, so this takes no shuffle of its own.
+    The rows stay where the device's run is, so this takes no shuffle of its own; the masks
+    are written once, and their fan-out sets the number of tasks.
     """
     ways = edges.select("bs", "n").distinct()
     if group is None:
@@ -54,8 +55,10 @@ def _meetings(masks: DataFrame, edges: DataFrame, group: DataFrame | None) -> Da
     kind = edges.schema["bs"].dataType
     home = F.struct(F.col("bs").alias("s"), F.lit(None).cast(kind).alias("o"), F.lit(False).alias("outside"))
     places = F.when(F.col("towards").isNull(), F.array(home)).otherwise(F.concat(F.array(home), F.col("towards")))
+    masks = landed(masks, "masks")
+    dealt = dealt_for_fan_out(masks, ["imsi", "run"], _fanned_rows(masks, towards))
     placed_ = (
-        moving_only(masks).join(broadcast_if_small(towards), "bs", "left")
+        moving_only(dealt).join(broadcast_if_small(towards), "bs", "left")
         .select("imsi", "run", "now", "prev", F.inline(places))
     )
     there = Window.partitionBy("imsi", "run", "s")

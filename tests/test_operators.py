@@ -8,7 +8,7 @@ from rows import RELEASES, active_sets, bucket, frame, presence_sets, skewed_row
 
 from cellpulse.functions.timegrid import Grid
 from cellpulse.operators import active, failures, features, flow, groups, load, mobility, quality, sets, timeline
-from cellpulse.plans import blocks, bounded
+from cellpulse.plans import blocks, bounded, masks
 from cellpulse.sources import records
 
 GRID = Grid(start_ms=0, width_ms=1_000, n=40)
@@ -674,3 +674,12 @@ def test_ranges_that_fan_out_are_spread_by_what_comes_of_them(spark, monkeypatch
     assert fanned.count() == 300 * 12 * 6
     # 72 rows come of a device.
     assert _most_in_a_task(fanned) < 4 * 400
+
+
+def test_masks_that_fan_out_are_spread_by_what_comes_of_them(spark, monkeypatch):
+    monkeypatch.setattr(bounded, "FANNED_ROWS", 100, raising=False)
+    ranges, edges = _moving_devices(spark)
+    met = flow._meetings(masks.masks_of_ranges(ranges), edges, None)
+    # A device goes to the next station eleven times, and its runs are shorter than the day.
+    assert met.agg(F.sum(F.bit_count("came"))).first()[0] == 300 * 11
+    assert _most_in_a_task(met) < 4 * 100
